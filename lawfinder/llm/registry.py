@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from lawfinder.llm.decontamination import OP5_SQL, op5_decontaminate
 from lawfinder.llm.mixing import OP8_SQL, op8_mix
+from lawfinder.llm.quality import op10_quality
 from lawfinder.llm.sharding import op9_shard
 from lawfinder.llm.simhash import op6_simhash
+from lawfinder.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_simhash": op6_simhash,
         "op8_mix": op8_mix,
         "op9_shard": op9_shard,
+        "op10_quality": op10_quality,
     }
 
 
