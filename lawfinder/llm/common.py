@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -31,9 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Rows and bytes that a Python worker holds of its input at a time; a text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are higher.
+
+    Spark's default of 10,000 rows may be gigabytes where texts are long.
+    """
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        now = re.sub(r"[^-\d]", "", spark.conf.get(key))
+        if not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -46,6 +64,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
+    bounded_batches(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -62,6 +81,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], added: T.StructType, fn: C
     and returns Arrow arrays or lists, one for each added field. A column of the input that has the name
     of an added one is replaced.
     """
+    bounded_batches(df.sparkSession)
     kept = without(df, added.names)
     schema = T.StructType(kept.schema.fields + added.fields)
     names = kept.columns
