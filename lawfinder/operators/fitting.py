@@ -261,15 +261,15 @@ class _Fitter:
         spark = self.spark
         if not tasks:
             return spark.createDataFrame([], RESULT_SCHEMA)
-        laws = {n: registry.get_custom_distributions().get(n) for _, n in tasks}
-        sent = spark.sparkContext.broadcast((payload, {n: x for n, x in laws.items() if x}))
+        custom = {n: x for n, x in registry.get_custom_distributions().items() if any(n == t for _, t in tasks)}
+        sent = spark.sparkContext.broadcast(payload)
         cores = spark.sparkContext.defaultParallelism
         parts = config.num_partitions or registry.task_count(len(tasks), sum(n in SLOW for _, n in tasks), cores)
         # dealt like cards, so that slow families do not share a task
         grid = spark.createDataFrame(spark.sparkContext.parallelize([t for i in range(parts) for t in tasks[i::parts]], parts), "column_name string, distribution string")
 
         def run(batches):
-            data, custom = sent.value
+            data = sent.value
             for pdf in batches:
                 rows = [fit_one(c, n, custom.get(n) or registry.get_law(n), data[c], data[c]["method"], metrics) for c, n in zip(pdf.column_name, pdf.distribution, strict=True)]
                 yield pd.DataFrame(rows, columns=RESULT_SCHEMA.names).astype({"data_count": "int64"})

@@ -182,10 +182,10 @@ class FitResults:
         import pandas as pd
 
         spark, schema = self._df.sparkSession, self._df.schema
-        sent = spark.sparkContext.broadcast((self.lazy, {n: x for n, x in registry.get_custom_distributions().items()}))
+        sent, custom = spark.sparkContext.broadcast(self.lazy), registry.get_custom_distributions()
 
         def run(batches):
-            data, custom = sent.value
+            data = sent.value
             for pdf in batches:
                 for i, r in pdf.iterrows():
                     p, law = data[r.column_name], custom.get(r.distribution) or registry.get_law(r.distribution)
