@@ -4,8 +4,9 @@ A page is a stream of tags and texts. Within a page, neighbouring equal stretche
 which leaves its pattern; the patterns of a host's pages are aligned one after another, and where two differ the
 wrapper gets a text slot, a repeated group or an optional group, never an alternative. Each text slot of the
 wrapper stands in some elements: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments
-are left out, and so are those outside the article, where the wrapper has one, and those whose text is the
-same on every page of the host. What fills the other slots of a page is its text.
+are left out, and so are those outside articles whose text is the same on every page of the host. Of a page's
+other slots, those in an article or main element are its text; without such an element those in an element that
+its class calls content, and failing that all of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,8 +51,9 @@ _NOISE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc sidebar sidebars aside footer foot colophon copyright "
     "cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe subscription signup login "
     "share sharing social comment comments commentlist respond reply replies disqus discussion related recommended recommendations "
-    "widget widgets form search skip hidden masthead topbar toolbar".split()
+    "widget widgets form search skip hidden masthead topbar toolbar logo brand branding tagline crumbs legal".split()
 )
+_CONTENT = frozenset("article post entry story content maincontent articlebody postbody".split())
 _NOISY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -86,7 +89,7 @@ _KINDS: dict[str, str] = {}
 
 
 def kind(tag: str) -> str:
-    """Of a label: ``noise``, ``header``, ``article`` or nothing."""
+    """Of a label: ``noise``, ``header``, ``article``, ``content`` or nothing."""
     if tag not in _KINDS:
         if len(_KINDS) > 100_000:
             _KINDS.clear()
@@ -102,6 +105,8 @@ def kind(tag: str) -> str:
             found = "noise"
         elif name == "header" or "header" in names:
             found = "header"
+        elif name not in _PLAIN and names & _CONTENT:
+            found = "content"
         _KINDS[tag] = found
     return _KINDS[tag]
 
@@ -204,14 +209,24 @@ def blocks(page: str) -> Iterator[tuple[str, str]]:
         yield slot, text
 
 
-# ---- patterns: lists of items; an item is a token, ("+", items) or ("?", items) as tuples
+# ---- patterns: tuples of items; an item is a token, or a group ("+", items) or ("?", items). A token is what it
+# shows, a tab, and where it stands (a tag: a hash of that), so that only what stands in the same elements is aligned.
 
 
 def pattern(page: str) -> tuple:
     """The page's tokens with repeats folded: block tags, and TEXT for texts that are not blank."""
     out: list = []
+    reader = Reader()
+    places: dict[str, str] = {}
+
+    def tag(shown: str) -> str:
+        slot = slot_of(reader)
+        if slot not in places:
+            places[slot] = f"{xxhash.xxh32_intdigest(slot):08x}"
+        return f"{shown}\t{places[slot]}"
 
-    def fold():
+    def put(token: str) -> None:
+        out.append(token)
         again = True
         while again:
             again = False
@@ -229,30 +244,51 @@ def pattern(page: str) -> tuple:
                     again = True
                     break
 
-    paragraph = False  # an end tag that is left out is put in
+    text = ""  # the token of a text that goes on behind inline tags
     for what, value in events(page):
         if what == TEXT:
-            if not value.strip() or (out and out[-1] == TEXT):
+            if value.strip():
+                token = f"{TEXT}\t{slot_of(reader)}"
+                if token != text:
+                    put(text := token)
+            continue
+        name = value.partition(" ")[0]
+        plain = name not in _BLOCK and not kind(value)
+        if what == "<":
+            paragraph = name in _P_ENDS and "p" in reader.names
+            if paragraph:
+                reader.close_to("p", {"table", "button", "body"})
+                put(tag("/p"))
+            reader.start(value)
+            if not plain:
+                shown, text = value, ""
+                if name not in _VOID:
+                    held = reader.open.pop(), reader.names.pop()
+                    put(tag(shown))
+                    reader.open.append(held[0])
+                    reader.names.append(held[1])
+                else:
+                    put(tag(shown))
+        elif not plain:
+            if name not in reader.names:
                 continue
-            out.append(TEXT)
+            if name != "p" and name in _P_ENDS and "p" in reader.names[reader.names.index(name) :]:
+                reader.end("p")
+                put(tag("/p"))
+            reader.end(name)
+            text = ""
+            put(tag("/" + name))
         else:
-            name = value.partition(" ")[0]
-            if name not in _BLOCK and not kind(value):
-                continue
-            if name == "p" and what == ">" and not paragraph:
-                continue
-            if paragraph and name in _P_ENDS and not (name == "p" and what == ">"):
-                out.append("/p")
-                fold()
-            if name in _P_ENDS:
-                paragraph = name == "p" and what == "<"
-            out.append(value if what == "<" else "/" + name)
-        fold()
+            reader.end(name)
     return tuple(out)
 
 
+def shown(token: str) -> str:
+    return token.partition("\t")[0]
+
+
 def has_article(items: tuple) -> bool:
-    return any(has_article(x[1]) if type(x) is tuple else x != TEXT and x[0] != "/" and kind(x) == "article" for x in items)
+    return any(has_article(x[1]) if type(x) is tuple else x[0] not in "/#" and kind(shown(x)) == "article" for x in items)
 
 
 def align(wrapper: tuple, other: tuple) -> tuple:
@@ -266,7 +302,8 @@ def align(wrapper: tuple, other: tuple) -> tuple:
     if len(wrapper) > MOST_TOKENS or len(other) > MOST_TOKENS:
         known = set(wrapper)
         return wrapper + tuple(dict.fromkeys(("?", (x,)) if not (type(x) is tuple and x[0] == "?") else x for x in other if x not in known and ("?", (x,)) not in known))
-    a, b = list(wrapper), list(other)
+    repeats = {x[1] for x in (*wrapper, *other) if type(x) is tuple and x[0] == "+"}
+    a, b = gathered(wrapper, repeats), gathered(other, repeats)
     n, m = len(a), len(b)
 
     def same(x, y):
@@ -301,6 +338,23 @@ def align(wrapper: tuple, other: tuple) -> tuple:
     return tuple(packed(out))
 
 
+def gathered(items: tuple, repeats: set[tuple]) -> list:
+    """The items, with each single stretch that is repeated elsewhere as a repeated group."""
+    out, i = [], 0
+    ordered = sorted(repeats, key=len, reverse=True)
+    while i < len(items):
+        for r in ordered:
+            if items[i : i + len(r)] == r:
+                i += len(r)
+                if not (out and out[-1] == ("+", r)):
+                    out.append(("+", r))
+                break
+        else:
+            out.append(items[i])
+            i += 1
+    return out
+
+
 def join(x, y):
     if x == y:
         return x
@@ -324,25 +378,15 @@ def packed(items: list) -> list:
     return out
 
 
-def slots(wrapper: tuple) -> dict[str, int]:
-    """Each text slot of the wrapper, by the elements it stands in."""
-    found: dict[str, int] = {}
-    reader = Reader()
-
-    def walk(items):
-        for x in items:
-            if type(x) is tuple:
-                walk(x[1])
-            elif x == TEXT:
-                s = slot_of(reader)
-                found[s] = found.get(s, 0) + 1
-            elif x.startswith("/"):
-                reader.end(x[1:])
-            else:
-                reader.start(x)
-
-    walk(wrapper)
-    return found
+def slots(wrapper: tuple) -> set[str]:
+    """The text slots of the wrapper, by the elements they stand in."""
+    out: set[str] = set()
+    for x in wrapper:
+        if type(x) is tuple:
+            out |= slots(x[1])
+        elif shown(x) == TEXT:
+            out.add(x.partition("\t")[2])
+    return out
 
 
 def wanted(slot: str) -> bool:
@@ -352,19 +396,21 @@ def wanted(slot: str) -> bool:
         k = kind(tag)
         if k == "noise":
             return False
-        inside |= k == "article"
+        inside |= k in ("article", "content")
         header |= k == "header"
         heading |= tag.partition(" ")[0] in _HEADINGS
     return not header or (inside and heading)
 
 
-def in_article(slot: str) -> bool:
-    return any(kind(t) == "article" for t in slot.split("/"))
+def rank(slot: str) -> int:
+    """2 in an article, 1 in an element called content, 0 elsewhere."""
+    kinds = {kind(t) for t in slot.split("/")}
+    return 2 if "article" in kinds else 1 if "content" in kinds else 0
 
 
 def as_text(wrapper: tuple) -> str:
     """The wrapper as a regular expression over tags and slots."""
-    show = lambda x: x if type(x) is str and x == TEXT else f"<{x}>" if type(x) is str else "(" + "".join(map(show, x[1])) + ")" + x[0]
+    show = lambda x: "(" + "".join(map(show, x[1])) + ")" + x[0] if type(x) is tuple else TEXT if shown(x) == TEXT else f"<{shown(x)}>"
     return "".join(map(show, wrapper))
 
 
@@ -453,21 +499,22 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             out = []
             for host, packed_, fixed_ in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 wrapper = _unpack(packed_)
-                good = [s for s in slots(wrapper) if wanted(s)]
-                if any(map(in_article, good)):
-                    good = [s for s in good if in_article(s)]
-                else:
-                    good = [s for s in good if s not in set(fixed_ or ())]
+                known = set(fixed_ or ())
+                good = [s for s in slots(wrapper) if wanted(s) and (rank(s) == 2 or s not in known)]
                 out.append((host, as_text(wrapper), json.dumps(sorted(good), ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["host", "wrapper", "slots"])
 
     return whole.join(fixed, "host", "left").select("host", "pattern", "fixed").mapInArrow(decide, "host string, wrapper string, slots string")
 
 
+_ARTICLE = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
+
+
 def main_text(page: str, good: frozenset[str] | None) -> str:
-    """The texts of the wrapper's content slots, blocks joined by an empty line."""
-    found = [(s, t) for s, t in blocks(page) if wanted(s) and (good is None or s in good)]
-    return "\n\n".join(t for _, t in found)
+    """The texts of the best-ranked content slots that the page fills, blocks joined by an empty line."""
+    found = [(rank(s), t) for s, t in blocks(page) if wanted(s) and (good is None or s in good)]
+    best = 2 if _ARTICLE.search(page) else max((r for r, _ in found), default=0)
+    return "\n\n".join(t for r, t in found if r >= best)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", small: int = SMALL_WRAPPERS) -> DataFrame:
@@ -505,7 +552,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", small: int =
 
         return make
 
-    host = F.udf(host_of, "string")
+    @F.pandas_udf("string")
+    def host(urls: pd.Series) -> pd.Series:
+        return urls.map(host_of)
+
     joined = base.withColumn("_host", host(F.col(url))).join(wrappers.withColumnsRenamed({"host": "_host", "slots": "_slots"}), "_host", "left")
     return add_columns(joined, ["_slots", html], added, fresh).drop("_host", "_slots").select(*[F.col(f"`{c}`") for c in names], "text", "n_chars")
 

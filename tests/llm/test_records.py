@@ -31,6 +31,9 @@ def page(body, head=""):
         ("<article><header class=entry-header><h1>T</h1><p>by line</p></header><p>a<!-- x --> b</p><section class='comments'><p>c</p></section></article>", "T\n\na b"),
         ("<article><p>a &lt;b&gt; <b>c</b>d &#233; &am</p><table><tr><td>1<td>2</table></article>", "a <b> cd é &am\n\n1\n\n2"),
         ("<article><p>2 < 3 and <unclosed", "2 < 3 and"),
+        ("<div>top</div><div class='post-content'><p>mine</p><div class='related-posts'>r</div></div>", "mine"),
+        ("<div>top</div><article></article>", ""),
+        ("<article><p>a</p></article><div class=content>b</div><section>c</section>", "a"),
         ("", ""),
     ],
 )
@@ -44,11 +47,13 @@ def test_extract_odd_pages(spark, small):
     art = lambda i: page(f"<nav>m</nav><article><p>t {i}</p></article>")
     bare = lambda i: page(f"<div class=top>Welcome to us</div><div class=c><p>story {i}</p></div>")
     rows = [(1, None, art(1), "x"), (2, "no url", None, None), (3, "http://a.example/", "", "x"), (4, "http://a.example/2", art(4), None), (4, "http://a.example/2", art(4), None)]
+    rows += [(20, "http://b.example/20", art(20), "x"), (21, "http://b.example/21", page("<div>plain</div>"), None)]  # a host may mix its templates
     rows += [(10 + i, f"http://b.example/{i}", bare(i), "x") for i in range(5)] + [(30, "http://c.example", page("<article>" + "<p>w</p>" * 20_000 + "</article>"), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df, small=small).collect()}
     assert got[1] == ("t 1", 3) and got[2] == ("", 0) and got[3] == ("", 0) and got[4] == ("t 4", 3)
     assert [got[10 + i][0] for i in range(5)] == [f"story {i}" for i in range(5)]  # what all pages share is template
+    assert got[20][0] == "t 20" and got[21][0] == "plain"
     assert got[30][1] == 20_000 * 3 - 2
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
@@ -59,6 +64,10 @@ def test_patterns_and_wrappers():
     q = html.pattern(page("<p>x</p><div>z</div>"))
     w = html.as_text(html.align(p, q))
     assert "(<p>#</p>)+" in w and "(<div>)?" in w and "(<ul>)?" in w and "|" not in w
+    assert html.slots(html.align(p, q)) == {"html/body/ul/li", "html/body/p", "html/body/div"}
+    other = html.pattern(page("<article><p>x</p></article>"))
+    assert html.slots(html.align(p, other)) == {"html/body/ul/li", "html/body/p", "html/body/article/p"}
+    assert html.align(p, p) == p
 
 
 def test_extract_is_the_articles_blocks(spark, sf_dir):
