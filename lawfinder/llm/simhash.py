@@ -212,7 +212,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = written(fingerprinted(slim).select("doc_id", "fp"), "simhash")
-    return prints.join(components(prints).drop("component"), "fp", "left").select("doc_id", "fp", "component_id")
+    # read anew, the components do not tie the documents to their partitioning: a fingerprint of many copies can be split
+    known = checkpointed(components(prints).drop("component"))
+    return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -224,7 +226,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     names = docs.columns
     base = written(fingerprinted(docs, text, name="_fp"), "simhash-docs")
     prints = base.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
-    stay = prints.join(components(prints), "fp").where("doc_id <=> component_id").groupBy("component", "doc_id", "fp").count()
+    stay = prints.join(checkpointed(components(prints)), "fp").where("doc_id <=> component_id").groupBy("component", "doc_id", "fp").count()
     stay = stay.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "count")).alias("x"))
     stay = checkpointed(stay.select(F.col("doc_id").alias("_id"), F.col("x.fp").alias("_print"), F.col("x.count").alias("_n")))
     kept = base.join(stay, (F.col("_fp") == F.col("_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
