@@ -1,8 +1,8 @@
 """Fitting many families to many columns: one grid of (column, family) tasks over a bounded sample.
 
 Counts, extremes and histograms are taken over all rows in two aggregates for all columns together. The
-iterative estimates read a sample of at most ``fitting_sample_size`` values a column, chosen by a hash of the
-row's values, so that it does not depend on how rows are dealt to partitions; columns of a row stay together.
+iterative estimates read a sample of about ``fitting_sample_size`` rows, chosen by a hash of the row's values and
+of its number in its partition (so that equal values do not share a fate); columns of a row stay together.
 """
 
 from __future__ import annotations
@@ -52,18 +52,21 @@ def resolve_bounds(config: FitterConfig, columns: Sequence[str], stats: dict[str
 def sampled(df: DataFrame, columns: Sequence[str], n: int, size: int, seed: int, keep: Sequence[str] = ()) -> DataFrame:
     """About ``size`` of ``n`` rows (all if there are no more), by a hash of their values and the seed."""
     slim = df.select(*[F.col(f"`{c}`") for c in [*columns, *keep]])
+    return thinned(slim, columns, n, size, seed)
+
+
+def thinned(df: DataFrame, columns: Sequence[str], n: int, size: int, seed: int) -> DataFrame:
     if n <= size:
-        return slim
-    # rows with equal values share a fate unless told apart: the hash also takes a number of the row in its partition
+        return df
     mark = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in columns]), F.lit(1_000_003))
-    return slim.where(mark < F.lit(math.ceil(1_000_003 * size / n)))
+    return df.where(mark < F.lit(math.ceil(1_000_003 * size / n)))
 
 
 def stratified(df: DataFrame, column: str, n: int, size: int, strata: int, seed: int, tail: int = 500) -> DataFrame:
     """A sample by quantile strata, in which the outer strata have ``tail`` rows at least, where they have them."""
     cuts = sorted(set(df.where(F.col(f"`{column}`").isNotNull()).approxQuantile(column, [i / strata for i in range(1, strata)], 0.01)))
     if len(cuts) < 2:
-        return sampled(df, df.columns, n, size, seed)
+        return thinned(df, [column], n, size, seed)
     at = F.lit(0)
     for c in cuts:
         at = at + (F.col(f"`{column}`") > c).cast("int")
@@ -216,7 +219,7 @@ class _Fitter:
         how, strata = strategy(stats[worst]["skew"] or 0.0, config.skew_threshold_mild, config.skew_threshold_high)
         if how == "stratified" and config.adaptive_sampling:
             return stratified(df, worst, n_rows, target, strata, config.random_seed), target
-        return sampled(df, df.columns, n_rows, target, config.random_seed), target
+        return thinned(df, columns, n_rows, target, config.random_seed), target
 
     def _complete(self, column, p, cells, stats, bounds, config):
         x = p["x"]
