@@ -190,8 +190,8 @@ def find_contamination(
         if number == 0:
             out = add_columns(out, [text], _ADDED, fresh)
         else:
-            held = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
-            out = add_columns(held, [text, "_spans", "_items"], _ADDED, fresh).drop("_spans", "_items")
+            held = out.withColumnsRenamed({"hit_spans": "__lf_spans", "hit_items": "__lf_items"})
+            out = add_columns(held, [text, "__lf_spans", "__lf_items"], _ADDED, fresh).drop("__lf_spans", "__lf_items")
     hit = "aggregate(sequence(0, size(hit_spans) - 2, 2), 0L, (a, i) -> a + hit_spans[i + 1] - hit_spans[i])"
     return out.withColumn("n_hit", F.expr(f"CASE WHEN size(hit_spans) < 2 THEN 0L ELSE {hit} END"))
 

@@ -556,8 +556,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", small: int =
     def host(urls: pd.Series) -> pd.Series:
         return urls.map(host_of)
 
-    joined = base.withColumn("_host", host(F.col(url))).join(wrappers.withColumnsRenamed({"host": "_host", "slots": "_slots"}), "_host", "left")
-    return add_columns(joined, ["_slots", html], added, fresh).drop("_host", "_slots").select(*[F.col(f"`{c}`") for c in names], "text", "n_chars")
+    joined = base.withColumn("__lf_host", host(F.col(url))).join(wrappers.withColumnsRenamed({"host": "__lf_host", "slots": "__lf_slots"}), "__lf_host", "left")
+    return add_columns(joined, ["__lf_slots", html], added, fresh).drop("__lf_host", "__lf_slots").select(*[F.col(f"`{c}`") for c in names], "text", "n_chars")
 
 
 def op1_html(spark, sf_dir: str) -> DataFrame:

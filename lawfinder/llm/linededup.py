@@ -52,9 +52,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     seen = slim.mapInArrow(_hashes, "h long, doc long")
     first = seen.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
-    later = seen.join(first, "h").where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("_later")).withColumnRenamed("doc", "_doc")
-    base = docs.select(*[F.col(f"`{c}`") for c in names]).join(later, F.col(doc_id).cast("long") == F.col("_doc"), "left")
-    added = T.StructType([T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    later = seen.join(first, "h").where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("__lf_later")).withColumnRenamed("doc", "__lf_doc")
+    base = docs.select(*[F.col(f"`{c}`") for c in names]).join(later, F.col(doc_id).cast("long") == F.col("__lf_doc"), "left")
+    added = T.StructType([T.StructField("__lf_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def fresh():
         def make(ids, column, late):
@@ -78,8 +78,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
         return make
 
-    out = add_columns(base, [doc_id, text, "_later"], added, fresh)
-    return out.select(*[F.col("_text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    out = add_columns(base, [doc_id, text, "__lf_later"], added, fresh)
+    return out.select(*[F.col("__lf_text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

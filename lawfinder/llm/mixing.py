@@ -43,19 +43,19 @@ def divide(nodes: DataFrame, parent: Sequence[str], names: Sequence[str]) -> Dat
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     nodes = nodes.withColumns(
         {
-            "_cap": F.coalesce(F.sum("cap").over(before), F.lit(0)),
-            "_weight": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
+            "__lf_cap": F.coalesce(F.sum("cap").over(before), F.lit(0)),
+            "__lf_weight": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
         }
     )
-    nodes = nodes.withColumn("_full", F.expr("cast(cap as decimal(38)) * _weight <= cast(budget - _cap as decimal(38)) * weight"))
+    nodes = nodes.withColumn("__lf_full", F.expr("cast(cap as decimal(38)) * __lf_weight <= cast(budget - __lf_cap as decimal(38)) * weight"))
     nodes = nodes.withColumns(
         {
-            "_cap": F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(whole), F.lit(0)),
-            "_weight": F.coalesce(F.sum(F.when(~F.col("_full"), F.col("weight"))).over(whole), F.lit(0)),
+            "__lf_cap": F.coalesce(F.sum(F.when(F.col("__lf_full"), F.col("cap"))).over(whole), F.lit(0)),
+            "__lf_weight": F.coalesce(F.sum(F.when(~F.col("__lf_full"), F.col("weight"))).over(whole), F.lit(0)),
         }
     )
-    share = F.expr("cast((cast(budget - _cap as decimal(38)) * weight) div greatest(_weight, 1) as bigint)")
-    return nodes.withColumn("given", F.when(F.col("_full"), F.col("cap")).otherwise(F.least("cap", share)))
+    share = F.expr("cast((cast(budget - __lf_cap as decimal(38)) * weight) div greatest(__lf_weight, 1) as bigint)")
+    return nodes.withColumn("given", F.when(F.col("__lf_full"), F.col("cap")).otherwise(F.least("cap", share)))
 
 
 def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]] | None = None, epochs: int = 1) -> DataFrame:
@@ -70,14 +70,14 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
         at = F.lit(1).cast("long")
         for value, w in (weights or {}).get(level, {}).items():
             at = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(at)
-        leaves = leaves.withColumn(f"_w{i}", at)
-        used = F.least(used, F.col(f"_w{i}"))
+        leaves = leaves.withColumn(f"__lf_w{i}", at)
+        used = F.least(used, F.col(f"__lf_w{i}"))
     leaves = leaves.withColumn("cap", F.when(used > 0, F.col("total") * epochs).otherwise(0))
-    known = leaves.groupBy().agg(F.sum("total").alias("total"), F.sum("cap").alias("_all"))
-    known = known.select(F.least(budget.cast("long"), "_all").alias("budget"))
+    known = leaves.groupBy().agg(F.sum("total").alias("total"), F.sum("cap").alias("__lf_all"))
+    known = known.select(F.least(budget.cast("long"), "__lf_all").alias("budget"))
     for i in range(len(LEVELS)):
         parent, names = list(LEVELS[:i]), list(LEVELS[: i + 1])
-        nodes = leaves.groupBy(*names).agg(F.sum("cap").alias("cap"), F.greatest(F.max(f"_w{i}"), F.lit(1)).alias("weight"))
+        nodes = leaves.groupBy(*names).agg(F.sum("cap").alias("cap"), F.greatest(F.max(f"__lf_w{i}"), F.lit(1)).alias("weight"))
         nodes = nodes.join(known, parent) if parent else nodes.crossJoin(F.broadcast(known))  # known is one row here
         known = divide(nodes, parent, names).select(*names, F.col("given").alias("budget"))
     return leaves.join(known, list(LEVELS)).select(*LEVELS, "total", F.col("budget").alias("given"))
@@ -100,37 +100,37 @@ def mix(
     names = without(docs, ["domain", "epoch", "n_tokens", "leaf_budget"]).columns
     base = docs.select(
         *[F.col(f"`{c}`") for c in names],
-        F.coalesce((F.lit("all") if domain is None else domain).cast("string"), F.lit(NO_VALUE)).alias("_domain"),
-        *[F.coalesce(F.col(k).cast("string"), F.lit(NO_VALUE)).alias(f"_{k}") for k in LEVELS[1:]],
-        (tokens(F.col("text")) if n_tokens is None else n_tokens).cast("long").alias("_tokens"),
+        F.coalesce((F.lit("all") if domain is None else domain).cast("string"), F.lit(NO_VALUE)).alias("__lf_domain"),
+        *[F.coalesce(F.col(k).cast("string"), F.lit(NO_VALUE)).alias(f"__lf_{k}") for k in LEVELS[1:]],
+        (tokens(F.col("text")) if n_tokens is None else n_tokens).cast("long").alias("__lf_tokens"),
     )
-    keys = [f"_{k}" for k in LEVELS]
-    totals = checkpointed(base.groupBy(*keys).agg(F.sum("_tokens").alias("total")).withColumnsRenamed(dict(zip(keys, LEVELS, strict=True))))
+    keys = [f"__lf_{k}" for k in LEVELS]
+    totals = checkpointed(base.groupBy(*keys).agg(F.sum("__lf_tokens").alias("total")).withColumnsRenamed(dict(zip(keys, LEVELS, strict=True))))
     plan = budgets(totals, budget, weights, epochs).where("given > 0")
-    plan = checkpointed(plan.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("given").alias("_given"), F.expr("given div total").alias("_whole"), F.expr("given % total").alias("_part")))
+    plan = checkpointed(plan.select(*[F.col(k).alias(f"__lf_{k}") for k in LEVELS], F.col("given").alias("__lf_given"), F.expr("given div total").alias("__lf_whole"), F.expr("given % total").alias("__lf_part")))
 
     def ordered(plan: DataFrame) -> DataFrame:
-        hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+        hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__lf_whole").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
         rows = base.join(F.broadcast(plan) if plan_rows <= SMALL_PLAN else plan, keys)
-        return rows.withColumn("_hash", hashed).withColumn("_bucket", F.substring("_hash", 1, HEX))
+        return rows.withColumn("__lf_hash", hashed).withColumn("__lf_bucket", F.substring("__lf_hash", 1, HEX))
 
     plan_rows = plan.count()
-    sums = ordered(plan).groupBy(*keys, "_part", "_bucket").agg(F.sum("_tokens").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    sums = sums.withColumn("_ahead", upto - F.col("_n")).where("_ahead < _part AND _ahead + _n >= _part")
-    ends = sums.select(*keys, F.col("_bucket").alias("_end"), "_ahead")
+    sums = ordered(plan).groupBy(*keys, "__lf_part", "__lf_bucket").agg(F.sum("__lf_tokens").alias("__lf_n"))
+    upto = F.sum("__lf_n").over(Window.partitionBy(*keys).orderBy("__lf_bucket"))
+    sums = sums.withColumn("__lf_ahead", upto - F.col("__lf_n")).where("__lf_ahead < __lf_part AND __lf_ahead + __lf_n >= __lf_part")
+    ends = sums.select(*keys, F.col("__lf_bucket").alias("__lf_end"), "__lf_ahead")
     plan = checkpointed(plan.join(ends, keys, "left"))
     rows = ordered(plan)
-    sure = rows.where("_end IS NULL OR _bucket <> _end").withColumn("_in", F.coalesce(F.col("_bucket") < F.col("_end"), F.lit(False)))
-    start = F.sum("_tokens").over(Window.partitionBy(*keys).orderBy("_hash", doc_id, "_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.where("_bucket = _end").withColumn("_in", F.col("_ahead") + F.coalesce(start, F.lit(0)) < F.col("_part"))
-    epoch = F.explode(F.expr("CASE WHEN _in THEN sequence(0, cast(_whole AS int)) WHEN _whole > 0 THEN sequence(0, cast(_whole AS int) - 1) ELSE CAST(array() AS array<int>) END"))
+    sure = rows.where("__lf_end IS NULL OR __lf_bucket <> __lf_end").withColumn("__lf_in", F.coalesce(F.col("__lf_bucket") < F.col("__lf_end"), F.lit(False)))
+    start = F.sum("__lf_tokens").over(Window.partitionBy(*keys).orderBy("__lf_hash", doc_id, "__lf_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    edge = rows.where("__lf_bucket = __lf_end").withColumn("__lf_in", F.col("__lf_ahead") + F.coalesce(start, F.lit(0)) < F.col("__lf_part"))
+    epoch = F.explode(F.expr("CASE WHEN __lf_in THEN sequence(0, cast(__lf_whole AS int)) WHEN __lf_whole > 0 THEN sequence(0, cast(__lf_whole AS int) - 1) ELSE CAST(array() AS array<int>) END"))
     return sure.unionByName(edge).select(
         *[F.col(f"`{c}`") for c in names],
-        F.nullif(F.col("_domain"), F.lit(NO_VALUE)).alias("domain"),
+        F.nullif(F.col("__lf_domain"), F.lit(NO_VALUE)).alias("domain"),
         epoch.alias("epoch"),
-        F.col("_tokens").alias("n_tokens"),
-        F.col("_given").alias("leaf_budget"),
+        F.col("__lf_tokens").alias("n_tokens"),
+        F.col("__lf_given").alias("leaf_budget"),
     )
 
 

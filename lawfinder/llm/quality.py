@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, with the columns they came with."""
     model = fit(docs, labels, text, doc_id)
-    return scored(docs, model, text, "_score").where(F.col("_score") >= threshold).drop("_score").select(*docs.columns)
+    return scored(docs, model, text, "__lf_score").where(F.col("__lf_score") >= threshold).drop("__lf_score").select(*docs.columns)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

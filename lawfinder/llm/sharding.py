@@ -38,35 +38,35 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", d
     names = without(docs, _ADDED).columns
     first = docs.select(
         *[F.col(f"`{c}`") for c in names],
-        F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("_source"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash"),
-    ).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits))
-    count = first.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy("_source")
+        F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("__lf_source"),
+        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("__lf_hash"),
+    ).withColumn("__lf_bucket", F.shiftrightunsigned("__lf_hash", 64 - bits))
+    count = first.groupBy("__lf_source", "__lf_bucket").agg(F.count("*").alias("__lf_n"))
+    whole = Window.partitionBy("__lf_source")
     before = count.select(
-        "_source",
-        "_bucket",
-        (F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias("_all"),
+        "__lf_source",
+        "__lf_bucket",
+        (F.sum("__lf_n").over(whole.orderBy("__lf_bucket")) - F.col("__lf_n")).alias("__lf_before"),
+        F.sum("__lf_n").over(whole).alias("__lf_all"),
     )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_hash", doc_id, *ties)
-    ranked = first.withColumn("_k", F.row_number().over(inside)).join(before, ["_source", "_bucket"])
-    ranked = ranked.withColumn("_rank", (2 * (F.col("_before") + F.col("_k")) - 1).cast("double") / (2 * F.col("_all")).cast("double"))
-    ranked = ranked.withColumn("_cut", F.least(F.floor(F.col("_rank") * (1 << bits)), F.lit((1 << bits) - 1)))
-    ranked = ranked.drop("_bucket", "_k", "_before", "_all")
+    inside = Window.partitionBy("__lf_source", "__lf_bucket").orderBy("__lf_hash", doc_id, *ties)
+    ranked = first.withColumn("__lf_k", F.row_number().over(inside)).join(before, ["__lf_source", "__lf_bucket"])
+    ranked = ranked.withColumn("__lf_rank", (2 * (F.col("__lf_before") + F.col("__lf_k")) - 1).cast("double") / (2 * F.col("__lf_all")).cast("double"))
+    ranked = ranked.withColumn("__lf_cut", F.least(F.floor(F.col("__lf_rank") * (1 << bits)), F.lit((1 << bits) - 1)))
+    ranked = ranked.drop("__lf_bucket", "__lf_k", "__lf_before", "__lf_all")
     # where a source's row k falls needs no row: the histogram of the fractional ranks follows from the source sizes
-    sizes = count.groupBy("_source").agg(F.sum("_n").alias("_all"))
+    sizes = count.groupBy("__lf_source").agg(F.sum("__lf_n").alias("__lf_all"))
     cut = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)))
-    upto = lambda c: F.least(F.col("_all"), F.greatest(F.lit(0), F.ceil((F.col("_all") * c.cast("long")).cast("double") / (1 << bits) - 0.5)))
-    cuts = sizes.select("_all", cut.alias("_cut")).select("_cut", (upto(F.col("_cut") + 1) - upto(F.col("_cut"))).alias("_n"))
-    cuts = cuts.groupBy("_cut").agg(F.sum("_n").alias("_n"))
-    order = Window.orderBy("_cut")  # 2 ** bits rows at any size of the input
-    cuts = cuts.select("_cut", (F.sum("_n").over(order) - F.col("_n")).alias("_ahead"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
-    among = Window.partitionBy("_cut").orderBy("_rank", F.xxhash64(F.lit(seed), "_source"), "_source", "_hash", doc_id, *ties)
-    placed = ranked.withColumn("_k", F.row_number().over(among)).join(cuts, "_cut")
-    placed = placed.withColumn("_at", F.col("_ahead") + F.col("_k") - 1).withColumn("shard", F.expr(f"cast(_at * {shards} div _total AS int)"))
-    start = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return placed.withColumn("slot", F.col("_at") - start).select(*[F.col(f"`{c}`") for c in names], "shard", "slot")
+    upto = lambda c: F.least(F.col("__lf_all"), F.greatest(F.lit(0), F.ceil((F.col("__lf_all") * c.cast("long")).cast("double") / (1 << bits) - 0.5)))
+    cuts = sizes.select("__lf_all", cut.alias("__lf_cut")).select("__lf_cut", (upto(F.col("__lf_cut") + 1) - upto(F.col("__lf_cut"))).alias("__lf_n"))
+    cuts = cuts.groupBy("__lf_cut").agg(F.sum("__lf_n").alias("__lf_n"))
+    order = Window.orderBy("__lf_cut")  # 2 ** bits rows at any size of the input
+    cuts = cuts.select("__lf_cut", (F.sum("__lf_n").over(order) - F.col("__lf_n")).alias("__lf_ahead"), F.sum("__lf_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__lf_total"))
+    among = Window.partitionBy("__lf_cut").orderBy("__lf_rank", F.xxhash64(F.lit(seed), "__lf_source"), "__lf_source", "__lf_hash", doc_id, *ties)
+    placed = ranked.withColumn("__lf_k", F.row_number().over(among)).join(cuts, "__lf_cut")
+    placed = placed.withColumn("__lf_at", F.col("__lf_ahead") + F.col("__lf_k") - 1).withColumn("shard", F.expr(f"cast(__lf_at * {shards} div __lf_total AS int)"))
+    start = F.expr(f"(shard * __lf_total + {shards - 1}) div {shards}")
+    return placed.withColumn("slot", F.col("__lf_at") - start).select(*[F.col(f"`{c}`") for c in names], "shard", "slot")
 
 
 def op9_shard(spark, sf_dir: str) -> DataFrame:

@@ -224,14 +224,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     row too. Columns are those of ``docs``.
     """
     names = docs.columns
-    base = written(fingerprinted(docs, text, name="_fp"), "simhash-docs")
-    prints = base.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_fp").alias("fp"))
+    base = written(fingerprinted(docs, text, name="__lf_fp"), "simhash-docs")
+    prints = base.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__lf_fp").alias("fp"))
     stay = prints.join(checkpointed(components(prints)), "fp").where("doc_id <=> component_id").groupBy("component", "doc_id", "fp").count()
     stay = stay.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "count")).alias("x"))
-    stay = checkpointed(stay.select(F.col("doc_id").alias("_id"), F.col("x.fp").alias("_print"), F.col("x.count").alias("_n")))
-    kept = base.join(stay, (F.col("_fp") == F.col("_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    if stay.where("_n > 1").limit(1).count():
-        kept = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_fp", "_id"]))
+    stay = checkpointed(stay.select(F.col("doc_id").alias("__lf_id"), F.col("x.fp").alias("__lf_print"), F.col("x.count").alias("__lf_n")))
+    kept = base.join(stay, (F.col("__lf_fp") == F.col("__lf_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__lf_id")))
+    if stay.where("__lf_n > 1").limit(1).count():
+        kept = kept.where("__lf_n = 1").unionByName(kept.where("__lf_n > 1").dropDuplicates(["__lf_fp", "__lf_id"]))
     return kept.select(*[F.col(f"`{c}`") for c in names])
 
 

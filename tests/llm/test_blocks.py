@@ -29,7 +29,7 @@ def odd(spark):
     rows += [(None, base, "en", "s1", 1), (100, None, None, None, None), (101, "", "en", "s1", 0), (7, prose(7, 12), "en", "s1", 1), (7, prose(7, 12), "en", "s1", 1)]
     rows += [(200 + i, base + " " + w, "fr", "s2", 1) for i, w in enumerate("x y z".split())] + [(300, prose(9, 200_000), "en", "s9", 1)]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit("old") for c in ("fp", "n_words", "shard", "epoch", "component")}), rows
+    return df.withColumns({c: F.lit("old") for c in ("fp", "n_words", "shard", "epoch", "component", "_fp", "_id", "_n", "_source", "_hash", "_domain", "_tokens", "_score", "_spans")}), rows
 
 
 def brute_words(text):
