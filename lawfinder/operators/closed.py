@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lawfinder.functions import columns as C
-from lawfinder.operators.stats import column_stats, ecdf, histogram, rice_bins
+from lawfinder.operators.stats import column_stats, ecdf, histogram, quantiles, rice_bins
 
 
 def closed_fits(rows: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by: Sequence[str] = ("column_name",)) -> DataFrame:
@@ -22,7 +22,7 @@ def closed_fits(rows: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by:
     by = list(by)
     stats = column_stats(rows, by)
     if "laplace" in families:
-        middle = rows.groupBy(*by).agg(F.percentile("value", F.lit(0.5)).alias("q50"))
+        middle = quantiles(rows, (0.5,), by, exact=True)
         off = rows.join(F.broadcast(middle), by).groupBy(*by, "q50").agg(F.avg(F.abs(F.col("value") - F.col("q50"))).alias("mean_deviation"))
         stats = stats.join(F.broadcast(off), by)
     each = []

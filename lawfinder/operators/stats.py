@@ -58,9 +58,21 @@ def column_stats(rows: DataFrame, by: Sequence[str] = ("column_name",)) -> DataF
 
 
 def quantiles(rows: DataFrame, at: Sequence[float], by: Sequence[str] = ("column_name",), exact: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """Quantiles of each column, named q<percent>; exact ones keep all distinct values of a column in one aggregate."""
-    one = F.percentile if exact else (lambda c, p: F.percentile_approx(c, p, accuracy))
-    return rows.groupBy(*by).agg(*[one("value", F.lit(p)).alias(f"q{100 * p:g}".replace(".", "_")) for p in at])
+    """Quantiles of each column, named q<percent>, interpolated linearly where they are exact.
+
+    Exact ones come from the distinct values' running counts, so no task holds a column's values.
+    """
+    names = [f"q{100 * p:g}".replace(".", "_") for p in at]
+    if not exact:
+        return rows.groupBy(*by).agg(*[F.percentile_approx("value", F.lit(p), accuracy).alias(n) for p, n in zip(at, names, strict=True)])
+    place = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("upto"))
+    picks = []
+    for i, p in enumerate(at):
+        picks += [F.max(F.when(holds(F.floor(place(p))), F.col("value"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(place(p))), F.col("value"))).alias(f"_hi{i}")]
+    got = ecdf(rows, by).groupBy(*by).agg(F.max("total").alias("total"), *picks)
+    part = lambda p: place(p) - F.floor(place(p))
+    return got.select(*by, *[(F.col(f"_lo{i}") + part(p) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n) for i, (p, n) in enumerate(zip(at, names, strict=True))])
 
 
 def auto_bounds(rows: DataFrame) -> DataFrame:
@@ -69,7 +81,8 @@ def auto_bounds(rows: DataFrame) -> DataFrame:
 
 def heavy_tail_flags(rows: DataFrame) -> DataFrame:
     """Excess kurtosis above 6, or the largest value above 3 times a positive 99th percentile; under 10 values never."""
-    s = rows.groupBy("column_name").agg(F.count("*").alias("n"), F.kurtosis("value").alias("kurtosis"), F.percentile("value", F.lit(0.99)).alias("p99"), F.max("value").alias("top"))
+    s = rows.groupBy("column_name").agg(F.count("*").alias("n"), F.kurtosis("value").alias("kurtosis"), F.max("value").alias("top"))
+    s = s.join(quantiles(rows, (0.99,), exact=True).withColumnRenamed("q99", "p99"), "column_name")
     ratio = F.when(F.col("p99") > 0, F.col("top") / F.col("p99"))
     heavy = (F.col("n") >= 10) & ((F.col("kurtosis") > 6) | F.coalesce(ratio > 3, F.lit(False)))
     return s.select("column_name", "kurtosis", ratio.alias("max_over_p99"), heavy.alias("heavy_tailed"))

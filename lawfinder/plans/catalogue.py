@@ -499,7 +499,7 @@ SELECT stratum, count(*) AS n, CAST(count(*) FILTER (WHERE h < CASE WHEN stratum
 )
 def stratified_counts(spark, d):
     t = table(spark, d, "events")
-    cuts = t.agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.2, 0.4, 0.6, 0.8)])).alias("q"))
+    cuts = stats.quantiles(events(spark, d), (0.2, 0.4, 0.6, 0.8), exact=True).select(F.array("q20", "q40", "q60", "q80").alias("q"))
     rows = t.crossJoin(F.broadcast(cuts))  # one row of cuts
     stratum = sum(((F.col("value") > F.col("q")[i]).cast("int") for i in range(1, 4)), (F.col("value") > F.col("q")[0]).cast("int"))
     rows = rows.select(stratum.alias("stratum"), ((F.col("event_id") * 2654435761) % 1000).alias("h"))
