@@ -22,6 +22,22 @@ CLOSED = {
 }
 
 
+#: The log-likelihood at those estimates, over the same sums: no second pass.
+LOGLIK = {
+    "norm": "-n / 2 * (ln(2 * pi() * data_stddev * data_stddev) + 1)",
+    "expon": "-n * (ln(data_mean - data_min) + 1)",
+    "uniform": "-n * ln(data_max - data_min)",
+    "laplace": "-n * (ln(2 * mean_deviation) + 1)",
+    "halfnorm": "n * ln(2D) - n / 2 * (ln(2 * pi() * (mean_square - 2 * data_min * data_mean + data_min * data_min)) + 1)",
+    "rayleigh": "n * (mean_log - ln(mean_square / 2) - 1)",
+    "maxwell": "n * (ln(2D) - ln(2 * pi()) / 2 + 2 * mean_log - 1.5D * ln(mean_square / 3) - 1.5D)",
+    "lognorm": "-n / 2 * (ln(2 * pi() * sd_log * sd_log) + 1) - n * mean_log",
+    "pareto": "-n * ln(mean_log - ln(data_min)) + n * ln(data_min) / (mean_log - ln(data_min)) - (1 / (mean_log - ln(data_min)) + 1) * n * mean_log",
+    "invgauss": "-n / 2 * ln(2 * pi()) - 1.5D * n * (mean_log + ln(mean_inverse - 1 / data_mean)) + n * ln(mean_inverse - 1 / data_mean)"
+    " - n * (1 / (2 * data_mean * (mean_inverse - 1 / data_mean)) - 1 / (data_mean * (mean_inverse - 1 / data_mean)) + mean_inverse / (2 * (mean_inverse - 1 / data_mean)))",
+}
+
+
 def phi(z: Column) -> Column:
     """Standard normal distribution function by Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
     x = F.abs(z) / F.lit(math.sqrt(2))

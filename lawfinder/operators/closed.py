@@ -14,7 +14,9 @@ from lawfinder.operators.stats import column_stats, ecdf, histogram, quantiles,
 
 
 def closed_fits(rows: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by: Sequence[str] = ("column_name",)) -> DataFrame:
-    """(by..., distribution, parameters, n): one row for each family and column, from one pass over the data.
+    """(by..., distribution, parameters, n, loglik, aic, bic): one row for each family and column, from one pass.
+
+    The likelihoods too are functions of the sums that give the estimates.
 
     laplace needs the median and the mean distance from it: a second pass, made only where it is asked for.
     Families of positive data are left out of columns that hold other values, and all of a constant column.
@@ -31,9 +33,14 @@ def closed_fits(rows: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by:
         ok = F.col("data_stddev") > 0
         if positive:
             ok = ok & (F.col("data_min") > 0)
-        each.append(F.when(ok, F.struct(F.lit(name).alias("distribution"), F.array(*[F.expr(e).cast("double") for e in estimates]).alias("parameters"))))
+        each.append(F.when(ok, F.struct(F.lit(name).alias("distribution"), F.array(*[F.expr(e).cast("double") for e in estimates]).alias("parameters"), F.expr(C.LOGLIK[name]).cast("double").alias("loglik"))))
     out = stats.select(*by, "n", F.explode(F.array_compact(F.array(*each))).alias("x"))
-    return out.select(*by, "x.distribution", "x.parameters", "n")
+    return with_criteria(out.select(*by, "x.distribution", "x.parameters", "n", "x.loglik"))
+
+
+def with_criteria(df: DataFrame) -> DataFrame:
+    k = F.size("parameters")
+    return df.withColumn("aic", 2 * k - 2 * F.col("loglik")).withColumn("bic", k * F.ln("n") - 2 * F.col("loglik"))
 
 
 def _case(families: Sequence[str], values: dict) -> Column:
@@ -81,8 +88,12 @@ def with_cdf(df: DataFrame, x: str, name: str, families: Sequence[str] = tuple(C
 
 
 def likelihoods(rows: DataFrame, fits: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by: Sequence[str] = ("column_name",)) -> DataFrame:
-    """fits with loglik, aic and bic. The fits (columns times families) are broadcast to the rows."""
+    """fits with loglik, aic and bic of these rows, whatever data the parameters come from.
+
+    The fits (columns times families) are broadcast to the rows.
+    """
     by = list(by)
+    fits = fits.drop("loglik", "aic", "bic")
     p = F.col("parameters")
     joined = rows.join(F.broadcast(fits), by).withColumn("_scale", F.element_at(p, -1)).withColumn("_z", (F.col("value") - F.element_at(p, -2)) / F.col("_scale")).withColumn("_s", p[0])
     joined = joined.withColumn("_l", F.ln("_z"))
@@ -98,8 +109,7 @@ def likelihoods(rows: DataFrame, fits: DataFrame, families: Sequence[str] = tupl
         "pareto": inside(z >= 1, F.ln("_s") - (F.col("_s") + 1) * ln),
     }
     scored = joined.withColumn("_v", _case(families, values) - F.ln("_scale")).groupBy(*by, "distribution").agg(F.sum("_v").alias("loglik"))
-    k = F.size("parameters")
-    return fits.join(scored, [*by, "distribution"]).withColumn("aic", 2 * k - 2 * F.col("loglik")).withColumn("bic", k * F.ln("n") - 2 * F.col("loglik"))
+    return with_criteria(fits.join(scored, [*by, "distribution"]))
 
 
 def sse(rows: DataFrame, fits: DataFrame, bins: int | None = None, families: Sequence[str] = tuple(C.CLOSED)) -> DataFrame:
@@ -110,7 +120,7 @@ def sse(rows: DataFrame, fits: DataFrame, bins: int | None = None, families: Seq
     grid = range_.where("_width > 0").select("column_name", "_min", "_width", F.explode(F.sequence(F.lit(0), F.col("_bins") - 1)).alias("bin_id"))
     grid = grid.join(cells, ["column_name", "bin_id"], "left")
     grid = grid.select("column_name", "_width", F.coalesce("density", F.lit(0.0)).alias("density"), (F.col("_min") + F.col("_width") * F.col("bin_id")).alias("lo"), (F.col("_min") + F.col("_width") * (F.col("bin_id") + 1)).alias("hi"))
-    joined = with_cdf(with_cdf(grid.join(F.broadcast(fits), "column_name"), "lo", "_flo", families), "hi", "_fhi", families)
+    joined = with_cdf(with_cdf(grid.join(F.broadcast(fits.select("column_name", "distribution", "parameters")), "column_name"), "lo", "_flo", families), "hi", "_fhi", families)
     joined = joined.withColumn("_d", F.col("density") - (F.col("_fhi") - F.col("_flo")) / F.col("_width"))
     return joined.groupBy("column_name", "distribution").agg(F.sum(F.col("_d") * F.col("_d")).alias("sse"))
 
@@ -118,7 +128,7 @@ def sse(rows: DataFrame, fits: DataFrame, bins: int | None = None, families: Seq
 def distances(rows: DataFrame, fits: DataFrame, families: Sequence[str] = tuple(C.CLOSED), by: Sequence[str] = ("column_name",)) -> DataFrame:
     """(by..., distribution, ks_statistic, ad_statistic) over the distinct values' running counts: ties cost nothing."""
     by = list(by)
-    joined = with_cdf(ecdf(rows, by).join(F.broadcast(fits.drop("n")), by), "value", "_f", families)
+    joined = with_cdf(ecdf(rows, by).join(F.broadcast(fits.select(*by, "distribution", "parameters")), by), "value", "_f", families)
     n, lo, up = (F.col(c).cast("double") for c in ("total", "before", "upto"))
     joined = joined.withColumn("_g", F.least(F.greatest(F.col("_f"), F.lit(1e-10)), F.lit(1 - 1e-10)))
     terms = (up * up - lo * lo) * F.ln("_g") + ((n - lo) * (n - lo) - (n - up) * (n - up)) * F.ln(1 - F.col("_g"))
@@ -137,6 +147,5 @@ def ranked(scored: DataFrame, metric: str = "aic", by: Sequence[str] = ("column_
 def full_fit(rows: DataFrame, families: Sequence[str] = tuple(C.CLOSED), bins: int | None = None) -> DataFrame:
     """All closed-form families with sse, aic, bic, K-S and A-D, ranked by AIC."""
     fits = closed_fits(rows, families)
-    out = likelihoods(rows, fits, families)
-    keys = ["column_name", "distribution"]
-    return ranked(out.join(sse(rows, fits, bins, families), keys).join(distances(rows, fits, families), keys))
+    keys, slim = ["column_name", "distribution"], fits.select("column_name", "distribution", "parameters")
+    return ranked(fits.join(sse(rows, slim, bins, families), keys).join(distances(rows, slim, families), keys))

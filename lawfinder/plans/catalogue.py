@@ -189,6 +189,12 @@ def closed_form_fits(spark, d):
 
 @query("likelihoods", f"WITH {LIKE} SELECT distribution, round(loglik, 3) AS loglik, round(aic, 3) AS aic, round(bic, 3) AS bic FROM sc")
 def likelihoods(spark, d):
+    rows = events(spark, d)
+    return rounded(closed.closed_fits(rows, FAMILIES).select("distribution", "loglik", "aic", "bic"), 3)
+
+
+@query("likelihoods_of_rows", f"WITH {LIKE} SELECT distribution, round(loglik, 3) AS loglik, round(aic, 3) AS aic, round(bic, 3) AS bic FROM sc")
+def likelihoods_of_rows(spark, d):
     rows = events(spark, d)
     return rounded(closed.likelihoods(rows, closed.closed_fits(rows, FAMILIES), FAMILIES).select("distribution", "loglik", "aic", "bic"), 3)
 
@@ -231,7 +237,7 @@ SELECT column_name, distribution, round(aic, 2) AS aic FROM a QUALIFY row_number
 def best_per_column(spark, d):
     rows = stats.long_frame(table(spark, d, "lineitem"), _BEST_COLUMNS)
     some = ("norm", "expon", "uniform")
-    scored = closed.ranked(closed.likelihoods(rows, closed.closed_fits(rows, some), some))
+    scored = closed.ranked(closed.closed_fits(rows, some))
     return rounded(scored.where("rank = 1").select("column_name", "distribution", "aic"), 2)
 
 
@@ -270,7 +276,7 @@ SELECT event_type, 'norm' AS distribution, round(4 + n * (ln(2 * pi() * sd * sd)
 def fits_by_group(spark, d):
     rows = stats.long_frame(table(spark, d, "events"), ["value"], keep=["event_type"]).drop("column_name")
     some = ("norm", "expon")
-    return rounded(closed.likelihoods(rows, closed.closed_fits(rows, some, ["event_type"]), some, ["event_type"]).select("event_type", "distribution", "aic"), 3)
+    return rounded(closed.closed_fits(rows, some, ["event_type"]).select("event_type", "distribution", "aic"), 3)
 
 
 _SKEWED = sorted(POSITIVE_SKEW)
