@@ -56,9 +56,12 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", d
     ranked = ranked.drop("__lf_bucket", "__lf_k", "__lf_before", "__lf_all")
     # where a source's row k falls needs no row: the histogram of the fractional ranks follows from the source sizes
     sizes = count.groupBy("__lf_source").agg(F.sum("__lf_n").alias("__lf_all"))
-    cut = F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1)))
-    upto = lambda c: F.least(F.col("__lf_all"), F.greatest(F.lit(0), F.ceil((F.col("__lf_all") * c.cast("long")).cast("double") / (1 << bits) - 0.5)))
-    cuts = sizes.select("__lf_all", cut.alias("__lf_cut")).select("__lf_cut", (upto(F.col("__lf_cut") + 1) - upto(F.col("__lf_cut"))).alias("__lf_n"))
+    # a source gives a row for each cut, or for each of its rows if these are fewer
+    upto = lambda c: f"least(__lf_all, greatest(0L, ceil(cast(__lf_all * {c} AS double) / {1 << bits} - 0.5D)))"
+    many = f"transform(sequence(0L, {(1 << bits) - 1}L), c -> struct(c AS cut, {upto('(c + 1)')} - {upto('c')} AS n))"
+    few = f"transform(sequence(1L, __lf_all), k -> struct(least(floor(cast(2 * k - 1 AS double) / cast(2 * __lf_all AS double) * {1 << bits}), {(1 << bits) - 1}L) AS cut, 1L AS n))"
+    cuts = sizes.select(F.explode(F.expr(f"CASE WHEN __lf_all < {1 << bits} THEN {few} ELSE {many} END")).alias("x"))
+    cuts = cuts.select(F.col("x.cut").alias("__lf_cut"), F.col("x.n").alias("__lf_n"))
     cuts = cuts.groupBy("__lf_cut").agg(F.sum("__lf_n").alias("__lf_n"))
     order = Window.orderBy("__lf_cut")  # 2 ** bits rows at any size of the input
     cuts = cuts.select("__lf_cut", (F.sum("__lf_n").over(order) - F.col("__lf_n")).alias("__lf_ahead"), F.sum("__lf_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__lf_total"))

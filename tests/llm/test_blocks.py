@@ -169,6 +169,18 @@ def test_shards_are_even_and_mixed(spark, odd):
     assert sharding.interleaved(df, shards=500).count() == len(rows)
 
 
+def test_shards_do_not_depend_on_the_buckets(spark):
+    """Sources with more rows than buckets, with fewer, and with a single row."""
+    rows = [(i, "a" if i < 200 else f"s{i % 40}" if i < 300 else f"only{i}") for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    found = [sorted((r.doc_id, r.shard, r.slot) for r in sharding.interleaved(df, shards=7, bits=bits).collect()) for bits in (2, 5, 12)]
+    assert found[0] == found[1] == found[2]
+    assert [d for d, _, _ in found[0]] == [i for i, _ in rows]
+    for s in range(7):
+        slots = sorted(slot for _, shard, slot in found[0] if shard == s)
+        assert slots == list(range(len(slots))) and 51 <= len(slots) <= 52
+
+
 def brute_divide(budget, children):
     """children: name to (weight, cap); fill by raising one level until it is spent."""
     given = {}
