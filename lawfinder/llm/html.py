@@ -4,7 +4,7 @@ A page is a stream of tags and texts. Within a page, neighbouring equal stretche
 which leaves its pattern; the patterns of a host's pages are aligned one after another, and where two differ the
 wrapper gets a text slot, a repeated group or an optional group, never an alternative. Each text slot of the
 wrapper stands in some elements: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments
-are left out, and so are those outside articles whose text is the same on every page of the host. Of a page's
+are left out, and so are those outside articles whose text is the same on every page of the host (unless no slot's differs). Of a page's
 other slots, those in an article or main element are its text; without such an element those in an element that
 its class calls content, and failing that all of them.
 """
@@ -89,7 +89,7 @@ _KINDS: dict[str, str] = {}
 
 
 def kind(tag: str) -> str:
-    """Of a label: ``noise``, ``header``, ``article``, ``content`` or nothing."""
+    """Of a label: ``noise``, ``header``, ``lead`` (a content element's header), ``article``, ``content`` or nothing."""
     if tag not in _KINDS:
         if len(_KINDS) > 100_000:
             _KINDS.clear()
@@ -104,7 +104,7 @@ def kind(tag: str) -> str:
         elif name not in _PLAIN and names & _NOISE:
             found = "noise"
         elif name == "header" or "header" in names:
-            found = "header"
+            found = "lead" if names & _CONTENT else "header"
         elif name not in _PLAIN and names & _CONTENT:
             found = "content"
         _KINDS[tag] = found
@@ -396,8 +396,8 @@ def wanted(slot: str) -> bool:
         k = kind(tag)
         if k == "noise":
             return False
-        inside |= k in ("article", "content")
-        header |= k == "header"
+        inside |= k in ("article", "content", "lead")
+        header |= k in ("header", "lead")
         heading |= tag.partition(" ")[0] in _HEADINGS
     return not header or (inside and heading)
 
@@ -405,7 +405,7 @@ def wanted(slot: str) -> bool:
 def rank(slot: str) -> int:
     """2 in an article, 1 in an element called content, 0 elsewhere."""
     kinds = {kind(t) for t in slot.split("/")}
-    return 2 if "article" in kinds else 1 if "content" in kinds else 0
+    return 2 if "article" in kinds else 1 if kinds & {"content", "lead"} else 0
 
 
 def as_text(wrapper: tuple) -> str:
@@ -500,7 +500,8 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             for host, packed_, fixed_ in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 wrapper = _unpack(packed_)
                 known = set(fixed_ or ())
-                good = [s for s in slots(wrapper) if wanted(s) and (rank(s) == 2 or s not in known)]
+                able = [s for s in slots(wrapper) if wanted(s)]
+                good = [s for s in able if rank(s) == 2 or s not in known] or able  # where nothing differs, pages are copies
                 out.append((host, as_text(wrapper), json.dumps(sorted(good), ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["host", "wrapper", "slots"])
 
@@ -510,10 +511,25 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
 _ARTICLE = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 
 
+def opens_article(page: str) -> bool:
+    """Whether an article begins outside comments and whatever else is left out."""
+    reader = Reader()
+    for what, value in events(page):
+        if what == "<":
+            if kind(value) == "article" and not any(kind(t) == "noise" for t in reader.open):
+                return True
+            reader.start(value)
+        elif what == ">":
+            reader.end(value)
+    return False
+
+
 def main_text(page: str, good: frozenset[str] | None) -> str:
     """The texts of the best-ranked content slots that the page fills, blocks joined by an empty line."""
     found = [(rank(s), t) for s, t in blocks(page) if wanted(s) and (good is None or s in good)]
-    best = 2 if _ARTICLE.search(page) else max((r for r, _ in found), default=0)
+    best = max((r for r, _ in found), default=0)
+    if best < 2 and _ARTICLE.search(page) and opens_article(page):
+        return ""
     return "\n\n".join(t for r, t in found if r >= best)
 
 

@@ -34,6 +34,8 @@ def page(body, head=""):
         ("<div>top</div><div class='post-content'><p>mine</p><div class='related-posts'>r</div></div>", "mine"),
         ("<div>top</div><article></article>", ""),
         ("<article><p>a</p></article><div class=content>b</div><section>c</section>", "a"),
+        ("<div class=story><p>a</p></div><section id=comments><article class=comment><p>c</p></article></section>", "a"),
+        ("<div class=page-header>site</div><div class=article-header><h1>T</h1><p>by line</p></div><div class=article-body><p>b</p></div>", "T\n\nb"),
         ("", ""),
     ],
 )
@@ -56,6 +58,8 @@ def test_extract_odd_pages(spark, small):
     assert got[20][0] == "t 20" and got[21][0] == "plain"
     assert got[30][1] == 20_000 * 3 - 2
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
+    copies = spark.createDataFrame([(i, "http://d.example/", page("<div>one</div><p>two</p>")) for i in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(copies, small=small).collect()} == {"one\n\ntwo"}
 
 
 def test_patterns_and_wrappers():
