@@ -152,12 +152,12 @@ class Model:
 
 #: Evidence beyond which words are counted.
 MUCH = (2.0, 3.0, 4.5)
-FEATURES = 1 + len(STRETCHES) + len(MUCH)
+FEATURES = 2 + len(STRETCHES) + len(MUCH)
 _REMEMBERED: dict[str, dict[bytes, float]] = {}
 
 
 def features(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Mean evidence of all words, that of the most toxic stretches, and how many words have much of it."""
+    """Mean evidence of all words, that of the most toxic stretches, how many words there are and how many have much of it."""
     if model.name not in _REMEMBERED:
         _REMEMBERED.clear()
         _REMEMBERED[model.name] = {}
@@ -181,6 +181,7 @@ def features(model: Model, texts: list[bytes]) -> np.ndarray:
         for k, n in enumerate(STRETCHES):
             m = min(n, len(e))
             out[i, 1 + k] = (sums[m:] - sums[:-m]).max() / m
+        out[i, -len(MUCH) - 1] = np.log1p(len(e))  # so that the counts are judged by the text's length
         out[i, -len(MUCH) :] = [np.log1p((e > x).sum()) for x in MUCH]
     return out
 
