@@ -92,47 +92,72 @@ def gammainc(a: float, x):
         scale = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - math.lgamma(a))
         low = (x < a + 1) & (x > 0)
         if low.any():
-            z, term, k = x[low], np.full(low.sum(), 1 / a), a
-            total = term.copy()
-            for _ in range(int(200 + 10 * math.sqrt(a))):
-                k += 1
-                term = term * z / k
-                total += term
-                if (term < total * 1e-16).all():
-                    break
-            out[low] = total * scale[low]
+            out[low] = _gamma_series(a, x[low]) * scale[low]
         high = x >= a + 1
         if high.any():
-            z = np.minimum(x[high], 1e8)
-            b = z + 1 - a
-            c, d = np.full_like(z, 1e300), 1 / b
-            h = d.copy()
-            for i in range(1, int(200 + 10 * math.sqrt(a))):
-                an = -i * (i - a)
-                b = b + 2
-                d = an * d + b
-                d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-                c = b + an / c
-                c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-                h = h * d * c
-                if (np.abs(d * c - 1) < 1e-15).all():
-                    break
-            out[high] = 1 - scale[high] * h
+            out[high] = 1 - scale[high] * _gamma_fraction(a, np.minimum(x[high], 1e8))
     return np.clip(np.where(np.isinf(x), 1.0, out), 0, 1)
 
 
+#: Steps of a series or fraction after which the elements that have converged leave it.
+CHECK = 4
+
+
+def _gamma_series(a, z):
+    out, at = np.empty_like(z), np.arange(z.size)
+    term, k = np.full(z.size, 1 / a), a
+    total = term.copy()
+    for i in range(int(200 + 10 * math.sqrt(a))):
+        k += 1
+        term = term * z / k
+        total += term
+        if i % CHECK == 0 and (done := term < total * 1e-16).any():
+            out[at[done]] = total[done]
+            at, z, term, total = (v[~done] for v in (at, z, term, total))
+            if not at.size:
+                return out
+    out[at] = total
+    return out
+
+
+def _gamma_fraction(a, z):
+    out, at = np.empty_like(z), np.arange(z.size)
+    b = z + 1 - a
+    c, d = np.full_like(z, 1e300), 1 / b
+    h = d.copy()
+    for i in range(1, int(200 + 10 * math.sqrt(a))):
+        an = -i * (i - a)
+        b = b + 2
+        d = an * d + b
+        d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
+        c = b + an / c
+        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
+        h = h * d * c
+        if i % CHECK == 0 and (done := np.abs(d * c - 1) < 1e-15).any():
+            out[at[done]] = h[done]
+            at, b, c, d, h = (v[~done] for v in (at, b, c, d, h))
+            if not at.size:
+                return out
+    out[at] = h
+    return out
+
+
 def betainc(a: float, b: float, x):
     """Regularised incomplete beta function I_x(a, b), scalar a and b."""
     x = np.clip(np.asarray(x, float), 0, 1)
+    out = np.full_like(x, np.nan)
     with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
         front = np.exp(a * np.log(np.maximum(x, 1e-300)) + b * np.log(np.maximum(1 - x, 1e-300)) - betaln(a, b))
         swap = x > (a + 1) / (a + b + 2)
-        out = np.where(swap, 1 - front * _beta_fraction(b, a, np.where(swap, 1 - x, 0)) / b, front * _beta_fraction(a, b, np.where(swap, 0, x)) / a)
+        high, low = swap & (x < 1), ~swap & (x > 0)
+        out[high] = 1 - front[high] * _beta_fraction(b, a, 1 - x[high]) / b
+        out[low] = front[low] * _beta_fraction(a, b, x[low]) / a
     return np.clip(np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out)), 0, 1)
 
 
 def _beta_fraction(a, b, x):
     tiny = 1e-300
+    out, at = np.empty_like(x), np.arange(x.size)
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -144,9 +169,13 @@ def _beta_fraction(a, b, x):
             c = 1 + an / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if (np.abs(d * c - 1) < 1e-14).all():
-            break
-    return h
+        if m % CHECK == 0 and (done := np.abs(d * c - 1) < 1e-14).any():
+            out[at[done]] = h[done]
+            at, x, c, d, h = (v[~done] for v in (at, x, c, d, h))
+            if not at.size:
+                return out
+    out[at] = h
+    return out
 
 
 def kolmogorov_sf(y: float) -> float:
