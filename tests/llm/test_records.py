@@ -158,6 +158,40 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert p.sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 3])
+def test_toxicity_keeps_rare_sequences(spark, broadcast):
+    """A word seen twice in a class of millions of sequences keeps its evidence, that of the in-memory model."""
+    filler = "alpha beta gamma delta " * 12_000
+    rows = [(i, filler + ("zqxvile " if i in (3, 9) else "")) for i in range(80)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, broadcast=broadcast)
+    use = {i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) // 4 % 4 != 0}
+    assert use >= {3, 9}
+    counts = {}
+    for i, text in rows:
+        for w in (text or "").split():
+            n = counts.setdefault(w.encode(), [0, 0, 0])
+            n[0] += 1
+            if i in use:
+                n[1 + i % 2] += 1
+    words = sorted(counts)
+    g, size = toxicity.spelt(words)
+    n = np.repeat(np.array([counts[w] for w in words]), size, axis=0)
+    keys, back = np.unique(g, return_inverse=True)
+    n = np.stack([np.bincount(back, c, len(keys)) for c in n.T])
+    assert n[1].sum() > 2**21 * 2 and n[2].sum() > 2**21 * 2
+    want = toxicity.Spelling(keys, n).evidence(keys)
+    found = dict(zip(*[x.tolist() for x in model.evidence.sent.value], strict=True))
+    if broadcast == 3:
+        found |= {r.g: r.e for r in model.evidence.rare.collect()}
+    assert found == pytest.approx(dict(zip(keys.tolist(), want, strict=True)), abs=1e-9)
+    assert sum(found[g] for g in toxicity.spelt([b"zqxvile"])[0].tolist()) > 0.5
+    own = {r.doc_id: r.score for r in toxicity.scored(df, model).collect()}
+    again = {r.doc_id: r.score for r in toxicity.scored(df.select("*"), model).collect()}  # words counted anew
+    assert len(own) == len(rows) and own == pytest.approx(again)
+
+
 def test_network_gradients():
     r = np.random.default_rng(1)
     data, y = r.integers(0, 256, (4, quality.CHUNK)).astype(np.uint8), np.array([0, 1, 1, 0], np.float32)
