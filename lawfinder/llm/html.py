@@ -4,7 +4,8 @@ A page is a stream of tags and texts. Within a page, neighbouring equal stretche
 which leaves its pattern; the patterns of a host's pages are aligned one after another, and where two differ the
 wrapper gets a text slot, a repeated group or an optional group, never an alternative. Each text slot of the
 wrapper stands in some elements: slots in menus, headers, footers, sidebars, notices, adverts, forms and comments
-are left out, and so are those outside articles whose text is the same on every page of the host (unless no slot's differs). Of a page's
+are left out, and so are those outside articles that most different pages of the host have, all with the same text
+(unless no slot's differs). Of a page's
 other slots, those in an article or main element are its text; without such an element those in an element that
 its class calls content, and failing that all of them.
 """
@@ -12,6 +13,7 @@ its class calls content, and failing that all of them.
 from __future__ import annotations
 
 import html as references
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -27,7 +29,8 @@ from lawfinder.llm.common import add_columns, parallelism, table, utf8, without
 
 #: Longest stretch of tokens that may fold into a repeated group.
 LONGEST = 16
-#: A slot's text is part of the template if it is the same on all pages that have it, and on this many at least.
+#: A slot's text is part of the template if it is the same on all pages that have it, these are most of the host's
+#: different pages without an article, and this many at least.
 LEAST_PAGES = 3
 #: Patterns of a host that are aligned in a first round, by the hash of the pattern, before its rounds are joined.
 ROUNDS = 32
@@ -428,13 +431,31 @@ def host_of(url: str | None) -> str:
     return found[1].rpartition("@")[2].partition(":")[0].lower() if found else ""
 
 
-_PATTERNS = pa.schema([("host", pa.string()), ("round", pa.int32()), ("pattern", pa.string()), ("slot", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("pages", pa.int64())])
+_PATTERNS = pa.schema([("host", pa.string()), ("round", pa.int32()), ("pattern", pa.string()), ("page", pa.int64()), ("slot", pa.int64()), ("text", pa.int64()), ("pages", pa.int64())])
+
+
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 def _patterns(batches):
-    """(url, html) to the patterns of hosts, and for slots of pages without an article how many pages have them and whether with one text."""
+    """(url, html) to the patterns of hosts, and for pages without an article the hashes of page, slot and text (slot null: the page).
+
+    A page is what its texts are, so copies are one page.
+    """
     seen: dict[tuple[str, str], int] = {}
-    texts: dict[tuple[str, str], list[int]] = {}
+    texts: set[tuple] = set()
+
+    def rows():
+        yield from ((h, xxhash.xxh32_intdigest(p) % ROUNDS, p, None, None, None, n) for (h, p), n in seen.items())
+        yield from ((h, 0, None, *t, None) for h, *t in texts)
+
+    def out():
+        for some in iter(lambda r=rows(): list(itertools.islice(r, 5000)), []):
+            yield pa.RecordBatch.from_pylist([dict(zip(_PATTERNS.names, r, strict=True)) for r in some], schema=_PATTERNS)
+        seen.clear()
+        texts.clear()
+
     for b in batches:
         for url, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
             host, page = host_of(url), raw.decode("utf-8", "replace")
@@ -445,14 +466,14 @@ def _patterns(batches):
             for slot, text in () if has_article(shape) else blocks(page):
                 if wanted(slot):
                     here.setdefault(slot, []).append(text)
-            for slot, found in here.items():
-                h = xxhash.xxh64_intdigest("\n".join(found)) >> 1
-                t = texts.setdefault((host, slot), [h, h, 0])
-                t[:] = [min(t[0], h), max(t[1], h), t[2] + 1]
-    rows = [(h, xxhash.xxh32_intdigest(p) % ROUNDS, p, None, None, None, n) for (h, p), n in seen.items()]
-    rows += [(h, 0, None, s, *t) for (h, s), t in texts.items()]
-    for at in range(0, len(rows), 5000):
-        yield pa.RecordBatch.from_pylist([dict(zip(_PATTERNS.names, r, strict=True)) for r in rows[at : at + 5000]], schema=_PATTERNS)
+            if here:
+                each = {digest(slot): digest("\n".join(found)) for slot, found in here.items()}
+                own = digest(repr(sorted(each.items())))
+                texts.add((host, own, None, None))
+                texts.update((host, own, *x) for x in each.items())
+        if len(texts) > 200_000:
+            yield from out()
+    yield from out()
 
 
 def _aligned(keys: int):
@@ -486,13 +507,16 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     """
     n = parallelism(pages.sparkSession)
     rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    rows = rows.mapInArrow(_patterns, "host string, round int, pattern string, slot string, low long, high long, pages long").persist()
+    rows = rows.mapInArrow(_patterns, "host string, round int, pattern string, page long, slot long, text long, pages long").persist()
     each = rows.where("pattern IS NOT NULL").groupBy("host", "round", "pattern").agg(F.sum("pages").alias("pages"))
     first = each.repartition(n, "host", "round").sortWithinPartitions("host", "round", F.desc("pages"), "pattern").select("host", "round", "pattern")
     first = first.mapInArrow(_aligned(2), "host string, pattern string")
     whole = first.repartition(n, "host").sortWithinPartitions("host", F.length("pattern"), "pattern").mapInArrow(_aligned(1), "host string, pattern string")
-    fixed = rows.where("slot IS NOT NULL").groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
-    fixed = fixed.where(f"low = high AND pages >= {LEAST_PAGES}").groupBy("host").agg(F.collect_list("slot").alias("fixed"))
+    once = rows.where("page IS NOT NULL").groupBy("host", "page", "slot").agg(F.min("text").alias("text"))
+    fixed = once.groupBy("host", "slot").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("*").alias("pages"))
+    of_host = F.max(F.when(F.col("slot").isNull(), F.col("pages"))).alias("all")
+    same = F.collect_list(F.when(F.expr(f"low = high AND pages >= {LEAST_PAGES}"), F.struct("slot", "pages"))).alias("same")
+    fixed = fixed.groupBy("host").agg(of_host, same).select("host", F.expr("transform(filter(same, x -> 2 * x.pages > all), x -> x.slot)").alias("fixed"))
 
     def decide(batches):
         for b in batches:
@@ -501,7 +525,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> Da
                 wrapper = _unpack(packed_)
                 known = set(fixed_ or ())
                 able = [s for s in slots(wrapper) if wanted(s)]
-                good = [s for s in able if rank(s) == 2 or s not in known] or able  # where nothing differs, pages are copies
+                good = [s for s in able if rank(s) == 2 or digest(s) not in known] or able  # where nothing differs, pages are copies
                 out.append((host, as_text(wrapper), json.dumps(sorted(good), ensure_ascii=False)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["host", "wrapper", "slots"])
 

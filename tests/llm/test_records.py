@@ -62,6 +62,19 @@ def test_extract_odd_pages(spark, small):
     assert {r.text for r in html.extract(copies, small=small).collect()} == {"one\n\ntwo"}
 
 
+def test_copies_and_rare_slots_are_no_template(spark):
+    """A story at three addresses is one page, and a slot that few different pages have is not the template's."""
+    story = page("<div>Top</div><div class=content><p>a story</p><blockquote>quoted</blockquote></div>")
+    odd = page("<div>Top</div><section class=own><p>an odd one</p></section>")
+    plain = lambda i: page(f"<div>Top</div><div class=content><p>text {i}</p></div>")
+    headed = lambda i: page(f"<div>Top</div><div class=content><h3>Sources</h3><p>note {i}</p></div>")
+    rows = [(i, f"http://e.example/{i}", x) for i, x in enumerate([story] * 3 + [odd] * 3 + [plain(i) for i in range(6)] + [headed(i) for i in range(3)])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(3)} == {"a story\n\nquoted"} and {got[i] for i in range(3, 6)} == {"an odd one"}
+    assert [got[6 + i] for i in range(6)] == [f"text {i}" for i in range(6)]
+    assert [got[12 + i] for i in range(3)] == [f"Sources\n\nnote {i}" for i in range(3)]
+
+
 def test_patterns_and_wrappers():
     p = html.pattern(page("<ul><li>a<li>b<li>c</ul><p>x</p><p>y</p>"))
     assert html.as_text(p) == "<html><head></head><body><ul>(<li>#)+</ul>(<p>#</p>)+</body></html>"
