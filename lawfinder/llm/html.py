@@ -8,6 +8,9 @@ are left out, and so are those outside articles that most different pages of the
 (unless no slot's differs). Of a page's
 other slots, those in an article or main element are its text; without such an element those in an element that
 its class calls content, and failing that all of them.
+
+So the rule is by element and class names and shared texts. Slots are known by the elements they stand in and not by their
+position in the wrapper: the alignment gives the host's expression, but the same set of slots as the pages themselves.
 """
 
 from __future__ import annotations
