@@ -11,8 +11,10 @@ from lawfinder.functions import kernel, registry
 from lawfinder.operators.stats import long_frame
 
 
-def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int = 10_000, seed: int | None = 42) -> dict[str, tuple[float, float]]:
-    """Percentile intervals of each parameter, from resamples of at most ``max_samples`` values.
+def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int | None = 10_000, seed: int | None = 42) -> dict[str, tuple[float, float]]:
+    """Percentile intervals of each parameter, from resamples of about ``max_samples`` values; None: of as many as there are.
+
+    All values are drawn as multinomial counts of the distinct ones, which are what is sent to the tasks.
 
     Refits that fail, and those outside three interquartile ranges in any parameter, are left out; fewer than
     ten left is an error.
@@ -20,25 +22,36 @@ def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstr
     spark, law = df.sparkSession, registry.get_law(result.distribution)
     discrete = hasattr(law, "pmf")
     rows = long_frame(df, [column], discrete=discrete).select("value")
-    n = rows.count()
-    if n > max_samples:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed or 0), F.monotonically_increasing_id(), "value"), F.lit(1_000_003)) < F.lit(int(1_000_003 * max_samples / n)))
-    sent = spark.sparkContext.broadcast(rows.toPandas().value.to_numpy(float))
+    if max_samples is None:
+        pdf = rows.groupBy("value").count().toPandas().sort_values("value")
+        values, counts = pdf.value.to_numpy(float), pdf["count"].to_numpy(np.int64)
+    else:
+        n = rows.count()
+        if n > max_samples:
+            rows = rows.where(F.pmod(F.xxhash64(F.lit(seed or 0), F.monotonically_increasing_id(), "value"), F.lit(1_000_003)) < F.lit(int(1_000_003 * max_samples / n)))
+        values, counts = rows.toPandas().value.to_numpy(float), None
+    sent = spark.sparkContext.broadcast((values, counts))
     custom = registry.get_custom_distributions().get(result.distribution)
     base, name = 0 if seed is None else seed, result.distribution
 
     def run(batches):
-        x, law = sent.value, custom or registry.get_law(name)
+        (x, counts), law = sent.value, custom or registry.get_law(name)
+
+        def drawn(r):
+            if counts is None:
+                return r.choice(x, len(x))
+            return np.repeat(x, r.multinomial(counts.sum(), counts / counts.sum()))
+
         for pdf in batches:
             out = []
             for b in pdf.id:
                 r = np.random.default_rng([base, int(b)])
                 try:
                     if discrete:
-                        v, c = np.unique(r.choice(x, len(x)), return_counts=True)
+                        v, c = np.unique(drawn(r), return_counts=True)
                         p = kernel.fit_discrete(law, v, c.astype(float))
                     else:
-                        p = kernel.fit_mle(law, r.choice(x, len(x)))
+                        p = kernel.fit_mle(law, drawn(r))
                     out.append([float(v) for v in p])
                 except Exception:
                     out.append([float("nan")])

@@ -95,7 +95,7 @@ class FitResult:
         a, b = (float(v) for v in self.ppf(np.array([0.01, 0.99])))
         return (a, b) if math.isfinite(a) and math.isfinite(b) and a < b else (self.data.get("data_min"), self.data.get("data_max"))
 
-    def confidence_intervals(self, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int = 10_000, random_seed: int | None = 42) -> dict[str, tuple[float, float]]:
+    def confidence_intervals(self, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int | None = 10_000, random_seed: int | None = 42) -> dict[str, tuple[float, float]]:
         from lawfinder.operators.bootstrap import intervals
 
         return intervals(self, df, column, alpha, n_bootstrap, max_samples, random_seed)

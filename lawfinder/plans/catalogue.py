@@ -593,7 +593,7 @@ def lazy_shortlist(spark, d):
 def bootstrap_intervals(spark, d):
     from lawfinder.operators.results import FitResult
 
-    got = FitResult("gamma", [1.0, 0.0, 50.0]).confidence_intervals(table(spark, d, "events"), "value", n_bootstrap=40, max_samples=2000)
+    got = FitResult("gamma", [1.0, 0.0, 50.0]).confidence_intervals(table(spark, d, "events"), "value", n_bootstrap=1000, max_samples=None)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in got.items()], "parameter string, low double, high double")
 
 

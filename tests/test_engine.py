@@ -189,6 +189,18 @@ def test_bootstrap(spark, data):
         FitResult("norm", [0.0, 1.0]).confidence_intervals(data, "value", n_bootstrap=5)
 
 
+def test_bootstrap_of_all_rows(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.randn(3).alias("value"), (F.col("id") % 5).alias("k"))
+    low, high = FitResult("norm", [0.0, 1.0]).confidence_intervals(rows, "value", n_bootstrap=100, max_samples=None)["loc"]
+    assert high - low == pytest.approx(2 * 1.96 / 200, rel=0.35)  # as wide as 40,000 rows make it
+    low, high = FitResult("poisson", [2.0]).confidence_intervals(rows, "k", n_bootstrap=100, max_samples=None)["mu"]
+    assert high - low == pytest.approx(2 * 1.96 * 2**0.5 / 200, rel=0.35)
+    asked = {}
+    monkeypatch.setattr(FitResult, "confidence_intervals", lambda self, df, column, **k: asked.update(k) or {"a": (0.0, 1.0)})
+    catalogue.bootstrap_intervals(spark, "/root/testdata/sf0.001")
+    assert asked == {"n_bootstrap": 1000, "max_samples": None}
+
+
 def test_samples(spark):
     x = sample_distributed(spark, "norm", [5.0, 2.0], 20_000)
     m = x.agg(F.avg("sample"), F.stddev("sample")).first()
