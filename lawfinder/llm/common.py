@@ -54,7 +54,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lf_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, when all that was to be read from them has been."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lf_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

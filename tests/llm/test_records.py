@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import wave
 import zlib
@@ -75,16 +76,87 @@ def test_copies_and_rare_slots_are_no_template(spark):
     assert [got[12 + i] for i in range(3)] == [f"Sources\n\nnote {i}" for i in range(3)]
 
 
-def test_patterns_and_wrappers():
-    p = html.pattern(page("<ul><li>a<li>b<li>c</ul><p>x</p><p>y</p>"))
-    assert html.as_text(p) == "<html><head></head><body><ul>(<li>#)+</ul>(<p>#</p>)+</body></html>"
-    q = html.pattern(page("<p>x</p><div>z</div>"))
-    w = html.as_text(html.align(p, q))
-    assert "(<p>#</p>)+" in w and "(<div>)?" in w and "(<ul>)?" in w and "|" not in w
-    assert html.slots(html.align(p, q)) == {"html/body/ul/li", "html/body/p", "html/body/div"}
-    other = html.pattern(page("<article><p>x</p></article>"))
-    assert html.slots(html.align(p, other)) == {"html/body/ul/li", "html/body/p", "html/body/article/p"}
-    assert html.align(p, p) == p
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<article><div class='notice-of-hearing post-social'><p>main</p></div></article>", "main"),
+        ("<article><p>one</p><noscript><p>two</article><footer>f</footer>", "one"),
+        ("<article><p>one</p><svg><text>two</article><p>x</p>", "one"),
+        ("<article><p>one</p><svg><g><svg><text>q</text></svg><text>r</text></g></svg><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p>one</p><script src='a'/>var x=1;</script><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p title=\"it>one</p><p>two</p></article>", "one\n\ntwo"),
+        ("<article></article><div class=content>real</div>", "real"),
+        ("<article><p title='a>b'>x</p><p data-x=a>y</p><p it's>z</p> don't</article>", "x\n\ny\n\nz\n\ndon't"),
+        ("<article><span class=ad>q<span>r</span>s</span>t<span>u</span></article>", "tu"),
+        ("<article><p>a<button>b<p>c</button>d</article>", "a\n\nd"),
+        ("<article><p>a</p><iframe><p>b</article>", "a\n\nb"),
+        ("<article><p>a<![CDATA[ x > y ]]>b<?php 1 ?>c</article>", "abc"),
+    ],
+)
+def test_malformed_pages(body, want):
+    assert html.main_text(page(body)) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<p>w</p>", "<a x='>", "<", "<iframe>", "<![CDATA[", "<li>", "<i><div class=a>y"])
+def test_long_odd_pages_take_time_in_proportion(part):
+    """A megabyte of tags that never end or nest without bound is read within seconds."""
+    import time
+
+    began = time.process_time()
+    text = html.main_text("<article>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 8
+    assert text.replace("\n\n", "") == {"<div>x": "x", "<p>w</p>": "w", "<": "<", "<i><div class=a>y": "y"}.get(part, "") * (1_000_000 // len(part)) or part == "<a x='>"
+
+
+def expression(body, *more):
+    items = html.filled(html.Page(body))
+    for m in more:
+        items = html.align(items, html.filled(html.Page(m)), html.summed)
+    return html.as_text(items)
+
+
+def test_expressions():
+    assert expression("<ul><li>a<li>b<li>c</ul><p>x</p>") == "<ul>(<li>#</li>)+</ul><p>#</p>"
+    assert expression("<p>x</p><div>y</div>", "<p>x</p>") == "<p>#</p>(<div>#</div>)?"  # what one lacks is optional
+    assert expression("<p>x</p><p>y</p>", "<p>x</p><p>y</p>") == "<p>#</p><p>#</p>"
+    assert expression("<p>x</p><p>y</p>", "<p>x</p><p>y</p><p>z</p>") == "(<p>#</p>)+"  # what one has more of is repeated
+    assert expression("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>") == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
+    menu, story, foot = "<div><ul><li>m</ul></div>", "<div><p>s</p></div>", "<div>f</div>"
+    assert expression(menu + story + foot, menu + foot) == "<div><ul><li>#</li></ul></div>(<div><p>#</p></div>)?<div>#</div>"
+    # beyond the table's size what differs is one group of optional items in any order
+    many = lambda r: "".join(f"<div class={c}>t</div>" for c in r.choices(["a", "b", "c", "d"], k=900))
+    assert expression(many(random.Random(1)), many(random.Random(2))).count("<div") <= 12
+    long = "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26)}>t</div>" for i in range(450))
+    assert expression(long, long.replace("class=kaa", "class=other")).count(")?") == 2  # and long ones are still aligned
+
+
+def test_wrapper_decides_without_names(spark):
+    """No article, no telling class: the wrapper's slots say which of four like elements is the story."""
+    words = lambda r, n: " ".join(r.choice(["rain", "sun", "wind", "snow", "hail"]) + str(r.randint(0, 99)) for _ in range(n))
+    rows = []
+    for i in range(12):
+        r = random.Random(i)
+        story = [words(r, 30) for _ in range(r.randint(1, 6))]
+        menu = "".join(f"<li><a href=/{j}>{words(r, 2)}</a>" for j in range(5))
+        notice = f"<div class=xq>{words(r, 4)}</div>" if i % 3 == 0 else ""
+        body = f"<div class=xa><ul>{menu}</ul></div>{notice}<div class=xb>" + "".join(f"<p>{p}</p>" for p in story) + "<p>Read the same line here</p></div><div class=xc>Our own address</div>"
+        rows.append((i, f"http://n.example/{i}", page(body), "\n\n".join(story)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    for r in html.extract(df).collect():
+        assert r.text == r.want
+        assert html.main_text(r.html) != r.want  # without the wrapper the menu and all else stay
+    plain = df.withColumn("html", F.regexp_replace("html", " class=x[a-z]", ""))  # then only the order and contents tell
+    got = html.extract(plain).collect()
+    assert sum(r.text == r.want for r in got) >= 11
+
+
+def test_rounds_of_alignment(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 2}.example/{i}", page(f"<div>{'<p>a b c</p>' * (i % 4)}<h2>t{i}</h2></div>")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    found = {r.host: html.as_text(json.loads(r.wrapper)) for r in html.infer_wrappers(df).collect()}
+    monkeypatch.setattr(html, "FAN_IN", 2)
+    assert found == {r.host: html.as_text(json.loads(r.wrapper)) for r in html.infer_wrappers(df).collect()}
+    assert set(found) == {"h0.example", "h1.example"} and "(<p>#</p>)*<h2>#</h2>" in found["h0.example"] and "(<p>#</p>)+<h2>#</h2>" in found["h1.example"]
 
 
 def test_extract_is_the_articles_blocks(spark, sf_dir):
