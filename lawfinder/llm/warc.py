@@ -13,18 +13,19 @@ import gzip
 import hashlib
 import io
 import itertools
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lawfinder.llm.common import parallelism, shared_dir, table, utf8, written
+from lawfinder.llm.common import parallelism, removed, shared_dir, table, written
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 0
@@ -34,19 +35,39 @@ FILE_BYTES = 64 << 20
 RUN_ROWS = 20_000
 #: Pages carry no time: page n counts as captured n seconds after this (2024-01-01, in seconds since 1970).
 EPOCH = 1_704_067_200
+#: Page numbers are taken modulo this for their time, so that it can be written as a date.
+WRAP = 1 << 36
+#: Captures that one task of the merge holds, about.
+RANGE_ROWS = 100_000
+#: Repeated payloads (some 60 bytes each) whose smallest page_ids are broadcast; more of them are joined by shuffling.
+SMALL_LEAST = 200_000
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+_URL = re.compile(r"[a-z][a-z0-9+.-]*://([^/?#]*)([^?#]*)(\?[^#]+)?", re.S)
+
+
 def url_key(url: str | None) -> str:
-    """Host labels reversed, then path and query, in lower case: ``com,example)/a?b``. No URL: an empty key."""
-    parts = urlsplit((url or "").strip().lower())
-    host = parts.netloc.rpartition("@")[2].partition(":")[0]
+    """Host labels reversed, then path and query, in lower case: ``com,example)/a?b``.
+
+    User, port and fragment are left out. What has no host is its own key, no URL an empty one; nothing is refused.
+    """
+    text = (url or "").strip().lower()
+    found = _URL.match(text)
+    host = found[1].rpartition("@")[2] if found else ""
+    host = host[: host.find("]") + 1] if host.startswith("[") and "]" in host else host.partition(":")[0]
     if not host:
-        return (url or "").strip().lower()
-    return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        return text
+    labels = [host] if host.startswith("[") else reversed(host.split("."))
+    return ",".join(labels) + ")" + (found[2] or "/") + (found[3] or "")
+
+
+def moment(seconds: int) -> datetime:
+    """Seconds since 1970 as a time that an archive can state; what lies outside the years 1970 to 9999 is moved to their ends."""
+    return datetime.fromtimestamp(min(max(seconds, 0), 253_402_300_799), UTC)
 
 
 def record(page_id: int, url: str | None, when: datetime, payload: bytes, kind: str, refers: int | None) -> bytes:
@@ -81,24 +102,49 @@ def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def with_decisions(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Add payload (binary), kind and refers: equal payloads of ``least_bytes`` or more go to their smallest page_id."""
+def with_decisions(pages: DataFrame, least_bytes: int = LEAST_BYTES, small: int = SMALL_LEAST) -> DataFrame:
+    """Add payload (binary), kind and refers: equal payloads of ``least_bytes`` or more go to their smallest page_id.
+
+    Of rows that repeat this page_id too, one is the response. Payloads without any page_id are all responses. Only digests
+    and ids are shuffled to find the smallest ids; where they are ``small`` rows at most, they are broadcast to the payloads,
+    which stay where they are.
+    """
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    sum_ = F.sha1("payload")
-    least = base.select("page_id", sum_.alias("_sum")).groupBy("_sum").agg(F.min("page_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-    base = base.withColumn("_sum", sum_).join(least.drop("_n"), "_sum", "left")
-    again = F.col("_least").isNotNull() & (F.length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_least"))
-    return base.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("_least")).alias("refers"))
+    base = base.withColumn("_sum", F.unhex(F.sha1("payload")))
+    slim = written(base.where(F.octet_length("payload") >= least_bytes).select("page_id", "_sum"), "warc-digests")
+    least = slim.groupBy("_sum").agg(F.min("page_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1 AND _least IS NOT NULL").drop("_n")
+    least = written(least, "warc-least")
+    few = least.count() <= small
+    at = F.broadcast(least) if few else least
+    # how often the smallest page_id itself occurs with the payload
+    own = slim.join(at, "_sum").where("page_id = _least").groupBy("_sum").agg(F.count("*").alias("_own"))
+    least, gone = written(least.join(own, "_sum"), "warc-least"), least
+    removed(slim, gone)
+    base = base.join(F.broadcast(least) if few else least, "_sum", "left")
+    if least_bytes > 0:
+        base = base.withColumn("_least", F.when(F.octet_length("payload") >= least_bytes, F.col("_least")))
+    again = F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least"))
+    many = F.coalesce(~again & F.col("_least").isNotNull() & (F.col("_own") > 1), F.lit(False))
+    once = base.where(~many) if (repeated := least.where("_own > 1").limit(1).count()) else base
+    columns = ("page_id", "url", "payload", "kind", "refers")
+    out = once.withColumn("kind", F.when(again, "revisit").otherwise("response")).withColumn("refers", F.when(again, F.col("_least"))).select(*columns)
+    if repeated:
+        rows = base.where(many).groupBy("_sum", "page_id", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("_c"))
+        rows = rows.join(rows.groupBy("_sum").agg(F.min(F.coalesce(F.concat(F.lit("u"), "url"), F.lit(""))).alias("_first")), "_sum")
+        first = (F.col("_k") == 1) & (F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")) == F.col("_first"))
+        rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_c")))
+        out = out.unionByName(rows.withColumn("kind", F.when(first, "response").otherwise("revisit")).withColumn("refers", F.when(~first, F.col("page_id"))).select(*columns))
+    return out
 
 
 def write_archives(decided: DataFrame, folder: str, when: Column | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the records to ``folder``; the answer, one row for each file, is the archives' manifest (path, records, bytes).
 
-    when: seconds since 1970 at which a page was captured. A file appears under its final name only when it is whole, and only files in the manifest count, so a task
+    when: seconds since 1970 at which a page was captured (by default EPOCH and page_id, wrapped round at WRAP). A file appears under its final name only when it is whole, and only files in the manifest count, so a task
     that is tried again or twice leaves nothing that would be read.
     """
-    seconds = F.lit(EPOCH).cast("long") + F.coalesce("page_id", F.lit(0)) if when is None else when.cast("long")
+    seconds = F.lit(EPOCH).cast("long") + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(WRAP)) if when is None else F.coalesce(when.cast("long"), F.lit(0))
     rows = decided.select("page_id", "url", seconds.alias("_when"), "payload", "kind", "refers")
 
     def run(batches):
@@ -116,7 +162,7 @@ def write_archives(decided: DataFrame, folder: str, when: Column | None = None,
 
         for batch in batches:
             for page, url, at, payload, kind, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                parts.append(record(page, url, datetime.fromtimestamp(at, UTC), payload, kind, refers))
+                parts.append(record(page, url, moment(at), payload, kind, refers))
                 size += len(parts[-1])
                 n += 1
                 if size >= file_bytes:
@@ -187,20 +233,23 @@ def read_archives(manifest: DataFrame, folder: str, run_rows: int = RUN_ROWS) ->
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node keeps the loser of its match, so a step replays one path to the root."""
-
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs = [iter(r) for r in runs]
-        self.heads = [next(r, None) for r in self.runs]
-        self.keys = [None if h is None else _order(h) for h in self.heads]
-        k = max(1, len(runs))
-        self.losers = [-1] * k
+    """Merges sorted runs of keys: each inner node keeps the loser of its match, so a step replays one path to the root.
+
+    Yields (run, place in the run).
+    """
+
+    def __init__(self, runs: list[list]):
+        self.runs = runs
+        self.at = [0] * len(runs)
+        self.losers = [-1] * max(1, len(runs))
         for i in range(len(runs)):
             self.replay(i, True)
 
     def beats(self, a: int, b: int) -> bool:
-        x, y = self.keys[a], self.keys[b]
-        return y is None or (x is not None and (x, a) <= (y, b))
+        x, y = self.at[a], self.at[b]
+        if x == len(self.runs[a]) or y == len(self.runs[b]):
+            return y == len(self.runs[b])
+        return (self.runs[a][x], a) <= (self.runs[b][y], b)
 
     def replay(self, i: int, filling: bool = False) -> None:
         node, winner = (i + len(self.losers)) // 2, i
@@ -214,50 +263,40 @@ class LoserTree:
             node //= 2
         self.losers[0] = winner
 
-    def __iter__(self) -> Iterator[tuple]:
-        if not self.runs:
-            return
-        while True:
-            i = self.losers[0]
-            if self.keys[i] is None:
-                return
-            yield self.heads[i]
-            self.heads[i] = next(self.runs[i], None)
-            self.keys[i] = None if self.heads[i] is None else _order(self.heads[i])
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        while self.runs and self.at[i := self.losers[0]] < len(self.runs[i]):
+            yield i, self.at[i]
+            self.at[i] += 1
             self.replay(i)
 
 
 def _merge(batches):
-    """All pieces of runs in a range of keys, merged; each piece keeps its run's order in the shuffle (it is checked)."""
-    runs: dict[str, list[tuple]] = {}
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            runs.setdefault(row[-1], []).append(row[:-1])
-    for rows in runs.values():
-        if any(_order(x) > _order(y) for x, y in itertools.pairwise(rows)):
-            rows.sort(key=_order)
-    merged = iter(LoserTree([runs[k] for k in sorted(runs)]))
-    at = 0
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    while part := list(itertools.islice(merged, 10_000)):
-        columns = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(at, at + len(part)), pa.int64())], names=[*_CAPTURE.names[:-1], "place"])
-        at += len(part)
-
-
-def merged_index(captures: DataFrame) -> DataFrame:
-    """The captures in global order, with capture_seq from 0: ranges of keys are merged apart, then counted on.
-
-    Ranges are cut by URL key, time and page_id together, so a URL with most of the captures is cut too.
+    """All pieces of runs in a range of keys, one run after another, each in order, merged."""
+    held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if held is None or not len(held):
+        return
+    names = held.column("run").to_pylist()
+    cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+    keys = list(map(_order, zip(*[held.column(c).to_pylist() for c in _CAPTURE.names[:3]], strict=True)))
+    order = pa.array((cuts[i] + at for i, at in LoserTree([keys[a:b] for a, b in itertools.pairwise(cuts)])), pa.int64())
+    merged = held.drop_columns("run").take(order).append_column("place", pa.array(range(len(held)), pa.int64()))
+    yield from merged.to_batches(max_chunksize=10_000)
+
+
+def merged_index(captures: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """The captures (a table that can be read again) in global order, with capture_seq from 0: ranges of keys are merged apart, then counted on.
+
+    There are as many ranges as give each about ``rows`` captures. They are cut by URL key, time, page_id and run, so neither a URL with most of
+    the captures nor a row that is repeated without end fills one; Spark's sort, which spills, brings each run's piece in order.
     """
     spark = captures.sparkSession
-    ranged = captures.repartitionByRange(parallelism(spark), "url_key", "captured", "page_id")
+    ranges = max(parallelism(spark), -(-captures.count() // rows))
+    ranged = captures.repartitionByRange(ranges, "url_key", "captured", "page_id", "run").sortWithinPartitions("run", "url_key", "captured", "page_id")
     schema = T.StructType([*_CAPTURE.fields[:-1], T.StructField("place", T.LongType())])
     merged = written(ranged.mapInArrow(_merge, schema).withColumn("part", F.spark_partition_id()), "warc-index")
-    sizes = sorted((r.part, r.n) for r in merged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row for each range
-    ahead = dict(zip([p for p, _ in sizes], itertools.accumulate([0, *[n for _, n in sizes]]), strict=False))
-    offsets = spark.createDataFrame([(p, a) for p, a in ahead.items()], "part int, ahead long")
-    return merged.join(F.broadcast(offsets), "part").select(*_CAPTURE.names[:-1], (F.col("ahead") + F.col("place")).alias("capture_seq"))
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))  # one row for each range
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    return merged.join(F.broadcast(ahead), "part").select(*_CAPTURE.names[:-1], (F.col("ahead") + F.col("place")).alias("capture_seq"))
 
 
 def archived(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES, when: Column | None = None) -> DataFrame:
@@ -265,11 +304,20 @@ def archived(pages: DataFrame, folder: str | None = None, least_bytes: int = LEA
 
     A null html is an empty payload, a null URL has an empty key, a null page_id is written as no number and
     never referred to; rows that repeat a page_id are each archived, the one that is referred to included.
-    ``folder`` is one that all executors share (by default below spark.checkpoint.dir).
+    ``folder`` is one that all executors share, where the archives stay; without it they are written below
+    spark.checkpoint.dir and removed when they have been read.
     """
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    manifest = write_archives(with_decisions(pages, least_bytes), folder, when)
-    return merged_index(written(read_archives(manifest, folder), "warc-runs"))
+    spark = pages.sparkSession
+    base = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = write_archives(with_decisions(pages, least_bytes), base, when)
+    runs = written(read_archives(manifest, base), "warc-runs")
+    index = merged_index(runs)
+    removed(manifest, runs)
+    if folder is None:
+        store, path = filesystem(base)
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_dir(path)
+    return index
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
