@@ -6,6 +6,10 @@ tasks, the 64 levels are read in three rotations whose leading blocks have 22, 2
 fingerprints with at most two differing bits agree on one block at least, so each rotation only walks
 below nodes where the block is equal. A block with many fingerprints is divided by further levels into
 pairs of nodes whose prefixes are within the budget, one task group for each pair.
+
+A few bits of one fingerprint of the whole text find slight edits only. To keep one of each group of near copies, the
+same join runs over the SimHashes of several small samples of a text's five-word shingles, which name the
+candidates, and each candidate pair is confirmed by its exact similarity.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, checkpointed, parallelism, table, utf8, written
+from lawfinder.llm.common import add_columns, checkpointed, parallelism, removed, table, utf8, written
 from lawfinder.llm.components import connected_components
 
 #: Differing bits that still link two fingerprints.
@@ -30,6 +34,13 @@ ROTATIONS = ((0, 22), (22, 21), (43, 21))
 NODE_LIMIT = 1024
 #: Levels by which a crowded block is divided at most.
 MOST_LEVELS = 16
+#: Near copies in a corpus: words of a shingle and least Jaccard similarity.
+WIDTH, SIMILARITY = 5, 0.8
+#: Samples of a text's shingles that are fingerprinted and shingles in each; single shingles of texts that have SHORT at most. Two texts of
+#: similarity s share a given sample with a chance of about s ** SAMPLE: of those with 0.8, one in 40 shares none of the twelve.
+SAMPLES, SAMPLE, SINGLES, SHORT = 12, 6, 3, 40
+#: Differing bits that still link the fingerprints of two samples, and the rotations for them.
+SAMPLE_BUDGET, SAMPLE_ROTATIONS = 1, ((0, 32), (32, 32))
 #: Trie-node pairs walked at once; more of them wait on a stack.
 FRONTIER = 1 << 20
 
@@ -137,7 +148,7 @@ def _groups(batches):
         yield rest
 
 
-def _join_groups(batches):
+def _join_groups(batches, rotations=ROTATIONS, budget=BUDGET):
     """Rows (r, block, low, high, side, path), sorted, to star-shaped links (a, b) of fingerprints."""
     for r, block, low, high, side, path in _groups(batches):
         paths = path.view(np.uint64)
@@ -149,17 +160,20 @@ def _join_groups(batches):
         if not two.any():
             continue
         start, middle, end = new[two], np.where(low[new] == high[new], ends, middles)[two], ends[two]
-        label = stars(len(paths), trie_join(paths, start, middle, end, min(levels for _, levels in ROTATIONS)))
+        label = stars(len(paths), trie_join(paths, start, middle, end, min(levels for _, levels in rotations), budget))
         linked = np.flatnonzero(label != np.arange(len(label)))
         if len(linked):
-            back = np.array([turn for turn, _ in ROTATIONS], np.uint64)[r[linked]]
+            back = np.array([turn for turn, _ in rotations], np.uint64)[r[linked]]
             turned = [(p >> back) | (p << ((np.uint64(64) - back) % np.uint64(64))) for p in (paths[linked], paths[label[linked]])]
             turned = [np.where(back == 0, p, t).view(np.int64) for p, t in zip((paths[linked], paths[label[linked]]), turned, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(t) for t in turned], names=["a", "b"])
 
 
-def links(nodes: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
-    """Star-shaped links (a, b) that connect all of the distinct fingerprints ``nodes.fp`` within the budget."""
+def links(nodes: DataFrame, limit: int = NODE_LIMIT, rotations: tuple = ROTATIONS, budget: int = BUDGET) -> DataFrame:
+    """Star-shaped links (a, b) that connect all of the distinct fingerprints ``nodes.fp`` within the budget.
+
+    The rotations' leading blocks must cover all 64 levels, in one more block than the budget has bits.
+    """
     spark = nodes.sparkSession
     turned = [
         F.struct(
@@ -168,13 +182,13 @@ def links(nodes: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
             p.alias("path"),
             F.lit(levels).alias("levels"),
         )
-        for i, (turn, levels) in enumerate(ROTATIONS)
+        for i, (turn, levels) in enumerate(rotations)
     ]
     rows = nodes.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
     crowd = rows.groupBy("r", "block").count().where("count > 1")
     s = f"CASE WHEN count <= {limit} THEN 0 ELSE CAST(least({MOST_LEVELS}, ceil(log2(count / {limit})) + 1) AS INT) END"
     rows = rows.join(crowd, ["r", "block"]).withColumn("s", F.expr(s))
-    masks = [F.array(*[F.lit(m).cast('long') for m in near_masks(k)]) for k in range(MOST_LEVELS + 1)]
+    masks = [F.array(*[F.lit(m).cast('long') for m in near_masks(k, budget)]) for k in range(MOST_LEVELS + 1)]
     rows = rows.withColumn("node", F.when(F.col("s") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(shiftleft(path, levels), 64 - s)")))
     rows = rows.withColumn("mask", F.explode(F.element_at(F.array(*masks), F.col("s") + 1)))
     other = F.col("node").bitwiseXOR(F.col("mask"))
@@ -182,7 +196,7 @@ def links(nodes: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
     keys = ["r", "block", "low", "high"]
     # unsigned order of the path: flip the sign bit for the sort
     dealt = rows.repartition(parallelism(spark), *keys).sortWithinPartitions(*keys, "side", F.col("path").bitwiseXOR(F.lit(-(1 << 63))))
-    return dealt.mapInArrow(_join_groups, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _join_groups(batches, rotations, budget), "a long, b long")
 
 
 def near_masks(levels: int, budget: int = BUDGET) -> list[int]:
@@ -217,21 +231,120 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents with one row of each near-duplicate component: that of the smallest doc_id.
+# ---- near copies by five-word similarity
+
+
+def shingle_set(raw: bytes, width: int = WIDTH) -> np.ndarray:
+    """The different shingles of a text, as sorted XXH64 hashes; a text of fewer words is one shingle, one without words has none."""
+    found = raw.lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    shingles = zip(*(itertools.islice(found, k, None) for k in range(width)), strict=False) if len(found) >= width else [found]
+    return np.unique(np.fromiter((digest(join(s), 42) for s in shingles), np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
-    Rows that repeat a doc_id within a component count as one, and a component without any doc_id keeps one
-    row too. Columns are those of ``docs``.
+
+_TURNS = np.random.default_rng(6).integers(1, 1 << 63, (SAMPLES + SINGLES, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def sample_prints(shingles: np.ndarray) -> np.ndarray:
+    """SimHashes of small samples of the shingles: for each of SAMPLES orders, of the SAMPLE shingles that come first in it.
+
+    Texts of at most SHORT shingles also give the fingerprints of single shingles, the first in each of SINGLES more orders.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.int64)
+    out = []
+    for i, (turn, salt) in enumerate(_TURNS):
+        if i >= SAMPLES and len(shingles) > SHORT:
+            break
+        size = SAMPLE if i < SAMPLES else 1
+        order = shingles * turn
+        order ^= order >> np.uint64(31)
+        order *= salt
+        top = shingles[np.argpartition(order, size - 1)[:size]] if len(shingles) > size else shingles
+        mixed = (top ^ salt) * turn
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= salt
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * bits > len(mixed), bitorder="little").view("<u8")[0])
+    return np.unique(np.array(out, np.uint64)).view(np.int64)
+
+
+def _verified(batches, width: int, least: float):
+    """(a, text of a, b, text of b) to the pairs (a, b) that are similar enough."""
+    known: dict[bytes, np.ndarray] = {}
+    for b in batches:
+        keep = []
+        for k, (raw, other, text) in enumerate(zip(utf8(b.column(1)), b.column(2).to_pylist(), utf8(b.column(3)), strict=True)):
+            if other not in known:
+                if len(known) > 100:
+                    known.clear()
+                known[other] = shingle_set(text, width)
+            if similarity(shingle_set(raw, width), known[other]) >= least:
+                keep.append(k)
+        if keep:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(2).take(pa.array(keep))], names=["a", "b"])
+
+
+def similar_texts(base: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the different texts in ``base`` (key, text, samples; a table) that are near copies of others.
+
+    Candidates are found by the trie join: texts that share the SimHash of a sample, up to SAMPLE_BUDGET bits, form a bucket, in which each is
+    a candidate with the bucket's least and largest key, so a bucket of n texts gives 2 n pairs at most. A pair is a link only if
+    the exact Jaccard similarity of its shingles is ``least`` or more. Buckets and links are tables; nothing reaches the driver.
+    """
+    prints = written(base.select("key", F.explode("samples").alias("fp")).distinct(), "simhash-samples")
+    near = checkpointed(connected_components(links(prints.select("fp").distinct(), NODE_LIMIT, SAMPLE_ROTATIONS, SAMPLE_BUDGET)).withColumnRenamed("node", "fp"))
+    buckets = prints.join(near, "fp", "left").select("key", F.coalesce("component", "fp").alias("bucket"))
+    ends = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    pairs = buckets.join(ends, "bucket").select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = written(base.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text", True).alias("text")), "simhash-texts")
+    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
+    found = both.select("a", "ta", "b", "tb").mapInArrow(lambda batches: _verified(batches, width, least), "a binary, b binary")
+    out = checkpointed(connected_components(found))
+    removed(prints, pairs, texts)
+    return out
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """The documents with one row of each group of near copies: that of the smallest doc_id.
+
+    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more (see similar_texts for how
+    such pairs are found); groups are what links connect. Texts without words, null ones included, are copies of each other.
+    Rows that repeat a doc_id within a group count as one, and a group without any doc_id keeps one row too. Columns are those of ``docs``.
     """
     names = docs.columns
-    base = written(fingerprinted(docs, text, name="__lf_fp"), "simhash-docs")
-    prints = base.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__lf_fp").alias("fp"))
-    stay = prints.join(checkpointed(components(prints)), "fp").where("doc_id <=> component_id").groupBy("component", "doc_id", "fp").count()
-    stay = stay.groupBy("component", "doc_id").agg(F.min(F.struct("fp", "count")).alias("x"))
-    stay = checkpointed(stay.select(F.col("doc_id").alias("__lf_id"), F.col("x.fp").alias("__lf_print"), F.col("x.count").alias("__lf_n")))
-    kept = base.join(stay, (F.col("__lf_fp") == F.col("__lf_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__lf_id")))
+    added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType()))])
+
+    def fresh():
+        def make(column):
+            raws = utf8(column)
+            # copies have one key, and so have all texts without words
+            return [pa.array([xxhash.xxh3_128_digest(r) if r and not r.isspace() else b"" for r in raws], pa.binary()), pa.array([sample_prints(shingle_set(r, width)) for r in raws], pa.list_(pa.int64()))]
+
+        return make
+
+    base = written(add_columns(docs, [text], added, fresh), "simhash-docs")
+    ids = base.select("__lf_key", F.col(doc_id).cast("long").alias("id"))
+    classes = similar_texts(base.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples")), width, least)
+    # of each text the row with the smallest id, and how often that id repeats it
+    rows = ids.groupBy("__lf_key", "id").agg(F.count("*").alias("n"))
+    first = rows.groupBy("__lf_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("x"))
+    first = first.join(classes, F.col("__lf_key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "__lf_key"))
+    stay = first.groupBy("component").agg(F.min(F.struct("x.none", "x.id", "__lf_key", "x.n")).alias("x"))
+    stay = checkpointed(stay.select(F.col("x.__lf_key").alias("__lf_print"), F.col("x.id").alias("__lf_id"), F.col("x.n").alias("__lf_n")))
+    kept = base.join(stay, (F.col("__lf_key") == F.col("__lf_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__lf_id")))
     if stay.where("__lf_n > 1").limit(1).count():
-        kept = kept.where("__lf_n = 1").unionByName(kept.where("__lf_n > 1").dropDuplicates(["__lf_fp", "__lf_id"]))
+        kept = kept.where("__lf_n = 1").unionByName(kept.where("__lf_n > 1").dropDuplicates(["__lf_print", "__lf_id"]))
     return kept.select(*[F.col(f"`{c}`") for c in names])
 
 

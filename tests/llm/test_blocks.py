@@ -105,11 +105,73 @@ def test_simhash_is_brute_force(spark, odd):
     want = sorted(((str(r[0]), p, least[part[p]]) for r, p in zip(rows, prints, strict=True)))
     got = simhash.near_duplicates(df).collect()
     assert sorted((str(r.doc_id), r.fp % 2**64, r.component_id) for r in got) == want
+
+
+def brute_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def brute_classes(texts):
+    """The least text of each group of near copies."""
+    sets, part = {t: brute_shingles(t) for t in texts}, {t: t for t in texts}
+
+    def top(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(part), 2):
+        if jaccard(sets[a], sets[b]) >= 0.8:
+            part[max(top(a), top(b))] = min(top(a), top(b))
+    return {t: top(t) for t in texts}
+
+
+def test_near_copies_are_brute_force(spark, odd):
+    df, rows = odd
+    part, least = brute_classes({r[1] or "" for r in rows}), {}
+    for r in rows:
+        if r[0] is not None:
+            c = part[r[1] or ""]
+            least[c] = min(r[0], least.get(c, r[0]))
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_near_copies_recall(spark):
+    """Edits of one word in every 60 to 30 (similarities of about 0.8 to 0.9), short and long; what is less similar stays."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randint(0, 50_000)}"
+    rows, n = [], 0
+    for size in (8, 20, 60, 300, 2000):
+        for _ in range(40):
+            base = [word() for _ in range(size)]
+            copy = list(base)
+            for k in range(0, size, max(45, size // 30)):
+                copy[min(size - 1, k + r.randint(0, 40))] = word()
+            far = [w if r.random() < 0.9 else word() for w in base]
+            rows += [(n, " ".join(base)), (n + 1, " ".join(copy)), (n + 2, " ".join(far))]
+            n += 3
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    near = [i for i in range(0, n, 3) if jaccard(brute_shingles(text[i]), brute_shingles(text[i + 1])) >= 0.8]
+    assert len(near) > 80 and sum(i + 1 not in kept for i in near) >= 0.95 * len(near)
+    for i in range(0, n, 3):
+        like = [j for j in (i, i + 1) if jaccard(brute_shingles(text[i + 2]), brute_shingles(text[j])) >= 0.8]
+        assert i in kept and (like or i + 2 in kept) and (i in near or i + 1 in kept)
+
+
+def test_keep_one_of_no_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (4, None), (5, ""), (6, " \n"), (7, "x y"), (7, "x y"), (7, "z")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", None), ("7", "x y"), ("7", "z"), ("None", "a b c")]
+
+
 @pytest.mark.parametrize("limit", [1024, 8])
 def test_trie_links_are_brute_force(spark, limit):
     r = random.Random(3)

@@ -8,7 +8,7 @@ import xxhash
 import corpus_pipeline
 from lawfinder.llm import mixing, quality, sharding
 from lawfinder.llm.common import table
-from tests.llm.test_blocks import brute_components, brute_divide, brute_hits, brute_print
+from tests.llm.test_blocks import brute_classes, brute_divide, brute_hits
 
 
 def signed(x):
@@ -62,10 +62,9 @@ def test_pipeline_is_brute_force(spark, sf_dir):
     docs = {r.doc_id: (r.text, r.lang, r.source) for r in table(spark, sf_dir, "documents").collect()}
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     good = {d: x for d, x in docs.items() if model.score([x[0].encode()])[0] >= quality.THRESHOLD}
-    prints = {d: brute_print(x[0]) for d, x in good.items()}
-    part, first = brute_components(prints.values()), {}
+    part, first = brute_classes({x[0] for x in good.values()}), {}
     for d in sorted(good):
-        first.setdefault(part[prints[d]], d)
+        first.setdefault(part[good[d][0]], d)
     one = {d: good[d] for d in first.values()}
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     clean = {d: x for d, x in one.items() if not brute_hits(x[0], items)[1]}
