@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lawfinder.llm.common import checkpointed, table, without
+from lawfinder.llm.common import checkpointed, removed, table, without, written
 
 LEVELS = ("domain", "lang", "source")
 SEED = 29
-#: Buckets, of a leaf's seeded order, in which running token counts are taken: 16 ** HEX.
-HEX = 3
+#: Digits of the seeded hash by which a leaf's rows are counted at a time, and rows of a leaf that are put in order at last.
+HEX, EDGE_ROWS = 2, 50_000
 BYTES_PER_TOKEN = 4
 #: Leaves whose plan (some 100 bytes each) is broadcast; a larger plan is joined by shuffling.
 SMALL_PLAN = 50_000
@@ -85,7 +85,7 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
 
 def mix(
     docs: DataFrame, budget: Column, weights: dict[str, dict[str, int]] | None = None, epochs: int = 1, domain: Column | None = None,
-    n_tokens: Column | None = None, doc_id: str = "doc_id", seed: int = SEED,
+    n_tokens: Column | None = None, doc_id: str = "doc_id", seed: int = SEED, edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
     """The chosen rows of ``docs`` with domain, epoch, n_tokens and leaf_budget added (columns so named are replaced).
 
@@ -95,7 +95,9 @@ def mix(
     without tokens gives nothing. Null domain, lang, source and doc_id are values of their own; rows that
     repeat are each counted and chosen; ties in the seeded order go by doc_id, then by tokens.
 
-    Only counts are shuffled, and the rows of one bucket for each leaf: that in which its budget ends.
+    Only counts are shuffled, and the rows among which a leaf's budget ends. These are found by the seeded hash: sums over
+    its first digits say where the budget ends, sums over the next ones where in there, and so on until a leaf has at
+    most EDGE_ROWS rows left, so one leaf with most of the rows is many tasks' work at any size.
     """
     names = without(docs, ["domain", "epoch", "n_tokens", "leaf_budget"]).columns
     base = docs.select(
@@ -105,25 +107,33 @@ def mix(
         (tokens(F.col("text")) if n_tokens is None else n_tokens).cast("long").alias("__lf_tokens"),
     )
     keys = [f"__lf_{k}" for k in LEVELS]
-    totals = checkpointed(base.groupBy(*keys).agg(F.sum("__lf_tokens").alias("total")).withColumnsRenamed(dict(zip(keys, LEVELS, strict=True))))
+    slim = written(base.select(F.col(doc_id), *keys, "__lf_tokens"), "mixing-rows")
+    totals = checkpointed(slim.groupBy(*keys).agg(F.sum("__lf_tokens").alias("total")).withColumnsRenamed(dict(zip(keys, LEVELS, strict=True))))
     plan = budgets(totals, budget, weights, epochs).where("given > 0")
     plan = checkpointed(plan.select(*[F.col(k).alias(f"__lf_{k}") for k in LEVELS], F.col("given").alias("__lf_given"), F.expr("given div total").alias("__lf_whole"), F.expr("given % total").alias("__lf_part")))
+    plan_rows = plan.count()
 
-    def ordered(plan: DataFrame) -> DataFrame:
+    def ordered(rows: DataFrame, plan: DataFrame) -> DataFrame:
         hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__lf_whole").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-        rows = base.join(F.broadcast(plan) if plan_rows <= SMALL_PLAN else plan, keys)
-        return rows.withColumn("__lf_hash", hashed).withColumn("__lf_bucket", F.substring("__lf_hash", 1, HEX))
-
-    plan_rows = plan.count()
-    sums = ordered(plan).groupBy(*keys, "__lf_part", "__lf_bucket").agg(F.sum("__lf_tokens").alias("__lf_n"))
-    upto = F.sum("__lf_n").over(Window.partitionBy(*keys).orderBy("__lf_bucket"))
-    sums = sums.withColumn("__lf_ahead", upto - F.col("__lf_n")).where("__lf_ahead < __lf_part AND __lf_ahead + __lf_n >= __lf_part")
-    ends = sums.select(*keys, F.col("__lf_bucket").alias("__lf_end"), "__lf_ahead")
-    plan = checkpointed(plan.join(ends, keys, "left"))
-    rows = ordered(plan)
-    sure = rows.where("__lf_end IS NULL OR __lf_bucket <> __lf_end").withColumn("__lf_in", F.coalesce(F.col("__lf_bucket") < F.col("__lf_end"), F.lit(False)))
+        return rows.join(F.broadcast(plan) if plan_rows <= SMALL_PLAN else plan, keys).withColumn("__lf_hash", hashed)
+
+    known = plan.withColumn("__lf_end", F.lit("")).withColumn("__lf_ahead", F.lit(0).cast("long"))
+    for digits in range(HEX, 32 + 1, HEX):
+        rows = ordered(slim, known).where(F.expr("startswith(__lf_hash, __lf_end)")).withColumn("__lf_bucket", F.substring("__lf_hash", 1, digits))
+        sums = rows.groupBy(*keys, "__lf_part", "__lf_ahead", "__lf_bucket").agg(F.sum("__lf_tokens").alias("__lf_n"), F.count("*").alias("__lf_rows"))
+        upto = F.col("__lf_ahead") + F.sum("__lf_n").over(Window.partitionBy(*keys).orderBy("__lf_bucket"))
+        sums = sums.withColumn("__lf_upto", upto).where("__lf_upto - __lf_n < __lf_part AND __lf_upto >= __lf_part")
+        ends = sums.select(*keys, F.col("__lf_bucket").alias("__lf_end"), F.expr("__lf_upto - __lf_n").alias("__lf_ahead"), "__lf_rows")
+        known = checkpointed(plan.join(ends, keys))
+        if (known.agg(F.max("__lf_rows")).first()[0] or 0) <= edge_rows:
+            break
+    removed(slim)
+    plan = checkpointed(plan.join(known.select(*keys, "__lf_end", "__lf_ahead"), keys, "left"))
+    rows = ordered(base, plan)
+    at_end = F.coalesce(F.expr("startswith(__lf_hash, __lf_end)"), F.lit(False))
+    sure = rows.where(~at_end).withColumn("__lf_in", F.coalesce(F.col("__lf_hash") < F.col("__lf_end"), F.lit(False)))
     start = F.sum("__lf_tokens").over(Window.partitionBy(*keys).orderBy("__lf_hash", doc_id, "__lf_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    edge = rows.where("__lf_bucket = __lf_end").withColumn("__lf_in", F.col("__lf_ahead") + F.coalesce(start, F.lit(0)) < F.col("__lf_part"))
+    edge = rows.where(at_end).withColumn("__lf_in", F.col("__lf_ahead") + F.coalesce(start, F.lit(0)) < F.col("__lf_part"))
     epoch = F.explode(F.expr("CASE WHEN __lf_in THEN sequence(0, cast(__lf_whole AS int)) WHEN __lf_whole > 0 THEN sequence(0, cast(__lf_whole AS int) - 1) ELSE CAST(array() AS array<int>) END"))
     return sure.unionByName(edge).select(
         *[F.col(f"`{c}`") for c in names],

@@ -6,11 +6,13 @@ the order into equal stretches gives shards that match the mixture, with row cou
 
 Ranks are counted in buckets: a histogram of the hash (then of the fractional rank) gives the number of rows
 before each bucket, and only the rows of one bucket meet in a window, so a source with most of the rows is
-dealt over thousands of buckets.
+dealt over thousands of buckets, and more the more rows there are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,15 +21,15 @@ from lawfinder.llm.common import table, without
 
 SHARDS = 40
 SEED = 17
-#: Buckets of the histograms: 2 ** BITS.
-BITS = 12
+#: Buckets of the histograms: 2 ** BITS at least, and so many more that each has about BUCKET_ROWS rows.
+BITS, BUCKET_ROWS = 12, 20_000
 #: Stands for a null source, which forms a stratum of its own.
 NO_SOURCE = "\x00none"
 
 _ADDED = ["shard", "slot"]
 
 
-def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", doc_id: str = "doc_id", seed: int = SEED, bits: int = BITS, ties: tuple[str, ...] = ()) -> DataFrame:
+def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", doc_id: str = "doc_id", seed: int = SEED, bits: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add shard (0 to shards - 1) and slot (gapless from 0 in each shard) to every row of ``docs``.
 
     Nulls in ``source`` are one more stratum; a null doc_id hashes like a value of its own. Rows that repeat a
@@ -36,6 +38,8 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", d
     replaced.
     """
     names = without(docs, _ADDED).columns
+    if bits is None:
+        bits = max(BITS, math.ceil(math.log2(max(1, docs.count() / BUCKET_ROWS))))
     first = docs.select(
         *[F.col(f"`{c}`") for c in names],
         F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("__lf_source"),
@@ -63,7 +67,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, source: str = "source", d
     cuts = sizes.select(F.explode(F.expr(f"CASE WHEN __lf_all < {1 << bits} THEN {few} ELSE {many} END")).alias("x"))
     cuts = cuts.select(F.col("x.cut").alias("__lf_cut"), F.col("x.n").alias("__lf_n"))
     cuts = cuts.groupBy("__lf_cut").agg(F.sum("__lf_n").alias("__lf_n"))
-    order = Window.orderBy("__lf_cut")  # 2 ** bits rows at any size of the input
+    order = Window.orderBy("__lf_cut")  # 2 ** bits rows: one for every BUCKET_ROWS of the input
     cuts = cuts.select("__lf_cut", (F.sum("__lf_n").over(order) - F.col("__lf_n")).alias("__lf_ahead"), F.sum("__lf_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__lf_total"))
     among = Window.partitionBy("__lf_cut").orderBy("__lf_rank", F.xxhash64(F.lit(seed), "__lf_source"), "__lf_source", "__lf_hash", doc_id, *ties)
     placed = ranked.withColumn("__lf_k", F.row_number().over(among)).join(cuts, "__lf_cut")

@@ -210,7 +210,8 @@ def components(prints: DataFrame, doc_id: str = "doc_id", limit: int = NODE_LIMI
     component is a fingerprint that names the linked group, component_id the smallest doc_id in it (null ids
     never count; null if there are no others).
     """
-    each = prints.groupBy("fp").agg(F.min(doc_id).alias("own"))
+    # by parts of the ids first, so that what many tasks have of one crowded fingerprint does not meet at once
+    each = prints.groupBy("fp", F.pmod(F.xxhash64(doc_id), F.lit(16))).agg(F.min(doc_id).alias("own")).groupBy("fp").agg(F.min("own").alias("own"))
     joined = checkpointed(connected_components(links(each.select("fp"), limit)).withColumnsRenamed({"node": "fp"}))
     linked = each.join(joined, "fp")
     least = linked.groupBy("component").agg(F.min("own").alias("component_id"))
@@ -294,7 +295,7 @@ def _verified(batches, width: int, least: float):
 
 
 def similar_texts(base: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the different texts in ``base`` (key, text, samples; a table) that are near copies of others.
+    """(node, component) of the different texts in ``base`` (key, text, samples; a table, in which copies may be left out) that are near copies of others.
 
     Candidates are found by the trie join: texts that share the SimHash of a sample, up to SAMPLE_BUDGET bits, form a bucket, in which each is
     a candidate with the bucket's least and largest key, so a bucket of n texts gives 2 n pairs at most. A pair is a link only if
@@ -326,16 +327,24 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType()))])
 
     def fresh():
+        seen: set[bytes] = set()
+
         def make(column):
+            # copies have one key, and so have all texts without words; a task samples the first of them only
             raws = utf8(column)
-            # copies have one key, and so have all texts without words
-            return [pa.array([xxhash.xxh3_128_digest(r) if r and not r.isspace() else b"" for r in raws], pa.binary()), pa.array([sample_prints(shingle_set(r, width)) for r in raws], pa.list_(pa.int64()))]
+            keys = [xxhash.xxh3_128_digest(r) if r and not r.isspace() else b"" for r in raws]
+            samples = []
+            for raw, key in zip(raws, keys, strict=True):
+                samples.append(None if key in seen else sample_prints(shingle_set(raw, width)))
+                seen.add(key)
+            return [pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
 
         return make
 
     base = written(add_columns(docs, [text], added, fresh), "simhash-docs")
     ids = base.select("__lf_key", F.col(doc_id).cast("long").alias("id"))
-    classes = similar_texts(base.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples")), width, least)
+    once = base.where("__lf_samples IS NOT NULL")
+    classes = similar_texts(once.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples")), width, least)
     # of each text the row with the smallest id, and how often that id repeats it
     rows = ids.groupBy("__lf_key", "id").agg(F.count("*").alias("n"))
     first = rows.groupBy("__lf_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("x"))

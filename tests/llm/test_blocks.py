@@ -262,6 +262,8 @@ def test_mix(spark, odd):
     df, rows = odd
     weights = {"lang": {"en": 3}, "source": {"s0": 2, "s9": 0}}
     got = mixing.mix(df, F.lit(2500), weights, epochs=2).collect()
+    deep = mixing.mix(df, F.lit(2500), weights, epochs=2, edge_rows=1).collect()  # as many digits as it takes
+    assert sorted(map(str, got)) == sorted(map(str, deep))
     none = mixing.NO_VALUE
     leaves = {}
     for r in rows:
