@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lawfinder.llm import logistic
 from lawfinder.llm.common import add_columns, table, utf8
@@ -23,9 +24,10 @@ from lawfinder.llm.common import add_columns, table, utf8
 CHUNK, STEP = 512, 384
 #: Bytes of half a filter (which is also its stride), embedding width, filters and hidden units.
 HALF, WIDTH, FILTERS, HIDDEN = 4, 8, 32, 16
-#: The fit reads this many labelled documents at most, those whose ids hash lowest, and this many chunks of each,
-#: evenly spaced over the whole text.
-TRAIN_DOCS, TRAIN_CHUNKS = 4000, 12
+#: The fit reads this many labelled documents at most, those whose ids hash lowest, and no more of them than take this many bytes.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 64 << 20
+#: Chunks that one pass of the training draws from a text at random; the texts are read whole, and the next pass draws anew.
+DRAWN = 12
 THRESHOLD = 0.3
 #: Chunks that pass through the network at once.
 BATCH = 512
@@ -33,12 +35,11 @@ BATCH = 512
 FILL = 0
 
 
-def chunks(raw: bytes, most: int | None = None) -> np.ndarray:
-    """(n, CHUNK) bytes: overlapping chunks that cover the text, one at least; with ``most``, that many evenly spaced."""
+def chunks(raw: bytes) -> np.ndarray:
+    """(n, CHUNK) bytes: overlapping chunks that cover the text, one at least."""
     n = max(1, 1 + -(-(len(raw) - CHUNK) // STEP)) if len(raw) > CHUNK else 1
     data = np.frombuffer(raw.ljust((n - 1) * STEP + CHUNK, bytes([FILL])), np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(data, CHUNK)[:: STEP]
-    return view if most is None or n <= most else view[np.unique(np.linspace(0, n - 1, most).round().astype(int))]
+    return np.lib.stride_tricks.sliding_window_view(data, CHUNK)[::STEP]
 
 
 @dataclass
@@ -99,20 +100,22 @@ class Network:
         return [self.embed, self.first, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
 
-def train(data: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, passes: int = 8, rate: float = 4e-3, seed: int = 0) -> Network:
-    """Adam over shuffled mini-batches."""
+def train(texts: list[np.ndarray], label: np.ndarray, passes: int = 8, rate: float = 4e-3, seed: int = 0) -> Network:
+    """Adam over shuffled mini-batches; each pass draws DRAWN chunks of every text (all, if it has no more)."""
     net, r = Network.start(seed), np.random.default_rng(seed)
     m, v, t = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
     for turn in range(passes):
+        drawn = [c if len(c) <= DRAWN else c[np.sort(r.choice(len(c), DRAWN, replace=False))] for c in texts]
+        data, y = np.concatenate(drawn), np.repeat(label, [len(c) for c in drawn])
         order = r.permutation(len(data))
         for at in range(0, len(order), 128):
             pick = order[at : at + 128]
             t += 1
             step = rate * (1 if turn < passes - 2 else 0.3)
-            for a, g, x, y in zip(net.arrays(), net.gradients(data[pick], label[pick]), m, v, strict=True):
+            for a, g, x, z in zip(net.arrays(), net.gradients(data[pick], y[pick]), m, v, strict=True):
                 x += 0.1 * (g - x)
-                y += 0.001 * (g * g - y)
-                a -= (step * (x / (1 - 0.9**t)) / (np.sqrt(y / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+                z += 0.001 * (g * g - z)
+                a -= (step * (x / (1 - 0.9**t)) / (np.sqrt(z / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
     return net
 
 
@@ -157,34 +160,31 @@ def remainder(doc_id: str, by: int) -> Column:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, text: str, doc_id: str) -> DataFrame:
-    """(text, y) of the labelled documents that may be learnt from, a bounded number of them.
+    """(text, y) of the labelled documents that may be learnt from, ``most`` rows at most, in the order of their ids' hashes.
 
-    A doc_id with several labels takes its smallest one; rows that repeat a doc_id all count.
+    A doc_id with several labels takes its smallest one; rows that repeat a doc_id all count, but make the sample no larger.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     known = known.where(~held_out).groupBy("_id").agg(F.min("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.join(F.broadcast(known), F.col(doc_id).cast("long") == F.col("_id")).select(F.col(text).cast("string").alias("text"), F.col("_y").alias("y"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    return rows.orderBy(F.xxhash64("_id"), "_id", "text").limit(most).select("text", F.col("_y").alias("y"), "_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_DOCS, seed: int = 0) -> Model:
-    """Learn from at most ``most`` labelled documents with crc32(doc_id) mod 5 not 0. No labels: every score is 1/2."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TRAIN_DOCS, seed: int = 0, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Learn from at most ``most`` labelled documents of ``most_bytes`` in sum, with crc32(doc_id) mod 5 not 0. No labels: every score is 1/2.
 
-    def cut(batches):
-        for b in batches:
-            raws = utf8(b.column(0))
-            parts = [chunks(r, TRAIN_CHUNKS) for r in raws]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), b.column(1)], names=["chunks", "n", "y"])
-
-    found = learnt(docs, labels, "quality", remainder("_id", 5) == 0, most, text, doc_id).mapInArrow(cut, "chunks binary, n long, y int").toPandas()
-    found = found.sort_values(["chunks", "n", "y"], ignore_index=True)  # the same model however the rows arrive
-    if not len(found):
+    The network draws from all chunks of these, and the last layer is fitted to what it says about their whole texts.
+    """
+    rows = learnt(docs, labels, "quality", remainder("_id", 5) == 0, most, text, doc_id)
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("text", "y").toArrow()  # ``most`` rows at most
+    texts = sorted(zip(utf8(found.column("text").combine_chunks()), found.column("y").to_pylist(), strict=True))  # the same model however the rows arrive
+    if not texts:
         return Model(Network.start(seed), (np.zeros(4), np.ones(4), np.zeros(5)))
-    parts = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in found.chunks]
-    y = found.y.to_numpy(np.float32)
-    size = np.array([len(p) for p in parts])
-    net = train(np.concatenate(parts), np.repeat(y, size), seed=seed)
-    pools = np.array([pooled(net.odds(p), n) for p, n in zip(parts, found.n, strict=True)])
+    parts, y = [chunks(raw) for raw, _ in texts], np.array([y for _, y in texts], np.float32)
+    net = train(parts, y, seed=seed)
+    pools = np.array([pooled(net.odds(p), len(raw)) for p, (raw, _) in zip(parts, texts, strict=True)])
     return Model(net, logistic.fit(pools, y))
 
 

@@ -5,9 +5,10 @@ sequences, padded at a word's start, are counted for each class, and both classe
 Kneser-Ney model, counted over all documents, labelled or not, in which shorter sequences count by the number of
 different bytes that precede them. What a class has rarely seen thus gets the shared probability and is no
 evidence. All sequences are kept, in tables: Spark adds up the orders and their contexts. The evidence of the most
-frequent sequences is broadcast, that of others joined to the texts that have them. A word's evidence is the difference of its two log-likelihoods; a document's are its
-length-normalised differences over the whole text and over its most toxic stretches, which a logistic layer
-turns into a probability.
+frequent sequences is broadcast, that of others joined to the texts that have them. A word's evidence is the difference of its two log-likelihoods. A toxic document
+is for the most part ordinary words, so the text's length-normalised log-likelihood as a mixture, of which the toxic model
+wrote a given share, is compared with that as an ordinary text, for several shares; these differences, the strongest
+word's and the length go through a logistic layer, which makes a probability of them. Words are modelled apart from each other.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ STRENGTH = 40.0
 START, END = 1, 2
 #: Labelled documents that are counted at most (those whose ids hash lowest), and of these, set apart for the last layer.
 TRAIN_DOCS, CALIBRATE_DOCS = 200_000, 4000
-#: Lengths, in words, of the stretches of which the most toxic one counts.
-STRETCHES = (1, 2, 8, 64)
+#: Shares of a toxic document's words that the toxic model is taken to have written, the others being ordinary.
+SHARES = (0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+#: Evidence of one word beyond which more of it says nothing.
+MOST_EVIDENCE = 20.0
 #: Words longer than this many bytes are spelt in pieces of this length.
 LONGEST = 64
 THRESHOLD = 0.3
@@ -223,9 +226,8 @@ class Model:
         return Evidence(written(rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]), "toxicity-sequences"), self.most)
 
 
-#: Evidence beyond which words are counted.
-MUCH = (2.0, 3.0, 4.5)
-FEATURES = 2 + len(STRETCHES) + len(MUCH)
+#: One for each share, the strongest word's evidence, and the length.
+FEATURES = len(SHARES) + 2
 _REMEMBERED: dict[str, dict[bytes, float | None]] = {}
 
 
@@ -258,29 +260,30 @@ def spelt_out(missing: list[bytes], sent, more: dict[int, float]) -> dict[bytes,
     return dict(zip(missing, np.add.reduceat(each, np.cumsum(size) - size).tolist(), strict=True))
 
 
-def features(texts: list[bytes], sent, name: str, more: list[dict[int, float]] | None = None) -> np.ndarray:
-    """Mean evidence of all words, that of the most toxic stretches, how many words there are and how many have much of it.
+def compared(e: np.ndarray) -> np.ndarray:
+    """What the words' evidence ``e`` says of a text: for each share, its length-normalised log-likelihood as toxic less that as ordinary
+    (on a scale that compresses large differences), the strongest word's evidence, and the logarithm of the length."""
+    out = np.zeros(FEATURES)
+    if len(e):
+        e = np.minimum(e, MOST_EVIDENCE)
+        ratio = np.expm1(e)
+        mean = np.array([np.log1p(s * ratio).mean() if s < 1 else e.mean() for s in SHARES])
+        out[: len(SHARES)] = np.sign(mean) * np.log1p(100 * np.abs(mean))
+        out[-2:] = e.max(), np.log1p(len(e))
+    return out
 
-    ``more`` has the evidence of each text's sequences that is not broadcast.
-    """
+
+def features(texts: list[bytes], sent, name: str, more: list[dict[int, float]] | None = None) -> np.ndarray:
+    """``compared`` of each text; ``more`` has the evidence of each text's sequences that is not broadcast."""
     split = [pieces(raw) for raw in texts]
     known = remember(split, sent, name)
     out = np.zeros((len(texts), FEATURES))
     for i, found in enumerate(split):
-        if not found:
-            continue
         e = list(map(known.__getitem__, found))
         if more is not None and None in e:
             own = spelt_out(list({w for w, x in zip(found, e, strict=True) if x is None}), sent, more[i])
             e = [own[w] if x is None else x for w, x in zip(found, e, strict=True)]
-        e = np.array(e, np.float64)
-        sums = np.concatenate([[0], np.cumsum(e)])
-        out[i, 0] = sums[-1] / len(e)
-        for k, n in enumerate(STRETCHES):
-            m = min(n, len(e))
-            out[i, 1 + k] = (sums[m:] - sums[:-m]).max() / m
-        out[i, -len(MUCH) - 1] = np.log1p(len(e))  # so that the counts are judged by the text's length
-        out[i, -len(MUCH) :] = [np.log1p((e > x).sum()) for x in MUCH]
+        out[i] = compared(np.array(e, np.float64))
     return out
 
 
@@ -342,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     sequences = written(counted(seen), "toxicity-sequences")
     model = Model(sequences, None, docs, text, Evidence(sequences, broadcast), broadcast)
     held = known.where(apart).orderBy(F.xxhash64("_id"), "_id").limit(calibrate)
-    held = base.join(F.broadcast(held), F.col("_doc") == F.col("_id")).select("text", "_y")
+    held = base.join(F.broadcast(held), F.col("_doc") == F.col("_id")).orderBy(F.xxhash64("_id"), "_id", "text").limit(calibrate).select("text", "_y")
     x = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
     found = with_features(held, "text", model.evidence, x, lambda made: [pa.array(list(made), pa.list_(pa.float64()))]).select("x", "_y").collect()
     found = sorted((list(r.x), r._y) for r in found)

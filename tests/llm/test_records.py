@@ -310,6 +310,91 @@ def test_toxicity_keeps_rare_sequences(spark, broadcast):
     assert len(own) == len(rows) and own == pytest.approx(again)
 
 
+def test_toxicity_scores_are_brute_force(spark):
+    """Every score again, from counts in dictionaries, Kneser-Ney by recursion, and the layer fitted to the rows set apart."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("sun rain wind snow hail fog".split()) for _ in range(r.randint(0, 30))) + (" vile scum" * (i % 2) if i % 5 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    crc = lambda i: zlib.crc32(str(i).encode())
+    seen = [{}, {}, {}]
+    for i, text in rows:
+        for w in text.split():
+            b = bytes([1] * 5) + w.encode() + bytes([2])
+            for k in range(6, len(b) + 1):
+                kinds = [0] + ([1 + i % 2] if crc(i) % 4 != 2 and crc(i) // 4 % 4 != 0 else [])
+                for c in kinds:
+                    seen[c][b[k - 6 : k]] = seen[c].get(b[k - 6 : k], 0) + 1
+    orders = {6: seen[0]}
+    for n in range(5, 0, -1):
+        orders[n] = {}
+        for g in orders[n + 1]:
+            orders[n][g[1:]] = orders[n].get(g[1:], 0) + 1
+
+    def shared(g):
+        if len(g) == 1:
+            return (1e-6 + orders[1].get(g, 0) / sum(orders[1].values())) / (256e-6 + 1)
+        same = [c for h, c in orders[len(g)].items() if h[:-1] == g[:-1]]
+        return (max(orders[len(g)].get(g, 0) - 0.75, 0) + 0.75 * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def given(c, g):
+        same = [n for h, n in seen[c].items() if h[:-1] == g[:-1]]
+        return (max(seen[c].get(g, 0) - 0.75, 0) + (40 + 0.75 * len(same)) * shared(g)) / (sum(same) + 40)
+
+    evidence = {g: np.log(given(2, g)) - np.log(given(1, g)) for g in seen[0]}
+    word = lambda w: sum(evidence[b[k - 6 : k]] for b in [bytes([1] * 5) + w.encode() + bytes([2])] for k in range(6, len(b) + 1))
+    x = {}
+    for i, text in rows:
+        e = [min(word(w), 20) for w in text.split()]
+        x[i] = [0.0] * 8
+        if e:
+            means = [np.mean([np.log(1 - s + s * np.exp(v)) for v in e]) for s in (0.003, 0.01, 0.03, 0.1, 0.3, 1.0)]
+            x[i] = [np.sign(m) * np.log(1 + 100 * abs(m)) for m in means] + [max(e), np.log(1 + len(e))]
+    held = [i for i, _ in rows if crc(i) % 4 != 2 and crc(i) // 4 % 4 == 0]
+    layer = logistic.fit(np.array([x[i] for i in held]), np.array([i % 2 for i in held], float))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    assert got == pytest.approx({i: float(logistic.apply(layer, np.array([x[i]]))[0]) for i, _ in rows}, abs=1e-6)
+
+
+def test_quality_scores_are_brute_force(spark):
+    """The network and the layer after it, with plain loops over chunks, filters and places."""
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abc d\né") for _ in range(r.choice([0, 5, 511, 513, 900])))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))
+    net, (means, scales, w) = model.network, model.combine
+    first = net.first.reshape(4, 8, 2, 32)
+
+    def odds(chunk):
+        top = []
+        for f in range(32):
+            best = -np.inf
+            for at in range(0, 512 - 4, 4):
+                v = sum(float(net.embed[chunk[at + 4 * half + k]] @ first[k, :, half, f]) for half in (0, 1) for k in range(4))
+                best = max(best, v)
+            top.append(max(best + float(net.bias[f]), 0))
+        hidden = np.maximum(np.array(top) @ net.hidden + net.hidden_bias, 0)
+        return float(hidden @ net.out + net.out_bias[0])
+
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    for i, text in rows[:5]:
+        raw = text.encode()
+        starts = range(0, max(1, len(raw) - 512 + 384), 384) if len(raw) > 512 else [0]
+        each = [odds(raw[s : s + 512].ljust(512, b"\0")) for s in starts]
+        x = (np.array([np.mean(each), min(each), max(each), np.log(1 + len(raw))]) - means) / scales
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(w[0] + x @ w[1:]))), abs=2e-3)
+
+
+def test_learnt_rows_are_bounded(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, "x" * 1000) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    every = F.lit(False)
+    got = quality.learnt(docs, labels, "quality", every, 20, "text", "doc_id").collect()
+    assert len(got) == 20 and len({r._id for r in got}) <= 20
+    assert quality.fit(docs, labels, most_bytes=3000).network is not None
+
+
 def test_network_gradients():
     r = np.random.default_rng(1)
     data, y = r.integers(0, 256, (4, quality.CHUNK)).astype(np.uint8), np.array([0, 1, 1, 0], np.float32)
