@@ -9,17 +9,21 @@ names the test strings, and a direct comparison confirms each occurrence.
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, table, utf8, without
+from lawfinder.llm.common import bounded_batches, filesystem, shared_dir, table, utf8, without
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass over the documents carries; a larger benchmark takes more passes.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text whose tables a worker holds at a time, and of documents that it searches for one block after another.
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 32 << 20
 
 _WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -92,7 +96,7 @@ class Matcher:
                 at = windows.setdefault(tuple(numbers[i : i + size]), len(windows))
                 if at == len(self.owners):
                     self.owners.append([])
-                if item not in self.owners[at]:
+                if not self.owners[at] or self.owners[at][-1] != item:  # items come in order
                     self.owners[at].append(item)
         self.searches: dict[int, WuManber] = {}
         for w, number in windows.items():
@@ -102,22 +106,22 @@ class Matcher:
         """Merged spans of covered words (start, end) and the items whose windows occur."""
         get = self.vocabulary.get
         text = [get(w, 0) for w in found]
-        spans, items = [], set()
+        spans, numbers = [], set()
         for length, search in self.searches.items():
             for start, number in search.search(text):
                 spans.append((start, start + length))
-                items.update(self.owners[number])
-        return merge(spans), items
+                numbers.add(number)
+        return merge(spans), set().union(*(self.owners[n] for n in numbers))
 
 
 _BUILT: dict[str, Matcher] = {}
 
 
-def built(key: str, items: list[tuple[int, bytes]], window: int) -> Matcher:
+def built(key: str, items: Callable[[], list[tuple[int, bytes]]], window: int) -> Matcher:
     """The block's tables, built once in each Python worker; only the latest block's are kept."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Matcher(items, window)
+        _BUILT[key] = Matcher(sorted(items()), window)
     return _BUILT[key]
 
 
@@ -140,58 +144,80 @@ _ADDED = T.StructType(
 )
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int):
-    """The items in blocks of bounded size, streamed to the driver a block at a time (an item alone may exceed it)."""
-    block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where("item_id IS NOT NULL")
-    for item, raw in rows.orderBy("item_id").toLocalIterator():
-        raw = bytes(raw or b"")
-        if block and held + len(raw) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, raw))
-        held += len(raw)
-    yield block
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple[str, Callable[[], list[tuple[int, bytes]]]]]:
+    """The items in blocks of about ``block_bytes``, each a name and a function that a worker calls for its items.
+
+    A single block is broadcast. More of them are written to the shared folder, dealt by the items' ids, and read by
+    the workers that search them, so the driver holds none.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text")).where("item_id IS NOT NULL")
+    name, n = uuid.uuid4().hex, -(-(rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // block_bytes)
+    if n <= 1:
+        sent = spark.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in rows.collect()])
+        return [(name, lambda: sent.value)]
+    folder = f"{shared_dir(spark)}/benchmark-{name}"
+    rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))).repartition(n, "block").write.partitionBy("block").parquet(folder)
+
+    def reader(k: int):
+        def read() -> list[tuple[int, bytes]]:
+            store, path = filesystem(f"{folder}/block={k}")
+            if store.get_file_info(path).type == fs.FileType.NotFound:
+                return []
+            found = dataset.dataset(path, filesystem=store, format="parquet").to_table(columns=["item_id", "text"])
+            return list(zip(found.column("item_id").to_pylist(), found.column("text").to_pylist(), strict=True))
+
+        return read
+
+    return [(f"{name}-{k}", reader(k)) for k in range(n)]
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES
 ) -> DataFrame:
     """Add n_words, hit_spans (flat start, end pairs of words), hit_items (sorted ids) and n_hit to each document.
 
     A null or empty text has no words; equal windows of several items count for each of them; rows that
     repeat are each answered. Items with a null id are passed over, an empty benchmark hits nothing.
-    Existing columns with these names are replaced. The benchmark travels in blocks of ``block_bytes``;
-    each block is one more narrow pass, so documents are never shuffled.
+    Existing columns with these names are replaced. Documents are never shuffled: they are read once, and a worker
+    searches ``held_bytes`` of them for one block of the benchmark after another.
     """
-    context = docs.sparkSession.sparkContext
-    out = without(docs, [*_ADDED.names, "n_hit"])
-    for number, block in enumerate(blocks_of(benchmark, block_bytes)):
-        sent, key = context.broadcast(block), uuid.uuid4().hex
-
-        def fresh(sent=sent, key=key, first=number == 0):
-            matcher = built(key, sent.value, window)
-
-            def make(column, *before):
-                counts, spans, items = [], [], []
-                old = ([None] * len(column), [None] * len(column)) if first else [b.to_pylist() for b in before]
-                for raw, was, had in zip(utf8(column), *old, strict=True):
-                    found = words(raw)
-                    now, hit = matcher.find(found)
-                    if was:
-                        now = merge([*now, *zip(was[::2], was[1::2], strict=True)])
-                    counts.append(len(found))
-                    spans.append([x for s in now for x in s])
-                    items.append(sorted(hit.union(had or ())))
-                return [counts, spans, items]
-
-            return make
-
-        if number == 0:
-            out = add_columns(out, [text], _ADDED, fresh)
-        else:
-            held = out.withColumnsRenamed({"hit_spans": "__lf_spans", "hit_items": "__lf_items"})
-            out = add_columns(held, [text, "__lf_spans", "__lf_items"], _ADDED, fresh).drop("__lf_spans", "__lf_items")
+    bounded_batches(docs.sparkSession)
+    blocks = item_blocks(benchmark, block_bytes)
+    kept = without(docs, [*_ADDED.names, "n_hit"])
+    at = [c.lower() for c in kept.columns].index(text.lower())
+
+    def search(held: list[pa.RecordBatch]):
+        split = [words(raw) for b in held for raw in utf8(b.column(at))]
+        spans: list[list] = [[] for _ in split]
+        items: list[set] = [set() for _ in split]
+        for name, read in blocks:
+            matcher = built(name, read, window)
+            for i, found in enumerate(split):
+                now, hit = matcher.find(found)
+                if now:
+                    spans[i] = merge([*spans[i], *now])
+                    items[i] |= hit
+        rows = iter(zip(split, spans, items, strict=True))
+        for b in held:
+            mine = list(itertools.islice(rows, len(b)))
+            counts = pa.array([len(w) for w, _, _ in mine], pa.int64())
+            flat = pa.array([[x for s in found for x in s] for _, found, _ in mine], pa.list_(pa.int64()))
+            named = pa.array([sorted(hit) for _, _, hit in mine], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, counts, flat, named], names=[*kept.columns, *_ADDED.names])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column(at).nbytes
+            if len(blocks) == 1 or size >= held_bytes:
+                yield from search(held)
+                held, size = [], 0
+        if held:
+            yield from search(held)
+
+    out = kept.mapInArrow(run, T.StructType(kept.schema.fields + _ADDED.fields))
     hit = "aggregate(sequence(0, size(hit_spans) - 2, 2), 0L, (a, i) -> a + hit_spans[i + 1] - hit_spans[i])"
     return out.withColumn("n_hit", F.expr(f"CASE WHEN size(hit_spans) < 2 THEN 0L ELSE {hit} END"))
 

@@ -2,30 +2,30 @@
 
 Each three consecutive lines of a document are hashed. A window that occurs in an earlier document (by
 doc_id), or earlier in its own, is a later occurrence; the lines that such windows cover are merged and
-removed. Only hashes are compared: 64-bit XXH64, so among n different windows some n * n / 2 ** 65 pairs meet by
+removed. Only hashes are compared, of 128 bits (XXH3), so among a million million different windows no two meet by
 chance.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, table, utf8, without
+from lawfinder.llm.common import add_columns, table, utf8, without, written
 
 LINES = 3
+#: Bytes of the repeated windows of all documents that are broadcast to the texts; where there are more, texts and windows meet in a shuffle.
+SMALL_LATER = 16 << 20
 
 
-def windows(lines: list[bytes], size: int = LINES) -> np.ndarray:
-    """Hash of each ``size`` consecutive lines; windows of blank lines alone hash to 0 and never count."""
-    digest = xxhash.xxh64_intdigest
-    out = [digest(b"\n".join(lines[i : i + size])) for i in range(len(lines) - size + 1)]
+def windows(lines: list[bytes], size: int = LINES) -> list[bytes | None]:
+    """Hash of each ``size`` consecutive lines; windows of blank lines alone are None and never count."""
+    digest = xxhash.xxh3_128_digest
     blank = [not line.strip() for line in lines]
-    return np.array([0 if all(blank[i : i + size]) else h for i, h in enumerate(out)], np.uint64).view(np.int64)
+    return [None if all(blank[i : i + size]) else digest(b"\n".join(lines[i : i + size])) for i in range(len(lines) - size + 1)]
 
 
 def _hashes(batches):
@@ -33,27 +33,41 @@ def _hashes(batches):
         hashes, who = [], []
         for doc, raw in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
             if doc is not None:
-                h = np.unique(windows(raw.split(b"\n")))
-                hashes.append(h[h != 0])
-                who.append(np.full(len(hashes[-1]), doc, np.int64))
-        if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(who))], names=["h", "doc"])
+                found = set(windows(raw.split(b"\n"))) - {None}
+                hashes += found
+                who += [doc] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(who, pa.int64())], names=["h", "doc"])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def kept_lines(lines: list[bytes], late: set[bytes]) -> list[bytes]:
+    """The lines that no window of ``late`` covers, nor one that has been in the text before."""
+    gone, seen = bytearray(len(lines)), set()
+    for i, h in enumerate(windows(lines)):
+        if h is not None:
+            if h in late or h in seen:
+                gone[i : i + LINES] = b"\1" * LINES
+            seen.add(h)
+    return [x for x, g in zip(lines, gone, strict=True) if not g]
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", small: int = SMALL_LATER) -> DataFrame:
     """``docs`` with the text rid of repeated windows' lines, and n_lines (before) and n_removed added.
 
     The first occurrence is in the document of the smallest doc_id, and in it the first place; all others
     go. Documents of fewer than three lines have no window and stay as they are, and so do those
     without a doc_id; a null text has no lines and stays null. Rows that repeat a doc_id are one document: they keep
-    the same lines. Columns called n_lines or n_removed are replaced.
+    the same lines. Columns called n_lines or n_removed are replaced. Texts are shuffled only if the
+    repeated windows take more than ``small`` bytes.
     """
     names = without(docs, ["n_lines", "n_removed"]).columns
     slim = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    seen = slim.mapInArrow(_hashes, "h long, doc long")
+    seen = slim.mapInArrow(_hashes, "h binary, doc long")
     first = seen.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
     later = seen.join(first, "h").where("doc > first").groupBy("doc").agg(F.collect_set("h").alias("__lf_later")).withColumnRenamed("doc", "__lf_doc")
-    base = docs.select(*[F.col(f"`{c}`") for c in names]).join(later, F.col(doc_id).cast("long") == F.col("__lf_doc"), "left")
+    later = written(later, "lines-later")
+    size = later.agg(F.sum(F.size("__lf_later") * 32 + 64)).first()[0] or 0
+    base = docs.select(*[F.col(f"`{c}`") for c in names])
+    base = base.join(F.broadcast(later) if size <= small else later, F.col(doc_id).cast("long") == F.col("__lf_doc"), "left")
     added = T.StructType([T.StructField("__lf_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def fresh():
@@ -61,19 +75,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             texts, sizes, removed = [], [], []
             for known, given, raw, hits in zip(ids.is_valid().to_pylist(), column.is_valid().to_pylist(), utf8(column), late.to_pylist(), strict=True):
                 lines = raw.split(b"\n") if given else []
-                gone = np.zeros(len(lines), bool)
-                if known and len(lines) >= LINES:
-                    h = windows(lines)
-                    again = np.ones(len(h), bool)
-                    again[np.unique(h, return_index=True)[1]] = False
-                    if hits:
-                        again |= np.isin(h, np.array(hits, np.int64))
-                    again &= h != 0
-                    for k in range(LINES):
-                        gone[k : k + len(h)] |= again
-                texts.append(b"\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if given else None)
+                kept = kept_lines(lines, set(hits or ())) if known else lines
+                texts.append(b"\n".join(kept) if given else None)
                 sizes.append(len(lines))
-                removed.append(int(gone.sum()))
+                removed.append(len(lines) - len(kept))
             return [pa.array(texts, pa.binary()).cast(pa.string()), sizes, removed]
 
         return make

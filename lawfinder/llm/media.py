@@ -134,8 +134,9 @@ def described(docs: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns (feature: the number of pairs, and the digest of their codes and frames) and the pairs themselves."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     found = described(to_media(docs).drop("text"))
     text = F.concat_ws(";", *[F.array_join(F.col(c).cast("array<string>"), ",") for c in ("pair_codes", "pair_frames")])
     feature = F.concat(F.size("pair_codes").cast("string"), F.lit(":"), F.sha2(text, 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "pair_codes", "pair_frames")

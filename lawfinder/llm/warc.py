@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lawfinder.llm.common import parallelism, removed, shared_dir, table, written
+from lawfinder.llm.common import filesystem, parallelism, removed, shared_dir, table, written
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 0
@@ -97,11 +97,6 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, stream.read(int(headers["content-length"]))
 
 
-def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    """The shared folder's own file system; Spark's checkpoint folder may be a URI or a plain path."""
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def with_decisions(pages: DataFrame, least_bytes: int = LEAST_BYTES, small: int = SMALL_LEAST) -> DataFrame:
     """Add payload (binary), kind and refers: equal payloads of ``least_bytes`` or more go to their smallest page_id.
 

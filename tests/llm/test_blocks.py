@@ -57,7 +57,7 @@ def test_contamination_is_brute_force(spark, odd, block):
     items = [(1, prose(1, 30)), (2, "ZETA, beta!"), (3, None), (4, ""), (5, prose(13, 14)), (6, prose(1, 30)), (7, "absent words"), (8, "été")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     short = df.where("doc_id IS NULL OR doc_id <> 300")
-    got = decontamination.find_contamination(short, bench, block_bytes=block)
+    got = decontamination.find_contamination(short, bench, block_bytes=block, held_bytes=2000)
     assert got.where("doc_id = 0").first()["n_words"] == 120
     key = lambda x: str(x)
     want = sorted(((r[0], *brute_hits(r[1], items)) for r in rows if r[0] != 300), key=key)

@@ -453,9 +453,10 @@ def test_line_dedup_is_brute_force(spark):
     docs += [(None, "a\nb\nc"), (200, None), (201, ""), (202, "\n\n\n\n"), (203, "q\nr\ns\nq\nr\ns"), (203, "q\nr\ns\nq\nr\ns"), (204, "\n".join(map(str, range(50_000)))), (205, "\n".join(map(str, range(50_000))))]
     df = spark.createDataFrame([(*d, "old") for d in docs], "doc_id long, text string, n_lines string")
     want = brute_lines(docs)
-    got = linededup.dedup_lines(df).collect()
     key = lambda x: (str(x[0]), str(x[1]))
-    assert sorted([(g.doc_id, g.text, g.n_removed) for g in got], key=key) == sorted([(d[0], *want[d]) for d in docs], key=key)
+    for small in (linededup.SMALL_LATER, 0):  # broadcast, and shuffled
+        got = linededup.dedup_lines(df, small=small).collect()
+        assert sorted([(g.doc_id, g.text, g.n_removed) for g in got], key=key) == sorted([(d[0], *want[d]) for d in docs], key=key)
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -480,6 +481,30 @@ def test_media_round_trip(spark):
     assert media.described(media.to_media(df.limit(0))).count() == 0
 
 
+def test_fingerprint_is_brute_force():
+    """Peaks and pairs again, by the plain sum of a discrete Fourier transform in double precision."""
+    n, hop, bands = media.FRAME, media.HOP, media.BANDS
+    for seed, size in ((1, 576), (2, 512 * 9 + 64), (3, 576 * 5)):
+        raw = np.random.default_rng(seed).integers(0, 256, size).astype(np.uint8).tobytes()
+        x = [(b - 128) / 128 for b in raw]
+        count = max(1, 1 + -(-(len(x) - n) // hop))
+        x += [0.0] * ((count - 1) * hop + n - len(x))
+        wave_ = np.exp(-2j * np.pi * np.outer(np.arange(1, n // 2 + 1), np.arange(n)) / n)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+        power = [np.abs(wave_ @ (np.array(x[t * hop : t * hop + n]) * hann)) ** 2 for t in range(count)]
+        width = n // 2 // bands
+        top = [[max((p[b * width + k], -k) for k in range(width)) for b in range(bands)] for p in power]
+        found = []
+        for t in range(count):
+            for b in range(bands):
+                level = lambda u: top[u][b][0] if 0 <= u < count else -1.0  # noqa: B023, E731
+                if level(t) > level(t - 1) and level(t) >= level(t + 1) and level(t) > 1e-6:
+                    found.append((t, b * width - top[t][b][1] + 1))
+        pairs = sorted((t, (f << 20) | (g << 8) | (u - t)) for i, (t, f) in enumerate(found) for u, g in found[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH)
+        codes, frames = media.fingerprint(raw)
+        assert list(zip(frames.tolist(), codes.tolist(), strict=True)) == pairs
+
+
 def test_peaks_do_not_depend_on_blocks(monkeypatch):
     raw = np.random.default_rng(4).integers(0, 256, 60_000).astype(np.uint8).tobytes()
     whole = media.fingerprint(raw)
