@@ -185,7 +185,8 @@ def find_contamination(
     bounded_batches(docs.sparkSession)
     blocks = item_blocks(benchmark, block_bytes)
     kept = without(docs, [*_ADDED.names, "n_hit"])
-    at = [c.lower() for c in kept.columns].index(text.lower())
+    names = kept.columns
+    at = [c.lower() for c in names].index(text.lower())
 
     def search(held: list[pa.RecordBatch]):
         split = [words(raw) for b in held for raw in utf8(b.column(at))]
@@ -204,7 +205,7 @@ def find_contamination(
             counts = pa.array([len(w) for w, _, _ in mine], pa.int64())
             flat = pa.array([[x for s in found for x in s] for _, found, _ in mine], pa.list_(pa.int64()))
             named = pa.array([sorted(hit) for _, _, hit in mine], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, counts, flat, named], names=[*kept.columns, *_ADDED.names])
+            yield pa.RecordBatch.from_arrays([*b.columns, counts, flat, named], names=[*names, *_ADDED.names])
 
     def run(batches):
         held, size = [], 0
