@@ -38,19 +38,30 @@ LOGLIK = {
 }
 
 
-def phi(z: Column) -> Column:
-    """Standard normal distribution function by Abramowitz and Stegun 7.1.26 (error below 1.5e-7)."""
-    x = F.abs(z) / F.lit(math.sqrt(2))
-    t = 1 / (1 + 0.3275911 * x)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return F.when(z >= 0, 1 - tail / 2).otherwise(tail / 2)
+#: Hart's rational approximation of the normal tail (double precision), numerator and denominator from the highest power.
+HART_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+#: Beyond this many deviations the tail comes from a continued fraction.
+HART_END = 7.07106781186547
+
 
+def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
 
-def phi_sql(z: str) -> str:
-    x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1 / (1 + 0.3275911 * {x}))"
-    tail = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-{x} * {x}))"
-    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} / 2 ELSE {tail} / 2 END)"
+
+def normal_tail(a: Column, e: Column) -> Column:
+    """Mass of the standard normal law beyond ``a`` >= 0; ``e`` is exp(-a * a / 2)."""
+    far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+    return F.when(a < HART_END, e * polynomial(HART_UP, a) / polynomial(HART_DOWN, a)).otherwise(far)
+
+
+def phi(z: Column) -> Column:
+    """Standard normal distribution function."""
+    tail = normal_tail(F.abs(z), F.exp(-z * z / 2))
+    return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
 def cdf(name: str, x: Column, p: list[Column]) -> Column:
@@ -124,13 +135,7 @@ def normal_quantile(q: Column) -> Column:
     """Acklam's rational approximation (1.2e-9)."""
     from lawfinder.functions.special import _A, _B, _C, _D
 
-    def poly(c, x):
-        out = F.lit(c[0])
-        for k in c[1:]:
-            out = out * x + k
-        return out
-
     t = F.sqrt(-2 * F.ln(F.least(q, 1 - q)))
-    tail = poly(_C, t) / poly(_D, t)
+    tail = polynomial(_C, t) / polynomial(_D, t)
     r = (q - 0.5) * (q - 0.5)
-    return F.when(F.abs(q - 0.5) <= 0.47575, (q - 0.5) * poly(_A, r) / poly(_B, r)).when(q < 0.5, tail).otherwise(-tail)
+    return F.when(F.abs(q - 0.5) <= 0.47575, (q - 0.5) * polynomial(_A, r) / polynomial(_B, r)).when(q < 0.5, tail).otherwise(-tail)

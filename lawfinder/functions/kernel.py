@@ -8,7 +8,7 @@ import numpy as np
 
 from lawfinder.functions.discrete import DiscreteLaw
 from lawfinder.functions.laws import Law
-from lawfinder.functions.special import kolmogorov_sf, nelder_mead
+from lawfinder.functions.special import kolmogorov_exact, kolmogorov_sf, nelder_mead
 
 EPS = 1e-10
 #: Values on which the simplex starts; the whole sample refines what it finds.
@@ -198,13 +198,17 @@ class Truncated:
         return float(x.mean()), float(x.std())
 
 
+#: Values up to which K-S p-values are exact; beyond, Stephens' factor on the limit law is right to three digits.
+EXACT_ROWS = 140
+
+
 def ks_statistic(ordered: np.ndarray, f: np.ndarray) -> tuple[float, float]:
     n = len(ordered)
     if not np.isfinite(f).all():
         return math.inf, 0.0
     i = np.arange(1, n + 1)
     d = float(max((i / n - f).max(), (f - (i - 1) / n).max()))
-    return d, kolmogorov_sf(d * (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)))
+    return d, kolmogorov_exact(n, d) if n <= EXACT_ROWS else kolmogorov_sf(d * (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)))
 
 
 def ad_statistic(f: np.ndarray) -> float:

@@ -188,6 +188,36 @@ def kolmogorov_sf(y: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * y * y) for k in range(1, 8))))
 
 
+def kolmogorov_exact(n: int, d: float) -> float:
+    """P(D >= d) for the K-S statistic of ``n`` values, by the matrix power of Marsaglia, Tsang and Wang (2003)."""
+    if n * d * d > 18 or d >= 1:
+        return 0.0
+    k = int(n * d) + 1
+    m, h = 2 * k - 1, k - n * d
+    i = np.arange(m)
+    gap = i[:, None] - i[None, :] + 1
+    a = (gap >= 0).astype(float)
+    a[:, 0] -= h ** (i + 1)
+    a[m - 1, :] -= h ** (m - i)
+    a[m - 1, 0] += max(2 * h - 1, 0.0) ** m
+    a /= np.array([math.factorial(g) if g > 0 else 1 for g in range(m + 1)], float)[np.maximum(gap, 0)]
+    out, shift, base, base_shift = np.eye(m), 0, a, 0
+    left = n
+    while left:
+        if left & 1:
+            out, shift = out @ base, shift + base_shift
+        base, base_shift, left = base @ base, 2 * base_shift, left >> 1
+        top = base[k - 1, k - 1]
+        if top > 1e140:
+            base, base_shift = base * 1e-140, base_shift + 140
+        if out[k - 1, k - 1] > 1e140:
+            out, shift = out * 1e-140, shift + 140
+    if out[k - 1, k - 1] <= 0:
+        return 1.0
+    log = math.log(out[k - 1, k - 1]) + shift * math.log(10) + math.lgamma(n + 1) - n * math.log(n)
+    return min(1.0, max(0.0, 1 - math.exp(min(log, 0.0))))
+
+
 def bessel_i0e(x):
     """Exponentially scaled modified Bessel function of order 0 (1.6e-7)."""
     return _bessel(x, (1.0, 3.5156229, 3.0899424, 1.2067492, 0.2659732, 0.0360768, 0.0045813), (0.39894228, 0.01328592, 0.00225319, -0.00157565, 0.00916281, -0.02057706, 0.02635537, -0.01647633, 0.00392377))

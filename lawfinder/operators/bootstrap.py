@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lawfinder.functions import kernel, registry
+from lawfinder.operators.fitting import sampled
 from lawfinder.operators.stats import long_frame
 
 
 def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int | None = 10_000, seed: int | None = 42) -> dict[str, tuple[float, float]]:
-    """Percentile intervals of each parameter, from resamples of about ``max_samples`` values; None: of as many as there are.
+    """Percentile intervals of each parameter, from resamples of ``max_samples`` values; None: of as many as there are.
 
     All values are drawn as multinomial counts of the distinct ones, which are what is sent to the tasks.
 
@@ -27,9 +27,7 @@ def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstr
         values, counts = pdf.value.to_numpy(float), pdf["count"].to_numpy(np.int64)
     else:
         n = rows.count()
-        if n > max_samples:
-            rows = rows.where(F.pmod(F.xxhash64(F.lit(seed or 0), F.monotonically_increasing_id(), "value"), F.lit(1_000_003)) < F.lit(int(1_000_003 * max_samples / n)))
-        values, counts = rows.toPandas().value.to_numpy(float), None
+        values, counts = np.sort(sampled(rows, ["value"], n, max_samples, seed or 0).toPandas().value.to_numpy(float)), None
     sent = spark.sparkContext.broadcast((values, counts))
     custom = registry.get_custom_distributions().get(result.distribution)
     base, name = 0 if seed is None else seed, result.distribution

@@ -52,11 +52,9 @@ def _case(families: Sequence[str], values: dict) -> Column:
 
 def _phi(df: DataFrame, u: str, name: str) -> DataFrame:
     """The normal distribution function of ``u`` in steps, each a projection, so that nothing is computed twice."""
-    df = df.withColumn("_a", F.abs(F.col(u)) / F.lit(math.sqrt(2))).withColumn("_t", 1 / (1 + 0.3275911 * F.col("_a")))
-    t = F.col("_t")
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-F.col("_a") * F.col("_a"))
-    df = df.withColumn("_tail", tail)
-    return df.withColumn(name, F.when(F.col(u) >= 0, 1 - F.col("_tail") / 2).otherwise(F.col("_tail") / 2)).drop("_a", "_t", "_tail")
+    df = df.withColumn("_a", F.abs(F.col(u))).withColumn("_e", F.exp(-F.col("_a") * F.col("_a") / 2))
+    df = df.withColumn("_tail", C.normal_tail(F.col("_a"), F.col("_e")))
+    return df.withColumn(name, F.when(F.col(u) > 0, 1 - F.col("_tail")).otherwise(F.col("_tail"))).drop("_a", "_e", "_tail")
 
 
 def with_cdf(df: DataFrame, x: str, name: str, families: Sequence[str] = tuple(C.CLOSED)) -> DataFrame:

@@ -61,11 +61,14 @@ def cdf_data(df: DataFrame, column: str, result) -> DataFrame:
 
 
 def discrete_data(df: DataFrame, column: str, result) -> DataFrame:
-    """(value, empirical, theoretical) of whole numbers from two below the least, zero at most, to two above the largest."""
-    rows = long_frame(df, [column], discrete=True)
-    ends = rows.agg(F.min("value").cast("bigint").alias("a"), F.max("value").cast("bigint").alias("b"))
-    grid = ends.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("a") - 2), F.col("b") + 2)).alias("value"))
-    return grid.join(pmf(rows).select("value", "pmf"), "value", "left").select("value", F.coalesce("pmf", F.lit(0.0)).alias("empirical"), _apply(result.pmf)(F.col("value").cast("double")).alias("theoretical"))
+    """(value, empirical, theoretical) of the values that occur and the two whole numbers below and above each, from zero on (or the least value less two, if that is more).
+
+    So there are no rows for the empty stretch before a far value, and five at most for each distinct one.
+    """
+    count = pmf(long_frame(df, [column], discrete=True)).select("value", "pmf")
+    grid = count.select(F.explode(F.array(*[F.col("value") + k for k in range(-2, 3)])).alias("value")).distinct().where("value >= 0")
+    grid = grid.unionByName(count.where("value < 0").select("value")).distinct()
+    return grid.join(count, "value", "left").select("value", F.coalesce("pmf", F.lit(0.0)).alias("empirical"), _apply(result.pmf)(F.col("value").cast("double")).alias("theoretical"))
 
 
 def diagnostics(df: DataFrame, column: str, result) -> dict[str, DataFrame]:

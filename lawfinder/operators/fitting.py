@@ -1,8 +1,10 @@
 """Fitting many families to many columns: one grid of (column, family) tasks over a bounded sample.
 
-Counts, extremes and histograms are taken over all rows in two aggregates for all columns together. The
-iterative estimates read a sample of about ``fitting_sample_size`` rows, chosen by a hash of the row's values and
-of its number in its partition (so that equal values do not share a fate); columns of a row stay together.
+Counts, moments, extremes, the 99th percentile and histograms are taken over all rows, in two aggregates for all columns
+together; the result's data_* columns, the prefilter, the heavy-tail rule and SSE are about these, whatever is sampled. The iterative
+estimates and the other scores of continuous families read a sample of ``fitting_sample_size`` rows: those with the smallest hashes of the row's
+values and of its place in the input's files (so that equal values do not share a fate); columns of a row stay together.
+Discrete families are fitted and scored on all rows, by the counts of their distinct values.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +23,12 @@ from lawfinder.config import FitterConfig
 from lawfinder.functions import kernel, registry
 from lawfinder.functions.laws import HEAVY, POSITIVE_SKEW, SLOW
 from lawfinder.operators.results import FitResults
-from lawfinder.operators.stats import check_columns, histogram, long_frame
+from lawfinder.operators.stats import binned, check_columns, histogram, long_frame
+
+#: Distinct values of a discrete column whose counts, 16 bytes each, go to all tasks.
+MOST_VALUES = 1_000_000
+#: Values of a discrete column that a result carries as its sample.
+SHOWN = 10_000
 
 _DOUBLES = "sse aic bic ks_statistic pvalue ad_statistic ad_pvalue data_min data_max data_mean data_stddev".split()
 RESULT_SCHEMA = T.StructType(
@@ -49,17 +56,29 @@ def resolve_bounds(config: FitterConfig, columns: Sequence[str], stats: dict[str
     return out
 
 
+def _mark(columns: Sequence[str], seed: int) -> Column:
+    """A hash of 63 bits."""
+    hashed = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in columns])
+    return hashed.bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def below(share: float) -> int:
+    """The mark below which that share of all rows lies."""
+    return min((1 << 63) - 1, int(share * (1 << 63)))
+
+
 def sampled(df: DataFrame, columns: Sequence[str], n: int, size: int, seed: int, keep: Sequence[str] = ()) -> DataFrame:
-    """About ``size`` of ``n`` rows (all if there are no more), by a hash of their values and the seed."""
-    slim = df.select(*[F.col(f"`{c}`") for c in [*columns, *keep]])
-    return thinned(slim, columns, n, size, seed)
+    """``size`` of ``n`` rows (all if there are no more): those with the smallest hashes of their values and the seed."""
+    if n <= size:
+        return df.select(*[F.col(f"`{c}`") for c in [*columns, *keep]])
+    # few more than are wanted reach the sort, whatever n is
+    some = df.select(*[F.col(f"`{c}`") for c in [*columns, *keep]], _mark(columns, seed).alias("_mark"))
+    return some.where(F.col("_mark") <= below((size + 8 * math.sqrt(size) + 20) / n)).orderBy("_mark").limit(size).drop("_mark")
 
 
 def thinned(df: DataFrame, columns: Sequence[str], n: int, size: int, seed: int) -> DataFrame:
-    if n <= size:
-        return df
-    mark = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[F.col(f"`{c}`") for c in columns]), F.lit(1_000_003))
-    return df.where(mark < F.lit(math.ceil(1_000_003 * size / n)))
+    """About ``size`` of ``n`` rows, wherever they lie."""
+    return df if n <= size else df.where(_mark(columns, seed) <= below(size / n))
 
 
 def stratified(df: DataFrame, column: str, n: int, size: int, strata: int, seed: int, tail: int = 500) -> DataFrame:
@@ -72,13 +91,16 @@ def stratified(df: DataFrame, column: str, n: int, size: int, strata: int, seed:
         at = at + (F.col(f"`{column}`") > c).cast("int")
     marked = df.withColumn("_stratum", F.coalesce(at, F.lit(0)))
     sizes = {r["_stratum"]: r["count"] for r in marked.groupBy("_stratum").count().collect()}
-    base = size / n
-    part = {s: min(1.0, max(base, tail / k) if s in (0, len(cuts)) else base) for s, k in sizes.items()}
-    share = F.lit(0.0)
-    for s, p in part.items():
-        share = F.when(F.col("_stratum") == s, p).otherwise(share)
-    mark = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), F.col(f"`{column}`")), F.lit(1_000_003))
-    return marked.where(mark < F.ceil(share * 1_000_003)).drop("_stratum")
+    most = F.lit(0).cast("long")
+    for s, share in stratum_shares(sizes, size / n, tail).items():
+        most = F.when(F.col("_stratum") == s, F.lit(below(share))).otherwise(most)
+    return marked.where(_mark([column], seed) <= most).drop("_stratum")
+
+
+def stratum_shares(sizes: dict[int, int], base: float, tail: int) -> dict[int, float]:
+    """What share of each stratum is taken: ``base``, of the first and last one as much as gives ``tail`` rows."""
+    ends = (min(sizes), max(sizes))
+    return {s: min(1.0, max(base, tail / k) if s in ends else base) for s, k in sizes.items()}
 
 
 def strategy(skewness: float, mild: float = 0.5, high: float = 2.0) -> tuple[str, int]:
@@ -97,8 +119,8 @@ def prefiltered(names: Sequence[str], skewness: float, kurtosis: float, mode: bo
     return out or list(names)
 
 
-def _payload(df: DataFrame, columns: Sequence[str], config: FitterConfig, n_rows: int, discrete: bool) -> dict[str, dict]:
-    """Each column's sample, with the moments taken on it."""
+def _samples(df: DataFrame, columns: Sequence[str], config: FitterConfig, n_rows: int) -> dict[str, dict]:
+    """Each column's sample."""
     keep = [config.censoring_column] if config.censoring_column else []
     rows = sampled(df, columns, n_rows, config.fitting_sample_size, config.random_seed, keep).toPandas()
     out = {}
@@ -109,19 +131,42 @@ def _payload(df: DataFrame, columns: Sequence[str], config: FitterConfig, n_rows
         if keep:
             good &= rows[keep[0]].notna().to_numpy()
             event = rows[keep[0]].fillna(False).astype(bool).to_numpy()[good]
-        x = x[good]
-        if discrete:
-            x = np.trunc(x)
-        out[c] = {"x": x, "event": event}
+        out[c] = {"x": x[good], "event": event}
+    return out
+
+
+def _counted(rows: DataFrame, columns: Sequence[str], config: FitterConfig, stats: dict[str, dict]) -> dict[str, dict]:
+    """The distinct values of whole-number columns with their counts, over all rows.
+
+    A column with more than MOST_VALUES of them gives those of a sample of ``fitting_sample_size`` rows instead.
+    """
+    count = rows.groupBy("column_name", "value").agg(F.count("*").cast("double").alias("n"))
+    many = {r.column_name for r in count.groupBy("column_name").count().where(F.col("count") > MOST_VALUES).collect()}
+    pdf = count.where(~F.col("column_name").isin(*many)).toPandas() if many else count.toPandas()
+    for c in many:
+        some = sampled(rows.where(F.col("column_name") == c), ["value"], stats[c]["n"], config.fitting_sample_size, config.random_seed, ["column_name"]).toPandas()
+        pdf = pd.concat([pdf, some.groupby(["column_name", "value"], as_index=False).agg(n=("value", "size"))])
+    out = {}
+    for c in columns:
+        mine = pdf[pdf.column_name == c].sort_values("value")
+        values, counts = mine.value.to_numpy(float), mine.n.to_numpy(float)
+        upto = np.cumsum(counts)
+        size = int(min(SHOWN, upto[-1]))
+        out[c] = {"values": values, "counts": counts, "x": values[np.searchsorted(upto, (np.arange(size) + 0.5) / size * upto[-1])], "event": None}
     return out
 
 
-def _moments(x: np.ndarray) -> dict:
-    if not len(x):
-        return dict.fromkeys(("data_min", "data_max", "data_mean", "data_stddev", "data_kurtosis", "data_skewness")) | {"data_count": 0}
-    sd = float(x.std())
-    z = (x - x.mean()) / (sd or 1.0)
-    return {"data_min": float(x.min()), "data_max": float(x.max()), "data_mean": float(x.mean()), "data_stddev": sd, "data_count": len(x), "data_kurtosis": float((z**4).mean() - 3) if sd else math.nan, "data_skewness": float((z**3).mean()) if sd else math.nan}
+def _described(stats: dict) -> dict:
+    """The result's data_* columns, of all rows."""
+    real = lambda v: math.nan if v is None else float(v)
+    return {"data_count": stats["n"]} | {f"data_{k}": real(stats[f"data_{k}"]) for k in ("min", "max", "mean", "stddev", "kurtosis", "skewness")}
+
+
+def heavy_tailed(stats: dict) -> bool:
+    """By all rows: excess kurtosis above 6, or the largest value above 3 times a positive 99th percentile; under 10 values never."""
+    if stats["n"] < 10 or not stats["data_stddev"]:
+        return False
+    return (stats["data_kurtosis"] or 0.0) > 6 or (stats["p99"] > 0 and stats["data_max"] / stats["p99"] > 3)
 
 
 def failed(column: str, name: str, base: dict) -> dict:
@@ -189,57 +234,67 @@ class _Fitter:
             if kinds[config.censoring_column] not in ("boolean", "int", "bigint"):
                 raise TypeError("the censoring column must be boolean or a whole number (1: the event was observed)")
         rows = long_frame(df, names, discrete=self.discrete)
-        stats = {r.column_name: r.asDict() for r in rows.groupBy("column_name").agg(F.count("*").alias("n"), F.min("value").alias("data_min"), F.max("value").alias("data_max"), F.skewness("value").alias("skew")).collect()}
+        v = F.col("value")
+        moments = [f(v).alias(f"data_{n}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("stddev", F.stddev_pop), ("kurtosis", F.kurtosis), ("skewness", F.skewness))]
+        stats = {r.column_name: r.asDict() for r in rows.groupBy("column_name").agg(F.count("*").alias("n"), *moments, F.percentile_approx(v, F.lit(0.99), 10_000).alias("p99")).collect()}
         if not stats:
             if df.limit(1).count() == 0:
                 raise ValueError("the table is empty")
             return FitResults(self.spark.createDataFrame([], RESULT_SCHEMA), {}, self.discrete)
         present = [c for c in names if c in stats]
         bounds = resolve_bounds(config, present, stats)
-        n_rows = max(s["n"] for s in stats.values())
-        if config.enable_sampling and n_rows > config.sample_threshold:
-            df, n_rows = self._down(df, present, stats, config, n_rows)
-            rows = long_frame(df, present, discrete=self.discrete)
-        payload = _payload(df, present, config, n_rows, self.discrete)
-        cells: dict[str, list] = {c: [] for c in present}
-        if not self.discrete:
-            edges = None if isinstance(config.bins, int) else config.bins
-            count = histogram(rows, None if config.use_rice_rule and edges is None else config.bins if edges is None else None, edges)
-            for r in count.collect():
-                cells[r.column_name].append(r)
+        if self.discrete:
+            payload = _counted(rows, present, config, stats)
+        else:
+            n_rows = max(s["n"] for s in stats.values())
+            some = df
+            if config.enable_sampling and n_rows > config.sample_threshold:
+                some, n_rows = self._down(df, present, stats, config, n_rows)
+            payload = _samples(some, present, config, n_rows)
+            if isinstance(config.bins, int):
+                cells = binned(rows, {c: (s["data_min"], s["data_max"], self._bins(s, config)) for c, s in stats.items()})
+            else:
+                cells = histogram(rows, edges=config.bins).select("column_name", "bin_id", "n")
+            for c in present:
+                payload[c]["cells"] = {}
+            for r in cells.collect():
+                payload[r.column_name]["cells"][r.bin_id] = r.n
         for c, p in payload.items():
-            self._complete(c, p, cells[c], stats[c], bounds[c], config)
+            self._complete(c, p, stats[c], bounds[c], config)
         tasks = self._tasks(payload, config, distributions)
         out = self._run(tasks, payload, not config.lazy_metrics, config, progress_callback)
         return FitResults(out, {c: p["x"] for c, p in payload.items()}, self.discrete, payload if config.lazy_metrics else None)
 
+    @staticmethod
+    def _bins(stats: dict, config: FitterConfig) -> int:
+        if stats["data_min"] == stats["data_max"]:
+            return 1
+        return max(2, math.ceil(round(stats["n"] ** (1 / 3), 9)) * 2) if config.use_rice_rule else max(2, config.bins)
+
     def _down(self, df, columns, stats, config, n_rows):
+        """The rows from which the fitting sample is drawn, where there are very many: of a skewed column its strata."""
         target = max(1, round(n_rows * config.sample_fraction)) if config.sample_fraction else min(config.max_sample_size, round(0.35 * n_rows))
-        worst = max(columns, key=lambda c: abs(stats[c]["skew"] or 0))
-        how, strata = strategy(stats[worst]["skew"] or 0.0, config.skew_threshold_mild, config.skew_threshold_high)
+        worst = max(columns, key=lambda c: abs(stats[c]["data_skewness"] or 0))
+        how, strata = strategy(stats[worst]["data_skewness"] or 0.0, config.skew_threshold_mild, config.skew_threshold_high)
         if how == "stratified" and config.adaptive_sampling:
             return stratified(df, worst, n_rows, target, strata, config.random_seed), target
         return thinned(df, columns, n_rows, target, config.random_seed), target
 
-    def _complete(self, column, p, cells, stats, bounds, config):
-        x = p["x"]
-        p |= {"moments": _moments(x), "low": bounds[0], "high": bounds[1], "discrete": self.discrete, "method": config.estimation_method}
+    def _complete(self, column, p, stats, bounds, config):
+        p |= {"moments": _described(stats), "low": bounds[0], "high": bounds[1], "discrete": self.discrete, "method": config.estimation_method}
         if self.discrete:
-            values, counts = np.unique(x, return_counts=True)
-            p |= {"values": values.astype(float), "counts": counts.astype(float)}
             return
         if isinstance(config.bins, int):
-            bins = max(2, math.ceil(round(stats["n"] ** (1 / 3), 9)) * 2) if config.use_rice_rule else max(2, config.bins)
-            edges = np.linspace(stats["data_min"], stats["data_max"], bins + 1)
+            edges = np.linspace(stats["data_min"], stats["data_max"], self._bins(stats, config) + 1)
         else:
-            bins, edges = len(config.bins) - 1, np.array(config.bins, float)
-        density = np.zeros(bins)
-        for r in cells:
-            density[r.bin_id] = r.density
+            edges = np.array(config.bins, float)
+        cells = p.pop("cells")
+        density = np.array([cells.get(i, 0) for i in range(len(edges) - 1)], float)
+        density /= max(density.sum(), 1) * np.where(np.diff(edges) > 0, np.diff(edges), 1)
         if stats["data_min"] == stats["data_max"]:
             edges, density = np.array([stats["data_min"]]), np.array([1.0])
         p |= {"density": density, "edges": edges}
-        if len(x) and kernel.is_heavy_tailed(x):
+        if heavy_tailed(stats):
             if config.estimation_method == "auto":
                 p["method"] = "mse"
             elif config.estimation_method == "mle":
@@ -256,7 +311,7 @@ class _Fitter:
             if not len(p["x"]):
                 continue
             m = p["moments"]
-            mine = names if self.discrete else prefiltered(names, m["data_skewness"] or 0.0, m["data_kurtosis"] or 0.0, config.prefilter)
+            mine = names if self.discrete else prefiltered(names, m["data_skewness"], m["data_kurtosis"], config.prefilter)
             out += [(c, n) for n in registry.interleaved(mine)]
         return out
 

@@ -171,8 +171,9 @@ class FitResults:
         return out
 
     def shortlist(self, n: int, metric: str = "ks_statistic") -> list[FitResult]:
-        """Like ``best`` on lazy results, but only the 3 n + 5 best rows by AIC get their metrics."""
-        few = self._df.orderBy("aic").limit(3 * n + 5)
+        """Like ``best`` on lazy results, but only each column's 3 n + 5 best rows by AIC get their metrics (ties by name, nulls last)."""
+        w = Window.partitionBy("column_name").orderBy(F.col("aic").asc_nulls_last(), "distribution")
+        few = self._df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 3 * n + 5).drop("_rank")
         return self._like(few).best(n, metric)
 
     def materialize(self) -> FitResults:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Buckets in which running counts of a column's values are taken.
-BUCKETS = 4096
+#: Buckets in which running counts of a column's values are taken: between this many quantiles.
+CUTS = 1024
+#: Distinct values of a column whose ranks (16 bytes each) are broadcast.
+FEW_VALUES = 100_000
 
 
 def check_columns(df: DataFrame, column: str | None, columns: Sequence[str] | None) -> list[str]:
@@ -101,12 +104,15 @@ def histogram(rows: DataFrame, bins: int | None = None, edges: Sequence[float] |
     v = F.col("value")
     if edges is not None:
         edges = [float(e) for e in edges]
-        at = F.lit(None).cast("int")
-        for i in range(len(edges) - 2, -1, -1):
-            at = F.when((v >= edges[i]) & ((v < edges[i + 1]) if i < len(edges) - 2 else (v <= edges[i + 1])), i).otherwise(at)
-        count = rows.withColumn("bin_id", at).where("bin_id IS NOT NULL").groupBy("column_name", "bin_id").agg(F.count("*").alias("n"))
-        array = F.array(*[F.lit(e) for e in edges])
-        out = count.withColumn("lo", F.element_at(array, F.col("bin_id") + 1)).withColumn("hi", F.element_at(array, F.col("bin_id") + 2))
+        last, step = len(edges) - 2, max(1, math.isqrt(len(edges)))
+        array = lambda some: F.array(*[F.lit(e) for e in some])
+        upto = lambda some: F.size(F.filter(some, lambda e: e <= F.col("value")))
+        # two short searches, over every step-th edge and over the edges from there on
+        first = (upto(array(edges[::step])) - 1) * step
+        at = rows.where((v >= edges[0]) & (v <= edges[-1])).withColumn("_first", first)
+        at = at.withColumn("bin_id", F.least(F.col("_first") + upto(F.slice(array(edges), F.col("_first") + 1, F.lit(step))) - 1, F.lit(last)))
+        count = at.groupBy("column_name", "bin_id").agg(F.count("*").alias("n"))
+        out = count.withColumn("lo", F.element_at(array(edges), F.col("bin_id") + 1)).withColumn("hi", F.element_at(array(edges), F.col("bin_id") + 2))
     else:
         range_ = rows.groupBy("column_name").agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.count("*").alias("_all"))
         range_ = range_.withColumn("_bins", rice_bins(F.col("_all")) if bins is None else F.lit(max(2, bins)))
@@ -120,6 +126,14 @@ def histogram(rows: DataFrame, bins: int | None = None, edges: Sequence[float] |
     return out.withColumn("density", density).select("column_name", "bin_id", "lo", "hi", "n", "density")
 
 
+def binned(rows: DataFrame, ranges: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """(column_name, bin_id, n) of equal bins between each column's known extremes: one aggregate, no pass for the extremes."""
+    low, width, bins = (F.create_map(*[F.lit(x) for c, (a, b, k) in ranges.items() for x in (c, (a, (b - a) / k, k)[i])]) for i in range(3))
+    rows = rows.where(F.col("column_name").isin(*ranges)).select("column_name", "value", low[F.col("column_name")].alias("_low"), width[F.col("column_name")].alias("_width"), bins[F.col("column_name")].alias("_bins"))
+    at = F.when(F.col("_width") == 0, 0).otherwise(F.least(F.floor((F.col("value") - F.col("_low")) / F.col("_width")).cast("int"), F.col("_bins") - 1))
+    return rows.groupBy("column_name", at.alias("bin_id")).agg(F.count("*").alias("n"))
+
+
 def pmf(rows: DataFrame) -> DataFrame:
     """(column_name, value, n, pmf) of whole-number values."""
     count = rows.groupBy("column_name", F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("n"))
@@ -127,19 +141,29 @@ def pmf(rows: DataFrame) -> DataFrame:
     return count.join(F.broadcast(total), "column_name").select("column_name", "value", "n", (F.col("n") / F.col("_all")).alias("pmf"))
 
 
-def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), buckets: int = BUCKETS) -> DataFrame:
+def _cuts(n: int = CUTS) -> Column:
+    """The column's quantiles, in an array: the bounds of the buckets in which its values are put in order."""
+    return F.percentile_approx("value", F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n)
+
+
+def _bucket(value: Column, cuts: Column, n: int = CUTS) -> Column:
+    """How many of the cuts lie below the value: two short searches, over every ``step``-th cut and over the next ``step``."""
+    step = math.isqrt(n)
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    first = below(F.array(*[F.get(cuts, F.lit(i - 1)) for i in range(step, n, step)])) * step
+    return (first + below(F.slice(cuts, first + 1, F.lit(step)))).cast("int")
+
+
+def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), cuts: int = CUTS) -> DataFrame:
     """(by..., value, n, before, upto, total): distinct values with their counts and running counts.
 
-    Running counts are taken in buckets of the value (by a curve that follows the quartiles), so one column
-    with most rows is many tasks' work; what lies before each bucket comes from the buckets' counts.
+    Running counts are taken in buckets between quantiles of the column, so one column with most rows is many tasks'
+    work, however its values lie; what lies before each bucket comes from the buckets' counts.
     """
     by = list(by)
-    quart = rows.groupBy(*by).agg(F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("_q"), F.count("*").alias("total"))
+    quantile = rows.groupBy(*by).agg(_cuts(cuts).alias("_q"), F.count("*").alias("total"))
     count = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    q = lambda i: F.col("_q")[i]
-    spread = F.greatest(q(2) - q(0), F.lit(1e-12) + F.abs(q(1)) * 1e-12)
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.atan(2 * (F.col("value") - q(1)) / spread) / F.lit(3.141592653589793) + 0.5) * buckets)).cast("int")
-    count = count.join(F.broadcast(quart), by).withColumn("_b", bucket).drop("_q")
+    count = count.join(F.broadcast(quantile), by).withColumn("_b", _bucket(F.col("value"), F.col("_q"), cuts)).drop("_q")
     sums = count.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
     ahead = sums.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_ahead"))
     upto = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value")) + F.col("_ahead")
@@ -147,17 +171,14 @@ def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), buckets: int = B
     return out.select(*by, "value", "n", (F.col("upto") - F.col("n")).alias("before"), "upto", "total")
 
 
-def with_previous(rows: DataFrame, name: str = "previous", buckets: int = BUCKETS) -> DataFrame:
+def with_previous(rows: DataFrame, name: str = "previous", cuts: int = CUTS) -> DataFrame:
     """Add each distinct value's predecessor in its column (null for the first).
 
-    Values are dealt to buckets along the quartiles; inside a bucket a window looks back, and a bucket's first
+    Values are dealt to buckets between quantiles; inside a bucket a window looks back, and a bucket's first
     value takes the largest one of the buckets before, from a table of one row for each bucket.
     """
-    quart = rows.groupBy("column_name").agg(F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("_q"))
-    q = lambda i: F.col("_q")[i]
-    spread = F.greatest(q(2) - q(0), F.lit(1e-12) + F.abs(q(1)) * 1e-12)
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.atan(2 * (F.col("value") - q(1)) / spread) / F.lit(3.141592653589793) + 0.5) * buckets)).cast("int")
-    rows = rows.join(F.broadcast(quart), "column_name").withColumn("_b", bucket).drop("_q")
+    quantile = rows.groupBy("column_name").agg(_cuts(cuts).alias("_q"))
+    rows = rows.join(F.broadcast(quantile), "column_name").withColumn("_b", _bucket(F.col("value"), F.col("_q"), cuts)).drop("_q")
     tops = rows.groupBy("column_name", "_b").agg(F.max("value").alias("_top"))
     tops = tops.select("column_name", "_b", F.lag("_top").over(Window.partitionBy("column_name").orderBy("_b")).alias("_before"))
     inside = F.lag("value").over(Window.partitionBy("column_name", "_b").orderBy("value"))
@@ -170,12 +191,13 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "spearman")
     clean = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
     names = [f"x{i}" for i in range(len(columns))]
     if method == "spearman":
-        rows = clean.withColumn("_row", F.monotonically_increasing_id())
-        # average ranks by way of the distinct values' running counts, and back by value
+        # average ranks by way of the distinct values' running counts, and back by value: broadcast where these are few
+        few = clean.agg(*[(F.approx_count_distinct(n, 0.03) <= FEW_VALUES).alias(n) for n in names]).first()
+        rows = clean
         for i, n in enumerate(names):
             known = ecdf(clean.select(F.lit(n).alias("column_name"), F.col(n).alias("value")))
             rank = known.select(F.col("value").alias(n), ((F.col("before") + F.col("upto") + 1) / 2).alias(f"r{i}"))
-            rows = rows.join(rank, n)
+            rows = rows.join(F.broadcast(rank) if few[n] else rank, n)
         clean, names = rows, [f"r{i}" for i in range(len(columns))]
     elif method != "pearson":
         raise ValueError("method must be spearman or pearson")
@@ -210,11 +232,7 @@ def two_sample_ks(rows: DataFrame, group: str, first, second) -> DataFrame:
 
 def ecdf_counts(count: DataFrame, n: str) -> DataFrame:
     """Running totals of ``n`` over ``value``, in buckets."""
-    quart = count.agg(F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("_q"))
-    q = lambda i: F.col("_q")[i]
-    spread = F.greatest(q(2) - q(0), F.lit(1e-12) + F.abs(q(1)) * 1e-12)
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.atan(2 * (F.col("value") - q(1)) / spread) / F.lit(3.141592653589793) + 0.5) * BUCKETS)).cast("int")
-    rows = count.crossJoin(F.broadcast(quart)).withColumn("_b", bucket).select("value", n, "_b")  # quart is one row
+    rows = count.crossJoin(F.broadcast(count.agg(_cuts().alias("_q")))).withColumn("_b", _bucket(F.col("value"), F.col("_q"))).select("value", n, "_b")  # one row of quantiles
     sums = rows.groupBy("_b").agg(F.sum(n).alias("_s"))
-    ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_ahead"))  # BUCKETS rows at most
+    ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_ahead"))  # CUTS rows at most
     return rows.join(ahead, "_b").select("value", (F.sum(n).over(Window.partitionBy("_b").orderBy("value")) + F.col("_ahead")).alias("_upto"))

@@ -13,6 +13,7 @@ from lawfinder import DiscreteDistributionFitter, DistributionFitter, FitResult,
 from lawfinder.functions import registry
 from lawfinder.functions.laws import Law
 from lawfinder.operators import closed, diagnostics, fitting, sampling, stats
+from lawfinder.operators.results import FitResults
 from lawfinder.plans import catalogue
 from lawfinder.sources import models, tables
 from lawfinder.streaming.drift import DriftMonitor, windowed_moments
@@ -139,6 +140,85 @@ def test_prefilter_and_sampling(spark, data):
     assert r.best()[0].parameters[1] == pytest.approx(5, rel=0.2)
 
 
+def test_samples_of_any_table():
+    """A share that no whole number of small buckets could say: 10,000 of 10 ** 11 and of 10 ** 15 rows."""
+    for n in (10**7, 10**11, 10**15):
+        assert fitting.below(10_000 / n) / 2**63 * n == pytest.approx(10_000, rel=1e-6)
+    assert fitting.below(1.0) == 2**63 - 1
+    assert fitting.stratum_shares({0: 1000, 1: 10**9, 2: 600}, 1e-6, 500) == {0: 0.5, 1: 1e-6, 2: 500 / 600}
+
+
+def test_sampled_sizes(spark):
+    rows = spark.range(200_000).select((F.col("id") % 3).cast("double").alias("x"), "id")
+    got = fitting.sampled(rows, ["x"], 200_000, 3000, 5, ["id"])
+    assert got.count() == 3000 and got.columns == ["x", "id"]
+    assert sorted(got.collect()) == sorted(fitting.sampled(rows, ["x"], 200_000, 3000, 5, ["id"]).collect())
+    assert got.groupBy("x").count().agg(F.min("count")).first()[0] > 800  # equal values do not share a fate
+    assert fitting.thinned(rows, ["x"], 200_000, 3000, 5).count() == pytest.approx(3000, rel=0.1)
+
+
+def test_scores_above_the_threshold(spark):
+    """SSE, counts and moments are those of all rows however small the sample."""
+    rows = spark.range(40_000).select((F.randn(7) * 3 + 10).alias("value"))
+    found = DistributionFitter(spark).fit(rows, column="value", distributions=["norm", "expon", "uniform"], sample_threshold=10_000, max_sample_size=4000)
+    best = found.best(3, "sse")
+    assert best[0].distribution == "norm" and best[0].sse < 0.001 and best[0].data["data_count"] == 40_000
+    out = found.df
+    again = {r.distribution: r.sse for r in closed.sse(stats.long_frame(rows, ["value"]), out.select("column_name", "distribution", "parameters"), None, ("norm", "expon", "uniform")).collect()}
+    assert {r.distribution: r.sse for r in out.collect()} == pytest.approx(again, rel=1e-6)
+    top = rows.agg(F.max("value"), F.skewness("value")).first()
+    assert (best[0].data["data_max"], best[0].data["data_skewness"]) == pytest.approx(tuple(top))
+
+
+def test_discrete_fits_are_of_all_rows(spark, monkeypatch):
+    rows = spark.range(30_000).select((F.col("id") % 7 + 1).alias("k"), (F.col("id") * 1_000_003).alias("wide"))
+    row = DiscreteDistributionFitter(spark).fit(rows, column="k", distributions=["poisson"]).best(metric="aic")[0]
+    mean = sum(i % 7 + 1 for i in range(30_000)) / 30_000
+    assert row.parameters == pytest.approx([mean]) and row.data["data_count"] == 30_000
+    assert row.aic == pytest.approx(2 - 2 * sum((i % 7 + 1) * math.log(mean) - mean - math.lgamma(i % 7 + 2) for i in range(30_000)))
+    monkeypatch.setattr(fitting, "MOST_VALUES", 1000)  # too many values to count: a sample's counts
+    wide = DiscreteDistributionFitter(spark).fit(rows, columns=["k", "wide"], distributions=["geom", "poisson"])
+    assert wide.for_column("k").best(2, "aic")[0].data["data_count"] == 30_000 and wide.column_names == ["k", "wide"]
+
+
+def test_shortlist_of_each_column(spark, data):
+    found = DistributionFitter(spark).fit(data, columns=["value", "wait"], lazy_metrics=True, distributions=["norm", "expon", "uniform", "gamma", "logistic", "laplace", "gumbel_r", "rayleigh", "halfnorm", "cauchy"])
+    asked = []
+    whole = FitResults.materialize
+
+    def spy(self):
+        asked.append({r.column_name: r["count"] for r in self._df.groupBy("column_name").count().collect()})
+        return whole(self)
+
+    FitResults.materialize = spy
+    try:
+        top = found.shortlist(1)
+    finally:
+        FitResults.materialize = whole
+    assert asked and set(asked[0]) == {"value", "wait"} and set(asked[0].values()) == {8}
+    assert top[0].ks_statistic == pytest.approx(min(r.ks_statistic for r in found.best_per_column(10)["value"] + found.best_per_column(10)["wait"]))
+
+
+def test_far_values_and_many_edges(spark):
+    rows = spark.createDataFrame([(1,), (1,), (3,), (10**12,), (-4,)], "k long")
+    got = {r.value: (r.empirical, r.theoretical) for r in diagnostics.discrete_data(rows, "k", FitResult("poisson", [2.0])).collect()}
+    assert sorted(got) == [-4, 0, 1, 2, 3, 4, 5, *range(10**12 - 2, 10**12 + 3)]
+    assert got[1][0] == 0.4 and got[2] == (0.0, pytest.approx(2 * math.exp(-2))) and got[-4] == (0.2, 0.0)
+    values = spark.range(5000).select((F.col("id") / 7).alias("value"))
+    edges = [i / 5 for i in range(3001)]
+    h = {r.bin_id: r.n for r in stats.histogram(stats.long_frame(values, ["value"]), edges=edges).collect()}
+    want = np.histogram([i / 7 for i in range(5000)], edges)[0]
+    assert h == {i: int(n) for i, n in enumerate(want) if n}
+
+
+def test_running_counts_of_two_far_modes(spark):
+    x = np.concatenate([np.random.default_rng(1).normal(0, 1e-6, 3000), np.random.default_rng(2).normal(1e9, 1e-3, 3000), [5.0] * 4000])
+    rows = stats.long_frame(spark.createDataFrame([(float(v),) for v in x], "v double"), ["v"])
+    got = {r.value: (r.before, r.upto) for r in stats.ecdf(rows).collect()}
+    ordered = np.sort(x)
+    assert got == {v: (np.searchsorted(ordered, v), np.searchsorted(ordered, v, "right")) for v in set(x.tolist())}
+
+
 def test_discrete(spark, data):
     r = DiscreteDistributionFitter(spark).fit(data, columns=["counts", "hits"])
     aic = {(x.column_name, x.distribution): x.aic for x in r.df.collect()}

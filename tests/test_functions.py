@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lawfinder.functions import fast_ppf, kernel, registry
+from pyspark.sql import functions as F
+
+from lawfinder.functions import columns, fast_ppf, kernel, registry
 from lawfinder.functions import special as sp
 from lawfinder.functions.discrete import DISCRETE
 from lawfinder.functions.laws import DEFAULT_EXCLUDED, LAWS, Law
@@ -198,3 +200,21 @@ def test_fast_quantiles():
     assert fast_ppf.fast_ppf_batch([("norm", (0, 1)), ("expon", (0, 2))], np.column_stack([q, q])).shape == (50, 2)
     fast_ppf.clear_ppf_cache()
     assert not fast_ppf.has_fast_ppf("gamma")
+
+
+def test_exact_kolmogorov():
+    """The published example, all small n by simulation-free identities, and the limit law from 140 values on."""
+    assert 1 - sp.kolmogorov_exact(10, 0.274) == pytest.approx(0.6284796154565, abs=1e-12)
+    for d in (0.5, 0.6, 0.9):
+        assert sp.kolmogorov_exact(1, d) == pytest.approx(2 * (1 - d))
+    assert sp.kolmogorov_exact(3, 1.0) == 0.0 and sp.kolmogorov_exact(140, 0.01) == pytest.approx(1)
+    n = 140
+    for d in (0.05, 0.08, 0.12):
+        assert sp.kolmogorov_exact(n, d) == pytest.approx(sp.kolmogorov_sf(d * (n**0.5 + 0.12 + 0.11 / n**0.5)), abs=5e-3)
+
+
+def test_normal_columns(spark):
+    x = [i / 20 for i in range(-180, 181)]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", columns.phi(F.col("x")).alias("p"))
+    for r in df.collect():
+        assert r.p == pytest.approx(math.erfc(-r.x / math.sqrt(2)) / 2, rel=1e-9, abs=1e-15)
