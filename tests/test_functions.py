@@ -210,7 +210,7 @@ def test_exact_kolmogorov():
     assert sp.kolmogorov_exact(3, 1.0) == 0.0 and sp.kolmogorov_exact(140, 0.01) == pytest.approx(1)
     n = 140
     for d in (0.05, 0.08, 0.12):
-        assert sp.kolmogorov_exact(n, d) == pytest.approx(sp.kolmogorov_sf(d * (n**0.5 + 0.12 + 0.11 / n**0.5)), abs=5e-3)
+        assert sp.kolmogorov_exact(n, d) == pytest.approx(sp.kolmogorov_sf(kernel.corrected(n, d)), abs=2e-4)
 
 
 def test_normal_columns(spark):
