@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) is a temporary folder made.
+    Only where the session leaves it unset and runs on one machine is a temporary folder made.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lawfinder-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -72,6 +74,16 @@ def removed(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def leaving(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which still reads ``tables``; whoever stores its rows may then remove these by ``left_tables``."""
+    df._lf_tables = tables
+    return df
+
+
+def left_tables(df: DataFrame) -> tuple[DataFrame, ...]:
+    return getattr(df, "_lf_tables", ())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; Spark removes it when nobody refers to it."""
     shared_dir(df.sparkSession)

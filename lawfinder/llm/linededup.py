@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, table, utf8, without, written
+from lawfinder.llm.common import add_columns, leaving, table, utf8, without, written
 
 LINES = 3
 #: Bytes of the repeated windows of all documents that are broadcast to the texts; where there are more, texts and windows meet in a shuffle.
@@ -84,7 +84,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sma
         return make
 
     out = add_columns(base, [doc_id, text, "__lf_later"], added, fresh)
-    return out.select(*[F.col("__lf_text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    out = out.select(*[F.col("__lf_text").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    return leaving(out, later)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, checkpointed, parallelism, removed, table, utf8, written
+from lawfinder.llm.common import add_columns, checkpointed, leaving, parallelism, removed, table, utf8, written
 from lawfinder.llm.components import connected_components
 
 #: Differing bits that still link two fingerprints.
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     prints = written(fingerprinted(slim).select("doc_id", "fp"), "simhash")
     # read anew, the components do not tie the documents to their partitioning: a fingerprint of many copies can be split
     known = checkpointed(components(prints).drop("component"))
-    return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    return leaving(prints.join(known, "fp", "left").select("doc_id", "fp", "component_id"), prints)
 
 
 # ---- near copies by five-word similarity
@@ -354,7 +354,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     kept = base.join(stay, (F.col("__lf_key") == F.col("__lf_print")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__lf_id")))
     if stay.where("__lf_n > 1").limit(1).count():
         kept = kept.where("__lf_n = 1").unionByName(kept.where("__lf_n > 1").dropDuplicates(["__lf_print", "__lf_id"]))
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    return leaving(kept.select(*[F.col(f"`{c}`") for c in names]), base)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

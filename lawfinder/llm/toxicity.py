@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lawfinder.llm import logistic
-from lawfinder.llm.common import add_columns, table, utf8, written
+from lawfinder.llm.common import add_columns, removed, table, utf8, written
 from lawfinder.llm.decontamination import words
 from lawfinder.llm.quality import remainder
 
@@ -103,7 +103,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
 
 def sequence_evidence(sequences: DataFrame) -> DataFrame:
-    """(g, n, e): n, and the log of the toxic over the ordinary probability of each sequence's last byte.
+    """(g, n, e), a table: n, and the log of the toxic over the ordinary probability of each sequence's last byte.
 
     Every order is one table that holds the endings of all longer sequences. Sequences that were never counted
     may be among the rows with counts of 0: they get what the backoff gives them and add to no context. A context or an
@@ -133,7 +133,9 @@ def sequence_evidence(sequences: DataFrame) -> DataFrame:
         rows = rows.withColumn("p", F.expr("CASE WHEN n_2 > 0 THEN (n_0 + n_1 * below) / n_2 ELSE below END"))
         lower = rows.select("g", "p") if order < ORDER else rows
     e = F.expr("ln((n1_0 + n1_1 * p) / n1_2) - ln((n0_0 + n0_1 * p) / n0_2)")
-    return lower.select("g", "n", e.alias("e"))
+    out = written(lower.select("g", "n", e.alias("e")), "toxicity-evidence")
+    removed(*[levels[order] for order in range(3, ORDER)])
+    return out
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -192,7 +194,7 @@ class Evidence:
     """Evidence of sequences: that of the most frequent ones broadcast, the others, if any, in a table to be joined."""
 
     def __init__(self, sequences: DataFrame, most: int):
-        rows = written(sequence_evidence(sequences), "toxicity-evidence")
+        table_ = rows = sequence_evidence(sequences)
         # classes of frequency, eight for each doubling
         rows = rows.withColumn("often", F.floor(F.log2(F.greatest("n", F.lit(1))) * 8).cast("int"))
         sizes = sorted(((r["often"], r["count"]) for r in rows.groupBy("often").count().collect()), reverse=True)
@@ -206,6 +208,8 @@ class Evidence:
         self.sent = sequences.sparkSession.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("g", "e")))
         self.name = uuid.uuid4().hex
         self.rare = rows.where(F.col("often") < least).select("g", "e") if size > most else None
+        if self.rare is None:
+            removed(table_)
 
 
 @dataclass

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lawfinder.llm.common import filesystem, parallelism, removed, shared_dir, table, written
+from lawfinder.llm.common import filesystem, leaving, parallelism, removed, shared_dir, table, written
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_BYTES = 0
@@ -291,7 +291,7 @@ def merged_index(captures: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     merged = written(ranged.mapInArrow(_merge, schema).withColumn("part", F.spark_partition_id()), "warc-index")
     sizes = merged.groupBy("part").agg(F.count("*").alias("n"))  # one row for each range
     ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    return merged.join(F.broadcast(ahead), "part").select(*_CAPTURE.names[:-1], (F.col("ahead") + F.col("place")).alias("capture_seq"))
+    return leaving(merged.join(F.broadcast(ahead), "part").select(*_CAPTURE.names[:-1], (F.col("ahead") + F.col("place")).alias("capture_seq")), merged)
 
 
 def archived(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_BYTES, when: Column | None = None) -> DataFrame:
