@@ -37,8 +37,8 @@ MOST_LEVELS = 16
 #: Near copies in a corpus: words of a shingle and least Jaccard similarity.
 WIDTH, SIMILARITY = 5, 0.8
 #: Samples of a text's shingles that are fingerprinted and shingles in each; single shingles of texts that have SHORT at most. Two texts of
-#: similarity s share a given sample with a chance of about s ** SAMPLE: of those with 0.8, one in 40 shares none of the twelve.
-SAMPLES, SAMPLE, SINGLES, SHORT = 12, 6, 3, 40
+#: similarity s share a given sample with a chance of about s ** SAMPLE: of those with 0.8, one in 130 shares none of the sixteen.
+SAMPLES, SAMPLE, SINGLES, SHORT = 16, 6, 3, 40
 #: Differing bits that still link the fingerprints of two samples, and the rotations for them.
 SAMPLE_BUDGET, SAMPLE_ROTATIONS = 1, ((0, 32), (32, 32))
 #: Trie-node pairs walked at once; more of them wait on a stack.
