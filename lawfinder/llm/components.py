@@ -23,9 +23,10 @@ def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
         if not was[0]:
             break
         both = step.unionByName(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that the joins read plain shuffles, of which adaptive execution can split a node with most of the edges
+        lows = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        lows = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         kept = large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = checkpointed(kept.unionByName(lows.select("u", F.col("m").alias("v"))).distinct())
         now = signature(step)

@@ -212,6 +212,7 @@ def components(prints: DataFrame, doc_id: str = "doc_id", limit: int = NODE_LIMI
     """
     # by parts of the ids first, so that what many tasks have of one crowded fingerprint does not meet at once
     each = prints.groupBy("fp", F.pmod(F.xxhash64(doc_id), F.lit(16))).agg(F.min(doc_id).alias("own")).groupBy("fp").agg(F.min("own").alias("own"))
+    each = checkpointed(each)
     joined = checkpointed(connected_components(links(each.select("fp"), limit)).withColumnsRenamed({"node": "fp"}))
     linked = each.join(joined, "fp")
     least = linked.groupBy("component").agg(F.min("own").alias("component_id"))
