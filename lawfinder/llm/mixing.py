@@ -8,6 +8,8 @@ their parent. Each leaf then takes whole seeded epochs of its documents and the
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,18 +60,20 @@ def divide(nodes: DataFrame, parent: Sequence[str], names: Sequence[str]) -> Dat
     return nodes.withColumn("given", F.when(F.col("__lf_full"), F.col("cap")).otherwise(F.least("cap", share)))
 
 
-def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]] | None = None, epochs: int = 1) -> DataFrame:
+def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str | tuple[str, ...], int]] | None = None, epochs: int = 1) -> DataFrame:
     """``leaves`` (LEVELS, total: tokens) with ``given``, the tokens that each leaf is to deliver.
 
-    weights: by level, of a node's value (others weigh 1), in whole numbers; a node of weight 0 takes nothing.
+    weights: by level, in whole numbers, of a node's value wherever it stands, or of one branch, as the tuple of values from the
+    domain down, which goes before the value's own weight (others weigh 1); a node of weight 0 takes nothing.
     budget: the tokens to divide, an expression over ``total``, the tokens of all leaves; what exceeds all
     that the leaves have in ``epochs`` is not given.
     """
     used = F.lit(1).cast("long")
     for i, level in enumerate(LEVELS):
         at = F.lit(1).cast("long")
-        for value, w in (weights or {}).get(level, {}).items():
-            at = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(at)
+        for value, w in sorted((weights or {}).get(level, {}).items(), key=lambda x: isinstance(x[0], tuple)):
+            path = zip(LEVELS, value, strict=False) if isinstance(value, tuple) else [(level, value)]
+            at = F.when(functools.reduce(operator.and_, [F.col(k) == v for k, v in path]), F.lit(w).cast("long")).otherwise(at)
         leaves = leaves.withColumn(f"__lf_w{i}", at)
         used = F.least(used, F.col(f"__lf_w{i}"))
     leaves = leaves.withColumn("cap", F.when(used > 0, F.col("total") * epochs).otherwise(0))
@@ -84,7 +88,7 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
 
 
 def mix(
-    docs: DataFrame, budget: Column, weights: dict[str, dict[str, int]] | None = None, epochs: int = 1, domain: Column | None = None,
+    docs: DataFrame, budget: Column, weights: dict[str, dict[str | tuple[str, ...], int]] | None = None, epochs: int = 1, domain: Column | None = None,
     n_tokens: Column | None = None, doc_id: str = "doc_id", seed: int = SEED, edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
     """The chosen rows of ``docs`` with domain, epoch, n_tokens and leaf_budget added (columns so named are replaced).

@@ -258,6 +258,12 @@ def brute_divide(budget, children):
     return given
 
 
+def test_weight_of_a_branch(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 1000), ("a", "fr", "x", 1000), ("b", "en", "x", 1000), ("b", "fr", "x", 1000)], "domain string, lang string, source string, total long")
+    got = {(r.domain, r.lang): r.given for r in mixing.budgets(leaves, F.lit(1200), {"lang": {"en": 2, ("b", "en"): 5}}).collect()}
+    assert got == {("a", "en"): 400, ("a", "fr"): 200, ("b", "en"): 500, ("b", "fr"): 100}
+
+
 def test_mix(spark, odd):
     df, rows = odd
     weights = {"lang": {"en": 3}, "source": {"s0": 2, "s9": 0}}
