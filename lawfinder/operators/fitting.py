@@ -1,6 +1,6 @@
 """Fitting many families to many columns: one grid of (column, family) tasks over a bounded sample.
 
-Counts, moments, extremes, the 99th percentile and histograms are taken over all rows, in two aggregates for all columns
+Counts, moments, extremes and histograms are taken over all rows, in two aggregates for all columns
 together; the result's data_* columns, the prefilter, the heavy-tail rule and SSE are about these, whatever is sampled. The iterative
 estimates and the other scores of continuous families read a sample of ``fitting_sample_size`` rows: those with the smallest hashes of the row's
 values and of its place in the input's files (so that equal values do not share a fate); columns of a row stay together.
@@ -162,11 +162,15 @@ def _described(stats: dict) -> dict:
     return {"data_count": stats["n"]} | {f"data_{k}": real(stats[f"data_{k}"]) for k in ("min", "max", "mean", "stddev", "kurtosis", "skewness")}
 
 
-def heavy_tailed(stats: dict) -> bool:
-    """By all rows: excess kurtosis above 6, or the largest value above 3 times a positive 99th percentile; under 10 values never."""
-    if stats["n"] < 10 or not stats["data_stddev"]:
+def heavy_tailed(stats: dict, edges: np.ndarray, density: np.ndarray) -> bool:
+    """By all rows: excess kurtosis above 6, or the largest value above 3 times a positive 99th percentile; under 10 values never.
+
+    The percentile is read off the histogram, which lays a bin's values out evenly.
+    """
+    if stats["n"] < 10 or not stats["data_stddev"] or len(edges) < 2:
         return False
-    return (stats["data_kurtosis"] or 0.0) > 6 or (stats["p99"] > 0 and stats["data_max"] / stats["p99"] > 3)
+    p99 = float(np.interp(0.99, np.concatenate([[0.0], np.cumsum(density * np.diff(edges))]), edges))
+    return (stats["data_kurtosis"] or 0.0) > 6 or (p99 > 0 and stats["data_max"] / p99 > 3)
 
 
 def failed(column: str, name: str, base: dict) -> dict:
@@ -236,7 +240,7 @@ class _Fitter:
         rows = long_frame(df, names, discrete=self.discrete)
         v = F.col("value")
         moments = [f(v).alias(f"data_{n}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("stddev", F.stddev_pop), ("kurtosis", F.kurtosis), ("skewness", F.skewness))]
-        stats = {r.column_name: r.asDict() for r in rows.groupBy("column_name").agg(F.count("*").alias("n"), *moments, F.percentile_approx(v, F.lit(0.99), 10_000).alias("p99")).collect()}
+        stats = {r.column_name: r.asDict() for r in rows.groupBy("column_name").agg(F.count("*").alias("n"), *moments).collect()}
         if not stats:
             if df.limit(1).count() == 0:
                 raise ValueError("the table is empty")
@@ -294,7 +298,7 @@ class _Fitter:
         if stats["data_min"] == stats["data_max"]:
             edges, density = np.array([stats["data_min"]]), np.array([1.0])
         p |= {"density": density, "edges": edges}
-        if heavy_tailed(stats):
+        if heavy_tailed(stats, edges, density):
             if config.estimation_method == "auto":
                 p["method"] = "mse"
             elif config.estimation_method == "mle":

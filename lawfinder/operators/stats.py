@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Buckets in which running counts of a column's values are taken: between this many quantiles.
-CUTS = 1024
+CUTS = 512
 #: Distinct values of a column whose ranks (16 bytes each) are broadcast.
 FEW_VALUES = 100_000
 
@@ -128,8 +128,11 @@ def histogram(rows: DataFrame, bins: int | None = None, edges: Sequence[float] |
 
 def binned(rows: DataFrame, ranges: dict[str, tuple[float, float, int]]) -> DataFrame:
     """(column_name, bin_id, n) of equal bins between each column's known extremes: one aggregate, no pass for the extremes."""
-    low, width, bins = (F.create_map(*[F.lit(x) for c, (a, b, k) in ranges.items() for x in (c, (a, (b - a) / k, k)[i])]) for i in range(3))
-    rows = rows.where(F.col("column_name").isin(*ranges)).select("column_name", "value", low[F.col("column_name")].alias("_low"), width[F.col("column_name")].alias("_width"), bins[F.col("column_name")].alias("_bins"))
+    low, width, bins = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("int")
+    for c, (a, b, k) in ranges.items():
+        mine = F.col("column_name") == c
+        low, width, bins = F.when(mine, F.lit(float(a))).otherwise(low), F.when(mine, F.lit(float((b - a) / k))).otherwise(width), F.when(mine, F.lit(int(k))).otherwise(bins)
+    rows = rows.where(F.col("column_name").isin(*ranges)).select("column_name", "value", low.alias("_low"), width.alias("_width"), bins.alias("_bins"))
     at = F.when(F.col("_width") == 0, 0).otherwise(F.least(F.floor((F.col("value") - F.col("_low")) / F.col("_width")).cast("int"), F.col("_bins") - 1))
     return rows.groupBy("column_name", at.alias("bin_id")).agg(F.count("*").alias("n"))
 
@@ -142,16 +145,19 @@ def pmf(rows: DataFrame) -> DataFrame:
 
 
 def _cuts(n: int = CUTS) -> Column:
-    """The column's quantiles, in an array: the bounds of the buckets in which its values are put in order."""
-    return F.percentile_approx("value", F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n)
+    """The column's quantiles, in an array of ``n`` less one: the bounds of the buckets in which its values are put in order."""
+    return F.percentile_approx("value", F.array(*[F.lit(i / n) for i in range(1, n)]), 2 * n)
 
 
-def _bucket(value: Column, cuts: Column, n: int = CUTS) -> Column:
-    """How many of the cuts lie below the value: two short searches, over every ``step``-th cut and over the next ``step``."""
-    step = math.isqrt(n)
-    below = lambda some: F.size(F.filter(some, lambda c: c < value))
-    first = below(F.array(*[F.get(cuts, F.lit(i - 1)) for i in range(step, n, step)])) * step
-    return (first + below(F.slice(cuts, first + 1, F.lit(step)))).cast("int")
+def _in_buckets(rows: DataFrame, quantiles: DataFrame, by: Sequence[str], n: int = CUTS) -> DataFrame:
+    """Add _b: how many of the cuts (column _q of ``quantiles``) lie below the value, by halving, a projection for each step; ``n`` is a power of two."""
+    small = F.broadcast(quantiles)  # one row for each column
+    rows = (rows.join(small, list(by)) if by else rows.crossJoin(small)).withColumn("_b", F.lit(0))
+    step = n // 2
+    while step:
+        rows = rows.withColumn("_b", F.col("_b") + F.when(F.get("_q", F.col("_b") + (step - 1)) < F.col("value"), step).otherwise(0))
+        step //= 2
+    return rows.drop("_q")
 
 
 def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), cuts: int = CUTS) -> DataFrame:
@@ -163,7 +169,7 @@ def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), cuts: int = CUTS
     by = list(by)
     quantile = rows.groupBy(*by).agg(_cuts(cuts).alias("_q"), F.count("*").alias("total"))
     count = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    count = count.join(F.broadcast(quantile), by).withColumn("_b", _bucket(F.col("value"), F.col("_q"), cuts)).drop("_q")
+    count = _in_buckets(count, quantile, by, cuts)
     sums = count.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
     ahead = sums.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_ahead"))
     upto = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value")) + F.col("_ahead")
@@ -178,7 +184,7 @@ def with_previous(rows: DataFrame, name: str = "previous", cuts: int = CUTS) ->
     value takes the largest one of the buckets before, from a table of one row for each bucket.
     """
     quantile = rows.groupBy("column_name").agg(_cuts(cuts).alias("_q"))
-    rows = rows.join(F.broadcast(quantile), "column_name").withColumn("_b", _bucket(F.col("value"), F.col("_q"), cuts)).drop("_q")
+    rows = _in_buckets(rows, quantile, ["column_name"], cuts)
     tops = rows.groupBy("column_name", "_b").agg(F.max("value").alias("_top"))
     tops = tops.select("column_name", "_b", F.lag("_top").over(Window.partitionBy("column_name").orderBy("_b")).alias("_before"))
     inside = F.lag("value").over(Window.partitionBy("column_name", "_b").orderBy("value"))
@@ -232,7 +238,7 @@ def two_sample_ks(rows: DataFrame, group: str, first, second) -> DataFrame:
 
 def ecdf_counts(count: DataFrame, n: str) -> DataFrame:
     """Running totals of ``n`` over ``value``, in buckets."""
-    rows = count.crossJoin(F.broadcast(count.agg(_cuts().alias("_q")))).withColumn("_b", _bucket(F.col("value"), F.col("_q"))).select("value", n, "_b")  # one row of quantiles
+    rows = _in_buckets(count, count.agg(_cuts().alias("_q")), []).select("value", n, "_b")
     sums = rows.groupBy("_b").agg(F.sum(n).alias("_s"))
     ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_ahead"))  # CUTS rows at most
     return rows.join(ahead, "_b").select("value", (F.sum(n).over(Window.partitionBy("_b").orderBy("value")) + F.col("_ahead")).alias("_upto"))

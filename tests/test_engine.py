@@ -148,6 +148,15 @@ def test_samples_of_any_table():
     assert fitting.stratum_shares({0: 1000, 1: 10**9, 2: 600}, 1e-6, 500) == {0: 0.5, 1: 1e-6, 2: 500 / 600}
 
 
+def test_heavy_tails_by_the_histogram():
+    r = np.random.default_rng(3)
+    for x, want in ((r.normal(50, 10, 5000), False), (r.exponential(5, 5000), False), (r.pareto(1.2, 5000), True), (np.append(r.uniform(0, 1, 5000), 4.0), True), (np.append(r.uniform(0, 1, 5000), 2.5), False)):
+        density, edges = np.histogram(x, 60, density=True)
+        z = (x - x.mean()) / x.std()
+        stats_ = {"n": len(x), "data_stddev": x.std(), "data_kurtosis": 0.0 if len(x) % 2 else (z**4).mean() - 3, "data_max": x.max()}
+        assert fitting.heavy_tailed(stats_, edges, density) == want
+
+
 def test_sampled_sizes(spark):
     rows = spark.range(200_000).select((F.col("id") % 3).cast("double").alias("x"), "id")
     got = fitting.sampled(rows, ["x"], 200_000, 3000, 5, ["id"])
