@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -539,6 +540,93 @@ def approximate_quantiles(spark, d):
     return rows.join(F.broadcast(known), "event_type").groupBy("event_type").agg((near[0] & near[1] & near[2]).alias("near"))
 
 
+# ---- laws on a grid: what the fitting tasks evaluate
+
+
+#: Family, shapes, density and (where it is elementary) distribution function in SQL, of z = x / 2.
+_LAWS = [
+    ("expon", (), "exp(-z)", "1 - exp(-z)"),
+    ("weibull_min", (1.5,), "1.5 * sqrt(z) * exp(-pow(z, 1.5))", "1 - exp(-pow(z, 1.5))"),
+    ("logistic", (), "exp(-z) / pow(1 + exp(-z), 2)", "1 / (1 + exp(-z))"),
+    ("gumbel_r", (), "exp(-z - exp(-z))", "exp(-exp(-z))"),
+    ("gumbel_l", (), "exp(z - exp(z))", "1 - exp(-exp(z))"),
+    ("laplace", (), "exp(-z) / 2", "1 - exp(-z) / 2"),
+    ("cauchy", (), "1 / (pi() * (1 + z * z))", "0.5 + atan(z) / pi()"),
+    ("halfcauchy", (), "2 / (pi() * (1 + z * z))", "2 * atan(z) / pi()"),
+    ("rayleigh", (), "z * exp(-z * z / 2)", "1 - exp(-z * z / 2)"),
+    ("pareto", (2.5,), "CASE WHEN z < 1 THEN 0 ELSE 2.5 * pow(z, -3.5) END", "CASE WHEN z < 1 THEN 0 ELSE 1 - pow(z, -2.5) END"),
+    ("lomax", (2.5,), "2.5 * pow(1 + z, -3.5)", "1 - pow(1 + z, -2.5)"),
+    ("fisk", (2.0,), "2 * z / pow(1 + z * z, 2)", "1 / (1 + pow(z, -2))"),
+    ("genpareto", (0.2,), "pow(1 + 0.2 * z, -6)", "1 - pow(1 + 0.2 * z, -5)"),
+    ("maxwell", (), "sqrt(2 / pi()) * z * z * exp(-z * z / 2)", None),
+    ("halfnorm", (), "sqrt(2 / pi()) * exp(-z * z / 2)", f"2 * {phi_sql('z')} - 1"),
+    ("lognorm", (0.7,), "exp(-pow(ln(z) / 0.7, 2) / 2) / (0.7 * z * sqrt(2 * pi()))", phi_sql("(ln(z) / 0.7)")),
+    ("gamma", (2.5,), "pow(z, 1.5) * exp(-z - lgamma(2.5))", None),
+    ("chi2", (3.0,), "sqrt(z) * exp(-z / 2 - 1.5 * ln(2) - lgamma(1.5))", None),
+    ("invgamma", (2.5,), "pow(z, -3.5) * exp(-1 / z - lgamma(2.5))", None),
+    ("nakagami", (1.5,), "2 * pow(1.5, 1.5) * z * z * exp(-1.5 * z * z - lgamma(1.5))", None),
+    ("t", (4.0,), "exp(lgamma(2.5) - lgamma(2)) / sqrt(4 * pi()) * pow(1 + z * z / 4, -2.5)", None),
+    ("invgauss", (0.8,), "exp(-pow(z - 0.8, 2) / (2 * z * 0.64)) / sqrt(2 * pi() * pow(z, 3))", None),
+]
+
+
+def _law_sql(at: int, name: str) -> str:
+    each = " UNION ALL ".join(f"SELECT '{row[0]}' AS distribution, x, round({row[at]}{' / 2' if at == 2 else ''}, 7) AS {name} FROM g" for row in _LAWS if row[at])
+    return f"WITH g AS (SELECT i / 4.0 AS x, i / 8.0 AS z FROM range(1, 61) t(i)) {each}"
+
+
+def _on_grid(spark, at: int, name: str) -> DataFrame:
+    x = [i / 4 for i in range(1, 61)]
+    rows = []
+    for row in _LAWS:
+        if row[at]:
+            law = FitResult(row[0], [*row[1], 0.0, 2.0])
+            rows += [(row[0], u, float(v)) for u, v in zip(x, law.pdf(x) if at == 2 else law.cdf(x), strict=True)]
+    return rounded(spark.createDataFrame(rows, f"distribution string, x double, {name} double"), 7)
+
+
+@query("law_densities", _law_sql(2, "pdf"))
+def law_densities(spark, d):
+    return _on_grid(spark, 2, "pdf")
+
+
+@query("law_distribution_functions", _law_sql(3, "cdf"))
+def law_distribution_functions(spark, d):
+    return _on_grid(spark, 3, "cdf")
+
+
+@query(
+    "law_masses",
+    """WITH g AS (SELECT CAST(i AS BIGINT) AS k FROM range(0, 31) t(i))
+SELECT 'poisson' AS distribution, k, round(exp(k * ln(4.5) - 4.5 - lgamma(k + 1)), 9) AS pmf FROM g
+UNION ALL SELECT 'geom', k, round(CASE WHEN k < 1 THEN 0 ELSE 0.3 * pow(0.7, k - 1) END, 9) FROM g
+UNION ALL SELECT 'binom', k, round(CASE WHEN k > 20 THEN 0 ELSE exp(lgamma(21) - lgamma(k + 1) - lgamma(greatest(21 - k, 1)) + k * ln(0.3) + (20 - k) * ln(0.7)) END, 9) FROM g
+UNION ALL SELECT 'nbinom', k, round(exp(lgamma(k + 5) - lgamma(k + 1) - lgamma(5) + 5 * ln(0.4) + k * ln(0.6)), 9) FROM g
+UNION ALL SELECT 'planck', k, round((1 - exp(-0.5)) * exp(-0.5 * k), 9) FROM g""",
+)
+def law_masses(spark, d):
+    rows = []
+    for name, p in (("poisson", [4.5]), ("geom", [0.3]), ("binom", [20.0, 0.3]), ("nbinom", [5.0, 0.4]), ("planck", [0.5])):
+        rows += [(name, k, float(v)) for k, v in enumerate(FitResult(name, p).pmf(range(31)))]
+    return rounded(spark.createDataFrame(rows, "distribution string, k long, pmf double"), 9)
+
+
+@query(
+    "saved_and_loaded",
+    f"WITH {FITS} SELECT distribution, round(coalesce(s, -1), 6) AS shape, round(loc, 6) AS loc, round(scale, 6) AS scale, round(CASE WHEN {cdf_sql('60.0')} > {cdf_sql('20.0')} THEN ({cdf_sql('40.0')} - {cdf_sql('20.0')}) / ({cdf_sql('60.0')} - {cdf_sql('20.0')}) END, 6) AS cut_cdf FROM fits",
+)
+def saved_and_loaded(spark, d):
+    """Fits that went through model files, and the middle of each law when it is cut to 20 and 60."""
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:  # the driver's own model files
+        for i, r in enumerate(closed.closed_fits(events(spark, d), FAMILIES).collect()):
+            path = f"{folder}/{i}.json"
+            FitResult(r.distribution, list(r.parameters), "value", lower_bound=20.0, upper_bound=60.0).save(path)
+            m = FitResult.load(path)
+            rows.append((m.distribution, m.parameters[0] if len(m.parameters) == 3 else -1.0, m.parameters[-2], m.parameters[-1], float(m.cdf([40.0])[0])))
+    return rounded(spark.createDataFrame(rows, "distribution string, shape double, loc double, scale double, cut_cdf double"))
+
+
 # ---- samples, drift, time
 
 
