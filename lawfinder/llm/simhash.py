@@ -9,7 +9,9 @@ pairs of nodes whose prefixes are within the budget, one task group for each pai
 
 A few bits of one fingerprint of the whole text find slight edits only. To keep one of each group of near copies, the
 same join runs over the SimHashes of several small samples of a text's five-word shingles, which name the
-candidates, and each candidate pair is confirmed by its exact similarity.
+first candidates, and each candidate pair is confirmed by its exact similarity. That gathers most of each group. What it
+leaves apart is then joined exactly: similar texts share one at least of the shingles that come first in a common order
+(prefix filter), so all pairs of different groups that share one, and enough of them, are compared too.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Samples of a text's shingles that are fingerprinted and shingles in each; single shingles of texts that have SHORT at most. Two texts of
 #: similarity s share a given sample with a chance of about s ** SAMPLE: of those with 0.8, one in 130 shares none of the sixteen.
 SAMPLES, SAMPLE, SINGLES, SHORT = 16, 6, 3, 40
+#: Texts whose shingles are counted to put the frequent ones last in the order of the exact join (any order is exact; this one keeps its lists
+#: short), least count there, and most shingles that are listed.
+ORDER_TEXTS, ORDER_COUNT, ORDER_MOST = 10_000, 3, 100_000
+#: Leading shingles that are compared at once, and the bytes of a shingle's hash and of a text's key that are kept of each.
+LEADING_ROWS, HASH_BYTES, KEY_BYTES = 2_000_000, 5, 6
 #: Differing bits that still link the fingerprints of two samples, and the rotations for them.
 SAMPLE_BUDGET, SAMPLE_ROTATIONS = 1, ((0, 32), (32, 32))
 #: Trie-node pairs walked at once; more of them wait on a stack.
@@ -295,37 +302,156 @@ def _verified(batches, width: int, least: float):
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(2).take(pa.array(keep))], names=["a", "b"])
 
 
+def _confirmed(base: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of keys whose texts are similar enough."""
+    pairs = written(pairs, "simhash-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = written(base.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text", True).alias("text")), "simhash-texts")
+    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
+    found = checkpointed(both.select("a", "ta", "b", "tb").mapInArrow(lambda batches: _verified(batches, width, least), "a binary, b binary"))
+    removed(pairs, texts)
+    return found
+
+
+def frequent_shingles(base: DataFrame, width: int, texts: int) -> np.ndarray:
+    """Hashes of the shingles that several of some ORDER_TEXTS of the ``texts`` texts have, the most frequent ones last."""
+
+    def hashed(batches):
+        for b in batches:
+            found = [shingle_set(raw, width) for raw in utf8(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["h"])
+
+    share = min(1.0, ORDER_TEXTS / max(1, texts))
+    some = base.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    counts = some.mapInArrow(hashed, "h long").groupBy("h").count().where(F.col("count") >= ORDER_COUNT)
+    found = counts.orderBy(F.desc("count"), "h").limit(ORDER_MOST).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def leading(shingles: np.ndarray, least: float, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The shingles that come first in the common order, so many that two sets of similarity ``least`` share one at least.
+
+    The order is that of the hashes, after which the ``frequent`` shingles (sorted) come by their ``places``.
+    """
+    size = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        place = np.where(frequent[at] == shingles, places[at], -1)
+        if (place >= 0).any():
+            shingles = shingles[np.argsort(place, kind="stable")]
+    return shingles[:size]
+
+
+def _leading_rows(batches, width: int, least: float, frequent: np.ndarray, buckets: int):
+    """(key, text) to (bucket, rows), the leading shingles of many texts packed as bytes of hash and key."""
+    places = np.argsort(frequent)
+    frequent = frequent[places]
+    for b in batches:
+        found = [leading(shingle_set(raw, width), least, frequent, places) for raw in utf8(b.column(1))]
+        if not sum(map(len, found)):
+            continue
+        hashes = np.concatenate(found)
+        keys = np.frombuffer(b"".join(k[:KEY_BYTES].ljust(KEY_BYTES, b"\0") for k in b.column(0).to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+        bucket = ((hashes >> np.uint64(8 * HASH_BYTES)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = np.concatenate([hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES], np.repeat(keys, [len(f) for f in found], axis=0)], axis=1)[order]
+        there, starts = np.unique(bucket[order], return_index=True)
+        packed = [part.tobytes() for part in np.split(rows, starts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+
+def _shared(batches):
+    """(bucket, rows), sorted, to (h, short), the leading shingles that several texts have."""
+
+    def several(bucket, parts):
+        rows = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, HASH_BYTES + KEY_BYTES)
+        wide = np.zeros((2, len(rows), 8), np.uint8)
+        wide[0, :, :HASH_BYTES], wide[1, :, :KEY_BYTES] = rows[:, :HASH_BYTES], rows[:, HASH_BYTES:]
+        h, key = wide.view("<i8")[..., 0]
+        order = np.lexsort((key, h))
+        h, key = h[order], key[order]
+        # copies of a text that several tasks have read
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+        h, key = h[new], key[new]
+        like = h[1:] == h[:-1]
+        stay = np.concatenate([[False], like]) | np.concatenate([like, [False]])
+        h, key = h[stay] | (bucket << 8 * HASH_BYTES), key[stay]
+        for at in range(0, len(h), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 18)]), pa.array(key[at : at + (1 << 18)])], names=["h", "short"])
+
+    now, parts = None, []
+    for b in batches:
+        for bucket, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if bucket != now and parts:
+                yield from several(now, parts)
+                parts = []
+            now = bucket
+            parts.append(rows)
+    if parts:
+        yield from several(now, parts)
+
+
+def apart(base: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """All pairs (a, b) of keys of similar texts in ``base`` (key, text, size) that ``classes`` (node, component) leaves in two classes.
+
+    Two sets of n and m shingles with similarity s have s * max(n, m) in common at least, so one at least of the n - ceil(s * n) + 1 and
+    m - ceil(s * m) + 1 that come first in any order. If they have k of these in common, they have at most k + max(ceil(s * n), ceil(s * m)) - 1
+    in all, and need s / (1 + s) * (n + m). Pairs within these bounds are compared; there is no other limit.
+    """
+    spark = base.sparkSession
+    total = base.agg(F.count("*").alias("texts"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
+    frequent = frequent_shingles(base, width, total.texts)
+    parts = parallelism(spark)
+    buckets = min(1 << 22, max(4 * parts, int((total.shingles * (1 - least) + total.texts) / LEADING_ROWS)))
+    rows = base.select("key", "text").mapInArrow(lambda batches: _leading_rows(batches, width, least, frequent, buckets), "bucket long, rows binary")
+    rows = rows.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket")
+    shared = written(rows.mapInArrow(_shared, "h long, short long"), "simhash-shared")
+    # the first bytes of a key, as the packed rows have them; where two keys begin alike, both are meant
+    short = F.conv(F.concat(*[F.hex(F.substring("key", i, 1)) for i in range(KEY_BYTES, 0, -1)]), 16, 10).cast("long")
+    known = base.select("key", "size").distinct().join(classes.withColumnRenamed("node", "key"), "key", "left")
+    known = known.select(short.alias("short"), "key", "size", F.coalesce("component", "key").alias("component"))
+    named = written(shared.join(known, "short").select("h", "key", "size", "component"), "simhash-named")
+    mixed = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
+    rows = named.join(mixed, "h", "left_semi")
+    left, right = (rows.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "component")]) for s in "ab")
+    pairs = left.join(right, "h").where(f"component_a < component_b AND least(size_a, size_b) >= {least!r} * greatest(size_a, size_b) - 1e-6")
+    pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("k"), F.first("size_a").alias("n"), F.first("size_b").alias("m"))
+    pairs = pairs.where(f"k + ceil({least!r} * greatest(n, m) - 1e-9) - 1 >= {least / (1 + least)!r} * (n + m) - 1e-6")
+    found = _confirmed(base, pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), width, least)
+    removed(shared, named)
+    return found
+
+
 def similar_texts(base: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the different texts in ``base`` (key, text, samples; a table, in which copies may be left out) that are near copies of others.
+    """(node, component) of the different texts in ``base`` (key, text, samples, size; a table, in which copies may be left out) that are near copies of others.
 
-    Candidates are found by the trie join: texts that share the SimHash of a sample, up to SAMPLE_BUDGET bits, form a bucket, in which each is
-    a candidate with the bucket's least and largest key, so a bucket of n texts gives 2 n pairs at most. A pair is a link only if
-    the exact Jaccard similarity of its shingles is ``least`` or more. Buckets and links are tables; nothing reaches the driver.
+    Two texts are linked if the exact Jaccard similarity of their shingles is ``least`` or more; a class is what links connect. First
+    candidates are found by the trie join: texts that share the SimHash of a sample, up to SAMPLE_BUDGET bits, form a bucket, in which each
+    is compared with the bucket's least and largest key, so a bucket of n texts gives 2 n pairs at most. This joins most of what belongs
+    together, and all links between the classes that it leaves are then found by ``apart``, exactly. Buckets and links are tables; of the
+    rows nothing but the hashes of frequent shingles in a sample reaches the driver.
     """
     prints = written(base.select("key", F.explode("samples").alias("fp")).distinct(), "simhash-samples")
     near = checkpointed(connected_components(links(prints.select("fp").distinct(), NODE_LIMIT, SAMPLE_ROTATIONS, SAMPLE_BUDGET)).withColumnRenamed("node", "fp"))
     buckets = prints.join(near, "fp", "left").select("key", F.coalesce("component", "fp").alias("bucket"))
     ends = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     pairs = buckets.join(ends, "bucket").select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = written(base.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text", True).alias("text")), "simhash-texts")
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
-    found = both.select("a", "ta", "b", "tb").mapInArrow(lambda batches: _verified(batches, width, least), "a binary, b binary")
-    out = checkpointed(connected_components(found))
-    removed(prints, pairs, texts)
-    return out
+    found = _confirmed(base, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), width, least)
+    removed(prints)
+    classes = checkpointed(connected_components(found))
+    more = apart(base.select("key", "text", "size"), classes, width, least)
+    return checkpointed(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """The documents with one row of each group of near copies: that of the smallest doc_id.
 
-    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more (see similar_texts for how
-    such pairs are found); groups are what links connect. Texts without words, null ones included, are copies of each other.
+    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more (all such
+    pairs, see similar_texts); groups are what links connect. Texts without words, null ones included, are copies of each other.
     Rows that repeat a doc_id within a group count as one, and a group without any doc_id keeps one row too. Columns are those of ``docs``.
     """
     names = docs.columns
-    added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType()))])
+    added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType())), T.StructField("__lf_size", T.LongType())])
 
     def fresh():
         seen: set[bytes] = set()
@@ -334,18 +460,21 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
             # copies have one key, and so have all texts without words; a task samples the first of them only
             raws = utf8(column)
             keys = [xxhash.xxh3_128_digest(r) if r and not r.isspace() else b"" for r in raws]
-            samples = []
+            samples, sizes = [], []
             for raw, key in zip(raws, keys, strict=True):
-                samples.append(None if key in seen else sample_prints(shingle_set(raw, width)))
+                shingles = None if key in seen else shingle_set(raw, width)
+                samples.append(None if shingles is None else sample_prints(shingles))
+                sizes.append(None if shingles is None else len(shingles))
                 seen.add(key)
-            return [pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64()))]
+            return [pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
 
         return make
 
     base = written(add_columns(docs, [text], added, fresh), "simhash-docs")
     ids = base.select("__lf_key", F.col(doc_id).cast("long").alias("id"))
     once = base.where("__lf_samples IS NOT NULL")
-    classes = similar_texts(once.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples")), width, least)
+    once = once.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples"), F.col("__lf_size").alias("size"))
+    classes = similar_texts(once, width, least)
     # of each text the row with the smallest id, and how often that id repeats it
     rows = ids.groupBy("__lf_key", "id").agg(F.count("*").alias("n"))
     first = rows.groupBy("__lf_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("x"))

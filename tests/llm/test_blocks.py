@@ -166,6 +166,35 @@ def test_near_copies_recall(spark):
         assert i in kept and (like or i + 2 in kept) and (i in near or i + 1 in kept)
 
 
+def test_near_copies_within_a_bucket(spark):
+    """Pairs of similarity 0.8 that share most of it with all others: neither end of the buckets in which they meet is like them."""
+    r = random.Random(5)
+    word = lambda n: " ".join(f"w{r.getrandbits(48)}" for _ in range(n))
+    long, texts = word(160), []
+    for _ in range(40):
+        own = word(10)
+        texts += [f"{long} {own} {word(20)}" for _ in range(2)]
+    like = [(i, j) for i, j in itertools.combinations(range(80), 2) if jaccard(brute_shingles(texts[i]), brute_shingles(texts[j])) >= 0.8]
+    assert like == [(i, i + 1) for i in range(0, 80, 2)]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_leading_shingles_meet():
+    """In any order of frequent shingles, sets at the bound share a leading one, and more of them the more alike their sizes are."""
+    r = np.random.default_rng(4)
+    for size in [*range(1, 30), 200, 1001]:
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+            gone = r.integers(0, len(a) // 5 + 1)
+            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 1 << 63, r.integers(0, len(a) // 9 + 1), dtype=np.uint64)]))
+            frequent = np.sort(r.permutation(a)[: r.integers(0, len(a) + 1)])
+            places = r.permutation(len(frequent))
+            k = len(np.intersect1d(*[simhash.leading(x, 0.8, frequent, places) for x in (a, b)]))
+            if simhash.similarity(a, b) >= 0.8:
+                assert k >= 1 and k + np.ceil(0.8 * max(len(a), len(b)) - 1e-9) - 1 >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+
+
 def test_keep_one_of_no_ids(spark):
     rows = [(None, "a b c"), (None, "a b c"), (4, None), (5, ""), (6, " \n"), (7, "x y"), (7, "x y"), (7, "z")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
