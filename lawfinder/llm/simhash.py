@@ -11,7 +11,8 @@ A few bits of one fingerprint of the whole text find slight edits only. To keep
 same join runs over the SimHashes of several small samples of a text's five-word shingles, which name the
 first candidates, and each candidate pair is confirmed by its exact similarity. That gathers most of each group. What it
 leaves apart is then joined exactly: similar texts share one at least of the shingles that come first in a common order
-(prefix filter), so all pairs of different groups that share one, and enough of them, are compared too.
+(prefix filter), so all pairs of different groups that share one, and enough of them, are compared too. Shingles that the same
+texts share are joined once, and where many texts share one, marks of a few bytes tell which pairs cannot be similar.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lawfinder.llm.common import add_columns, checkpointed, leaving, parallelism, removed, table, utf8, written
+from lawfinder.llm.common import add_columns, checkpointed, leaving, left_tables, parallelism, removed, table, utf8, written
 from lawfinder.llm.components import connected_components
 
 #: Differing bits that still link two fingerprints.
@@ -46,6 +47,11 @@ SAMPLES, SAMPLE, SINGLES, SHORT = 16, 6, 3, 40
 ORDER_TEXTS, ORDER_COUNT, ORDER_MOST = 10_000, 3, 100_000
 #: Leading shingles that are compared at once, and the bytes of a shingle's hash and of a text's key that are kept of each.
 LEADING_ROWS, HASH_BYTES, KEY_BYTES = 2_000_000, 5, 6
+#: Most bits of a text's mark; texts that share a shingle beyond which marks are compared instead of joining them in SQL, how many of these meet
+#: in a task at once, and 64-bit words of marks that are compared at once.
+MARK_BITS, CROWD, CROWD_ROWS, MARK_WORDS = 4096, 16, 4096, 1 << 21
+#: Pairs up to which the keys of the texts that are compared are broadcast to find these; for more, all texts are shuffled by key.
+ASKED_PAIRS = 200_000
 #: Differing bits that still link the fingerprints of two samples, and the rotations for them.
 SAMPLE_BUDGET, SAMPLE_ROTATIONS = 1, ((0, 32), (32, 32))
 #: Trie-node pairs walked at once; more of them wait on a stack.
@@ -286,6 +292,76 @@ def sample_prints(shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.array(out, np.uint64)).view(np.int64)
 
 
+def mark(shingles: np.ndarray) -> bytes:
+    """For each remainder of the hashes whether an odd number of shingles has it, two bits and more for a shingle up to MARK_BITS.
+
+    A shingle that only one of two texts has changes one bit, so their marks differ in no more bits than there are such shingles. The
+    halves of a mark, one XOR the other, are the mark of half the bits.
+    """
+    bits = min(MARK_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _marks(raws, words: int) -> np.ndarray:
+    """Marks of one length as rows of ``words`` 64-bit words, which may be fewer than they have."""
+    out = np.frombuffer(b"".join(raws), "<u8").reshape(len(raws), -1)
+    while out.shape[1] > words:
+        out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+    return out
+
+
+def most_apart(both, least: float):
+    """Shingles that one of two texts with ``both`` shingles in sum may have alone, if their similarity is ``least`` or more."""
+    return (1 - least) / (1 + least) * both + 1e-6
+
+
+def _marked(batches, least: float):
+    """(a, b, marks of a and b, shingles of both) to those pairs (a, b) that their marks allow."""
+    for x in batches:
+        left, right = (np.array(x.column(k).to_pylist() + [None], object)[:-1] for k in (2, 3))
+        lengths = np.array([[len(m) for m in left], [len(m) for m in right]])
+        gap = np.zeros(len(left), np.int64)
+        for one, other in np.unique(lengths, axis=1).T:
+            at = np.flatnonzero((lengths[0] == one) & (lengths[1] == other))
+            gap[at] = np.bitwise_count(_marks(left[at], min(one, other) // 8) ^ _marks(right[at], min(one, other) // 8)).sum(axis=1)
+        stay = pa.array(np.flatnonzero(gap <= most_apart(np.asarray(x.column(4)), least)))
+        yield pa.RecordBatch.from_arrays([x.column(0).take(stay), x.column(1).take(stay)], names=["a", "b"])
+
+
+def _close(side, size, component, marks, halves: bool, least: float):
+    """Positions (i, j) of the rows of a group (``halves``: on different sides) that are of different classes and may be similar."""
+    component = np.unique(component, return_inverse=True)[1]
+    lengths = np.array([len(m) for m in marks])
+    at = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    for n, m in itertools.combinations_with_replacement(at, 2):
+        ours, theirs = _marks(marks[at[n]], n // 8), _marks(marks[at[m]], n // 8)
+        rows = max(1, MARK_WORDS // (len(at[m]) * (n // 8)))
+        for start in range(0, len(at[n]), rows):
+            i, j = at[n][start : start + rows, None], at[m][None, :]
+            ok = (component[i] != component[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
+            ok &= (i < j) if n == m else True
+            ok &= (side[i] != side[j]) if halves else True
+            i, j = np.nonzero(ok)
+            i += start
+            gap = np.bitwise_count(ours[i] ^ theirs[j]).sum(axis=1)
+            i, j = at[n][i], at[m][j]
+            near = gap <= most_apart(size[i] + size[j], least)
+            yield i[near], j[near]
+
+
+def _crowded(batches, least: float):
+    """Rows (h, low, high, w, side, key, size, component, mark), sorted, to the pairs (a, b, most, both, w) that may be similar."""
+    for h, low, high, w, side, key, size, component, marks in _groups(batches):
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        for a, b in zip(new, [*new[1:], len(h)], strict=True):
+            n = size[a:b]
+            for i, j in _close(side[a:b], n, component[a:b], marks[a:b], low[a] != high[a], least):
+                if len(i):
+                    columns = [key[a:b][i], key[a:b][j], np.maximum(n[i], n[j]), n[i] + n[j], np.full(len(i), w[a])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary()] * 2 + [pa.int64()] * 3, strict=True)], names=["a", "b", "most", "both", "w"])
+
+
 def _verified(batches, width: int, least: float):
     """(a, text of a, b, text of b) to the pairs (a, b) that are similar enough."""
     known: dict[bytes, np.ndarray] = {}
@@ -302,10 +378,14 @@ def _verified(batches, width: int, least: float):
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(2).take(pa.array(keep))], names=["a", "b"])
 
 
-def _confirmed(base: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) of keys whose texts are similar enough."""
-    pairs = written(pairs, "simhash-pairs")
+def _confirmed(base: DataFrame, marks: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of keys whose texts are similar enough; ``marks`` (key, size, mark) are asked first."""
+    one, other = (marks.select(F.col("key").alias(c), F.col("size").alias(f"size_{c}"), F.col("mark").alias(f"mark_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "mark_a", "mark_b", F.expr("size_a + size_b").alias("both"))
+    pairs = written(both.mapInArrow(lambda batches: _marked(batches, least), "a binary, b binary"), "simhash-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    if pairs.count() <= ASKED_PAIRS:
+        asked = F.broadcast(asked)
     texts = written(base.join(asked, "key", "left_semi").groupBy("key").agg(F.first("text", True).alias("text")), "simhash-texts")
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
     found = checkpointed(both.select("a", "ta", "b", "tb").mapInArrow(lambda batches: _verified(batches, width, least), "a binary, b binary"))
@@ -391,15 +471,39 @@ def _shared(batches):
         yield from several(now, parts)
 
 
-def apart(base: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
-    """All pairs (a, b) of keys of similar texts in ``base`` (key, text, size) that ``classes`` (node, component) leaves in two classes.
+def sharing(named: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, most, both, w) of the keys of different classes that share a shingle in ``named`` (h, key, size, component).
+
+    most and both are the greater and the sum of the two sizes, the sum of a pair's w is the number of shingles that it shares. Shingles
+    that the same texts share (long copies have thousands) are taken once, with their number as w. Up to CROWD texts are joined with each
+    other; of more, pairs that their marks tell apart are left out, and what is crowded beyond CROWD_ROWS is compared part by part.
+    """
+    spark = named.sparkSession
+    texts = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"s{i}") for i in range(2)]
+    sets = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), *texts).where("x < y")
+    sets = sets.groupBy("n", "s0", "s1").agg(F.min("h").alias("h"), F.count("*").alias("w")).select("h", "n", "w")
+    rows = written(named.join(sets, "h"), "simhash-sharing")
+    left, right = (rows.where(f"n <= {CROWD}").select("h", "w", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "component")]) for s in "ab")
+    few = left.join(right.drop("w"), "h").where(f"component_a < component_b AND least(size_a, size_b) >= {least!r} * greatest(size_a, size_b) - 1e-6")
+    few = few.selectExpr("least(key_a, key_b) AS a", "greatest(key_a, key_b) AS b", "greatest(size_a, size_b) AS most", "size_a + size_b AS both", "w")
+    many = rows.where(f"n > {CROWD}").withColumn("parts", F.expr(f"cast(ceil(n / {CROWD_ROWS}) AS long)")).withColumn("node", F.expr("pmod(xxhash64(key), parts)"))
+    many = many.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).join(marks.select("key", "mark"), "key")
+    many = many.selectExpr("h", "least(node, other) AS low", "greatest(node, other) AS high", "w", "cast(node > other AS int) AS side", "key", "size", "component", "mark")
+    many = many.repartition(parallelism(spark), "h", "low", "high").sortWithinPartitions("h", "low", "high")
+    many = many.mapInArrow(lambda batches: _crowded(batches, least), "a binary, b binary, most long, both long, w long")
+    return leaving(few.unionByName(many.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "most", "both", "w")), rows)
+
+
+def apart(base: DataFrame, marks: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """All pairs (a, b) of keys of similar texts in ``base`` (key, text) that ``classes`` (node, component) leaves in two classes.
 
     Two sets of n and m shingles with similarity s have s * max(n, m) in common at least, so one at least of the n - ceil(s * n) + 1 and
     m - ceil(s * m) + 1 that come first in any order. If they have k of these in common, they have at most k + max(ceil(s * n), ceil(s * m)) - 1
-    in all, and need s / (1 + s) * (n + m). Pairs within these bounds are compared; there is no other limit.
+    in all, and need s / (1 + s) * (n + m); in (1 - s) / (1 + s) * (n + m) they may differ, and ``marks`` (key, size, mark) differ in no more
+    bits. Pairs within these bounds are compared; there is no other limit.
     """
     spark = base.sparkSession
-    total = base.agg(F.count("*").alias("texts"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
+    total = marks.agg(F.count("*").alias("texts"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
     frequent = frequent_shingles(base, width, total.texts)
     parts = parallelism(spark)
     buckets = min(1 << 22, max(4 * parts, int((total.shingles * (1 - least) + total.texts) / LEADING_ROWS)))
@@ -408,22 +512,19 @@ def apart(base: DataFrame, classes: DataFrame, width: int, least: float) -> Data
     shared = written(rows.mapInArrow(_shared, "h long, short long"), "simhash-shared")
     # the first bytes of a key, as the packed rows have them; where two keys begin alike, both are meant
     short = F.conv(F.concat(*[F.hex(F.substring("key", i, 1)) for i in range(KEY_BYTES, 0, -1)]), 16, 10).cast("long")
-    known = base.select("key", "size").distinct().join(classes.withColumnRenamed("node", "key"), "key", "left")
+    known = marks.select("key", "size").join(classes.withColumnRenamed("node", "key"), "key", "left")
     known = known.select(short.alias("short"), "key", "size", F.coalesce("component", "key").alias("component"))
     named = written(shared.join(known, "short").select("h", "key", "size", "component"), "simhash-named")
-    mixed = named.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
-    rows = named.join(mixed, "h", "left_semi")
-    left, right = (rows.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "component")]) for s in "ab")
-    pairs = left.join(right, "h").where(f"component_a < component_b AND least(size_a, size_b) >= {least!r} * greatest(size_a, size_b) - 1e-6")
-    pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("k"), F.first("size_a").alias("n"), F.first("size_b").alias("m"))
-    pairs = pairs.where(f"k + ceil({least!r} * greatest(n, m) - 1e-9) - 1 >= {least / (1 + least)!r} * (n + m) - 1e-6")
-    found = _confirmed(base, pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), width, least)
-    removed(shared, named)
+    pairs = sharing(named, marks, least)
+    alike = pairs.groupBy("a", "b").agg(F.sum("w").alias("k"), F.first("most").alias("most"), F.first("both").alias("both"))
+    alike = alike.where(f"k + ceil({least!r} * most - 1e-9) - 1 >= {least / (1 + least)!r} * both - 1e-6")
+    found = _confirmed(base, marks, alike.select("a", "b"), width, least)
+    removed(shared, named, *left_tables(pairs))
     return found
 
 
 def similar_texts(base: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the different texts in ``base`` (key, text, samples, size; a table, in which copies may be left out) that are near copies of others.
+    """(node, component) of the different texts in ``base`` (key, text, samples, size, mark; a table, in which copies may be left out) that are near copies of others.
 
     Two texts are linked if the exact Jaccard similarity of their shingles is ``least`` or more; a class is what links connect. First
     candidates are found by the trie join: texts that share the SimHash of a sample, up to SAMPLE_BUDGET bits, form a bucket, in which each
@@ -431,15 +532,17 @@ def similar_texts(base: DataFrame, width: int = WIDTH, least: float = SIMILARITY
     together, and all links between the classes that it leaves are then found by ``apart``, exactly. Buckets and links are tables; of the
     rows nothing but the hashes of frequent shingles in a sample reaches the driver.
     """
+    marks = written(base.groupBy("key").agg(F.first("size").alias("size"), F.first("mark").alias("mark")), "simhash-marks")
     prints = written(base.select("key", F.explode("samples").alias("fp")).distinct(), "simhash-samples")
     near = checkpointed(connected_components(links(prints.select("fp").distinct(), NODE_LIMIT, SAMPLE_ROTATIONS, SAMPLE_BUDGET)).withColumnRenamed("node", "fp"))
     buckets = prints.join(near, "fp", "left").select("key", F.coalesce("component", "fp").alias("bucket"))
     ends = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     pairs = buckets.join(ends, "bucket").select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    found = _confirmed(base, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), width, least)
+    found = _confirmed(base, marks, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), width, least)
     removed(prints)
     classes = checkpointed(connected_components(found))
-    more = apart(base.select("key", "text", "size"), classes, width, least)
+    more = apart(base.select("key", "text"), marks, classes, width, least)
+    removed(marks)
     return checkpointed(connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
@@ -451,7 +554,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     Rows that repeat a doc_id within a group count as one, and a group without any doc_id keeps one row too. Columns are those of ``docs``.
     """
     names = docs.columns
-    added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType())), T.StructField("__lf_size", T.LongType())])
+    added = T.StructType([T.StructField("__lf_key", T.BinaryType()), T.StructField("__lf_samples", T.ArrayType(T.LongType())), T.StructField("__lf_size", T.LongType()), T.StructField("__lf_mark", T.BinaryType())])
 
     def fresh():
         seen: set[bytes] = set()
@@ -460,20 +563,21 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
             # copies have one key, and so have all texts without words; a task samples the first of them only
             raws = utf8(column)
             keys = [xxhash.xxh3_128_digest(r) if r and not r.isspace() else b"" for r in raws]
-            samples, sizes = [], []
+            samples, sizes, marks = [], [], []
             for raw, key in zip(raws, keys, strict=True):
                 shingles = None if key in seen else shingle_set(raw, width)
                 samples.append(None if shingles is None else sample_prints(shingles))
                 sizes.append(None if shingles is None else len(shingles))
+                marks.append(None if shingles is None else mark(shingles))
                 seen.add(key)
-            return [pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            return [pa.array(keys, pa.binary()), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())]
 
         return make
 
     base = written(add_columns(docs, [text], added, fresh), "simhash-docs")
     ids = base.select("__lf_key", F.col(doc_id).cast("long").alias("id"))
     once = base.where("__lf_samples IS NOT NULL")
-    once = once.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), F.col("__lf_samples").alias("samples"), F.col("__lf_size").alias("size"))
+    once = once.select(F.col("__lf_key").alias("key"), F.col(text).cast("string").alias("text"), *[F.col(f"__lf_{c}").alias(c) for c in ("samples", "size", "mark")])
     classes = similar_texts(once, width, least)
     # of each text the row with the smallest id, and how often that id repeats it
     rows = ids.groupBy("__lf_key", "id").agg(F.count("*").alias("n"))

@@ -195,6 +195,60 @@ def test_leading_shingles_meet():
                 assert k >= 1 and k + np.ceil(0.8 * max(len(a), len(b)) - 1e-9) - 1 >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
 
 
+def joined_rows(spark, since):
+    """Most rows that a join has made in the queries from number ``since`` on, and the number of the next one."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, last = 0, store.executionsCount()
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        if (at := runs.apply(i).executionId()) >= since:
+            values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+            for node in map(nodes.apply, range(nodes.size())):
+                for m in map(node.metrics().apply, range(node.metrics().size())) if "Join" in node.name() else ():
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+            last = max(last, at + 1)
+    return most, last
+
+
+def test_near_copies_in_a_crowd(spark, monkeypatch):
+    """Rewritings of one text, most of which are less similar than 0.8: what is joined does not grow with the square of their number."""
+    r = random.Random(8)
+    word = lambda: f"w{r.getrandbits(40)}"
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(200):
+        edited = list(base)
+        for at in r.sample(range(150), 5):
+            edited[at] = word()
+        texts.append(" ".join(edited))
+        if r.random() < 0.1:
+            texts.append(" ".join([*edited, word()]))
+    part = brute_classes(texts)
+    want = sorted({min(i for i, t in enumerate(texts) if part[t] == c) for c in set(part.values())})
+    assert 50 < len(want) < len(texts) - 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    since = joined_rows(spark, 1 << 60)[1]
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
+    assert joined_rows(spark, since)[0] < 40 * len(texts)
+    monkeypatch.setattr(simhash, "CROWD_ROWS", 30)  # crowds in parts
+    monkeypatch.setattr(simhash, "ASKED_PAIRS", 0)  # texts found by a shuffle
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == want
+
+
+def test_marks_never_part_similar_texts():
+    r = np.random.default_rng(9)
+    for size in [*range(1, 40), 63, 64, 65, 250, 260, 3000]:
+        for _ in range(10):
+            a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([r.permutation(a)[r.integers(0, len(a) // 5 + 1) :], r.integers(0, 1 << 63, r.integers(0, len(a) // 9 + 1), dtype=np.uint64)]))
+            x, y = simhash.mark(a), simhash.mark(b)
+            words = min(len(x), len(y)) // 8
+            gap = int(np.bitwise_count(simhash._marks([x], words) ^ simhash._marks([y], words)).sum())
+            assert gap <= len(np.setxor1d(a, b))
+            assert simhash.similarity(a, b) < 0.8 or gap <= simhash.most_apart(len(a) + len(b), 0.8)
+
+
 def test_keep_one_of_no_ids(spark):
     rows = [(None, "a b c"), (None, "a b c"), (4, None), (5, ""), (6, " \n"), (7, "x y"), (7, "x y"), (7, "z")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
