@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Buckets in which running counts of a column's values are taken: between this many quantiles.
+#: Buckets in which running counts of a column's values are taken, less one cut than this between them; a power of two.
 CUTS = 512
 #: Distinct values of a column whose ranks (16 bytes each) are broadcast.
 FEW_VALUES = 100_000
@@ -144,14 +144,20 @@ def pmf(rows: DataFrame) -> DataFrame:
     return count.join(F.broadcast(total), "column_name").select("column_name", "value", "n", (F.col("n") / F.col("_all")).alias("pmf"))
 
 
-def _cuts(n: int = CUTS) -> Column:
-    """The column's quantiles, in an array of ``n`` less one: the bounds of the buckets in which its values are put in order."""
-    return F.percentile_approx("value", F.array(*[F.lit(i / n) for i in range(1, n)]), 2 * n)
+def _cuts(values: DataFrame, by: Sequence[str], n: int = CUTS) -> DataFrame:
+    """(by..., _q): up to ``n`` less one of the column's distinct values, in order: the bounds of the buckets in which its values are put in order.
+
+    A plan may come to the cuts more than once and must find the same ones each time, in whatever order tasks end
+    (approximate quantiles depend on it). So they are the values of the least hash (a bijection) in each remainder of the hashes.
+    """
+    h = F.xxhash64("value")
+    some = values.groupBy(*by, F.pmod(h, F.lit(n - 1)).alias("_r")).agg(F.min_by("value", h).alias("_v"))
+    return some.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_q"))
 
 
-def _in_buckets(rows: DataFrame, quantiles: DataFrame, by: Sequence[str], n: int = CUTS) -> DataFrame:
-    """Add _b: how many of the cuts (column _q of ``quantiles``) lie below the value, by halving, a projection for each step; ``n`` is a power of two."""
-    small = F.broadcast(quantiles)  # one row for each column
+def _in_buckets(rows: DataFrame, cuts: DataFrame, by: Sequence[str], n: int = CUTS) -> DataFrame:
+    """Add _b: how many of the cuts (column _q of ``cuts``) lie below the value, by halving, a projection for each step; ``n`` is a power of two."""
+    small = F.broadcast(cuts)  # one row for each column
     rows = (rows.join(small, list(by)) if by else rows.crossJoin(small)).withColumn("_b", F.lit(0))
     step = n // 2
     while step:
@@ -163,15 +169,15 @@ def _in_buckets(rows: DataFrame, quantiles: DataFrame, by: Sequence[str], n: int
 def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), cuts: int = CUTS) -> DataFrame:
     """(by..., value, n, before, upto, total): distinct values with their counts and running counts.
 
-    Running counts are taken in buckets between quantiles of the column, so one column with most rows is many tasks'
+    Running counts are taken in buckets between some of the column's values, so one column with most rows is many tasks'
     work, however its values lie; what lies before each bucket comes from the buckets' counts.
     """
     by = list(by)
-    quantile = rows.groupBy(*by).agg(_cuts(cuts).alias("_q"), F.count("*").alias("total"))
     count = rows.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    count = _in_buckets(count, quantile, by, cuts)
+    count = _in_buckets(count, _cuts(count, by, cuts), by, cuts)
     sums = count.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
-    ahead = sums.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_ahead"))
+    all_ = Window.partitionBy(*by)
+    ahead = sums.select(*by, "_b", (F.sum("_n").over(all_.orderBy("_b")) - F.col("_n")).alias("_ahead"), F.sum("_n").over(all_).alias("total"))
     upto = F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value")) + F.col("_ahead")
     out = count.join(ahead, [*by, "_b"]).withColumn("upto", upto)
     return out.select(*by, "value", "n", (F.col("upto") - F.col("n")).alias("before"), "upto", "total")
@@ -180,11 +186,10 @@ def ecdf(rows: DataFrame, by: Sequence[str] = ("column_name",), cuts: int = CUTS
 def with_previous(rows: DataFrame, name: str = "previous", cuts: int = CUTS) -> DataFrame:
     """Add each distinct value's predecessor in its column (null for the first).
 
-    Values are dealt to buckets between quantiles; inside a bucket a window looks back, and a bucket's first
+    Values are dealt to buckets between some of them; inside a bucket a window looks back, and a bucket's first
     value takes the largest one of the buckets before, from a table of one row for each bucket.
     """
-    quantile = rows.groupBy("column_name").agg(_cuts(cuts).alias("_q"))
-    rows = _in_buckets(rows, quantile, ["column_name"], cuts)
+    rows = _in_buckets(rows, _cuts(rows, ["column_name"], cuts), ["column_name"], cuts)
     tops = rows.groupBy("column_name", "_b").agg(F.max("value").alias("_top"))
     tops = tops.select("column_name", "_b", F.lag("_top").over(Window.partitionBy("column_name").orderBy("_b")).alias("_before"))
     inside = F.lag("value").over(Window.partitionBy("column_name", "_b").orderBy("value"))
@@ -238,7 +243,7 @@ def two_sample_ks(rows: DataFrame, group: str, first, second) -> DataFrame:
 
 def ecdf_counts(count: DataFrame, n: str) -> DataFrame:
     """Running totals of ``n`` over ``value``, in buckets."""
-    rows = _in_buckets(count, count.agg(_cuts().alias("_q")), []).select("value", n, "_b")
+    rows = _in_buckets(count, _cuts(count, []), []).select("value", n, "_b")
     sums = rows.groupBy("_b").agg(F.sum(n).alias("_s"))
     ahead = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_ahead"))  # CUTS rows at most
     return rows.join(ahead, "_b").select("value", (F.sum(n).over(Window.partitionBy("_b").orderBy("value")) + F.col("_ahead")).alias("_upto"))

@@ -228,6 +228,15 @@ def test_running_counts_of_two_far_modes(spark):
     assert got == {v: (np.searchsorted(ordered, v), np.searchsorted(ordered, v, "right")) for v in set(x.tolist())}
 
 
+def test_running_counts_whatever_order_tasks_end_in(spark):
+    """The plan comes to the buckets twice, which must be the same ones."""
+    rows = spark.range(60_000).select(F.lit("v").alias("column_name"), F.rand(5).alias("value"))
+    plans = [stats.ecdf(rows), stats.with_previous(rows), stats.ecdf_counts(rows.select("value", F.lit(1).alias("n")), "n")]
+    assert not any("percentile_approx" in df._jdf.queryExecution().toString() for df in plans)
+    cuts = [stats._cuts(some, ["column_name"]).first()["_q"] for some in (rows.repartition(7, "value"), rows.orderBy(F.desc("value")), rows.coalesce(1))]
+    assert cuts[0] == cuts[1] == cuts[2] == sorted(cuts[0]) and len(cuts[0]) == stats.CUTS - 1
+
+
 def test_discrete(spark, data):
     r = DiscreteDistributionFitter(spark).fit(data, columns=["counts", "hits"])
     aic = {(x.column_name, x.distribution): x.aic for x in r.df.collect()}
