@@ -237,6 +237,13 @@ def test_running_counts_whatever_order_tasks_end_in(spark):
     assert cuts[0] == cuts[1] == cuts[2] == sorted(cuts[0]) and len(cuts[0]) == stats.CUTS - 1
 
 
+def test_qq_plan_has_one_set_of_buckets(spark, data):
+    df = diagnostics.qq_data(data, "wait", FitResult("expon", [0.0, 5.0]))
+    assert "percentile_approx" not in df._jdf.queryExecution().toString()
+    got = df.orderBy("sample").toPandas()
+    assert np.allclose(got.p, (got.n.cumsum() - (got.n - 1) / 2 - 0.375) / 3000.25)
+
+
 def test_discrete(spark, data):
     r = DiscreteDistributionFitter(spark).fit(data, columns=["counts", "hits"])
     aic = {(x.column_name, x.distribution): x.aic for x in r.df.collect()}
