@@ -244,6 +244,14 @@ def test_qq_plan_has_one_set_of_buckets(spark, data):
     assert np.allclose(got.p, (got.n.cumsum() - (got.n - 1) / 2 - 0.375) / 3000.25)
 
 
+def test_cdf_plan_has_one_set_of_buckets(spark, data):
+    df = diagnostics.cdf_data(data, "wait", FitResult("expon", [0.0, 5.0]))
+    assert "percentile_approx" not in df._jdf.queryExecution().toString()
+    x = np.sort([r.wait for r in data.select("wait").collect()])
+    got = df.orderBy("value").toPandas()
+    assert np.allclose(got.empirical, np.searchsorted(x, got.value, "right") / 3000)
+
+
 def test_discrete(spark, data):
     r = DiscreteDistributionFitter(spark).fit(data, columns=["counts", "hits"])
     aic = {(x.column_name, x.distribution): x.aic for x in r.df.collect()}
