@@ -14,7 +14,8 @@ from lawfinder.operators.stats import long_frame
 def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstrap: int = 200, max_samples: int | None = 10_000, seed: int | None = 42) -> dict[str, tuple[float, float]]:
     """Percentile intervals of each parameter, from resamples of ``max_samples`` values; None: of as many as there are.
 
-    All values are drawn as multinomial counts of the distinct ones, which are what is sent to the tasks.
+    All values are drawn as multinomial counts of the distinct ones, which are what is sent to the tasks; the refits
+    weigh the values by these counts, so that a resample is as large as the distinct values, not as the table.
 
     Refits that fail, and those outside three interquartile ranges in any parameter, are left out; fewer than
     ten left is an error.
@@ -36,20 +37,23 @@ def intervals(result, df: DataFrame, column: str, alpha: float = 0.05, n_bootstr
         (x, counts), law = sent.value, custom or registry.get_law(name)
 
         def drawn(r):
+            """Values, and how often each of them was drawn (None: once)."""
             if counts is None:
-                return r.choice(x, len(x))
-            return np.repeat(x, r.multinomial(counts.sum(), counts / counts.sum()))
+                return r.choice(x, len(x)), None
+            c = r.multinomial(counts.sum(), counts / counts.sum())
+            return x[c > 0], c[c > 0]
 
         for pdf in batches:
             out = []
             for b in pdf.id:
                 r = np.random.default_rng([base, int(b)])
                 try:
+                    v, c = drawn(r)
                     if discrete:
-                        v, c = np.unique(drawn(r), return_counts=True)
+                        v, c = (v, c) if c is not None else np.unique(v, return_counts=True)
                         p = kernel.fit_discrete(law, v, c.astype(float))
                     else:
-                        p = kernel.fit_mle(law, drawn(r))
+                        p = kernel.fit_mle(law, v, c)
                     out.append([float(v) for v in p])
                 except Exception:
                     out.append([float("nan")])

@@ -218,3 +218,14 @@ def test_normal_columns(spark):
     df = spark.createDataFrame([(v,) for v in x], "x double").select("x", columns.phi(F.col("x")).alias("p"))
     for r in df.collect():
         assert r.p == pytest.approx(math.erfc(-r.x / math.sqrt(2)) / 2, rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("name", ["norm", "expon", "uniform", "laplace", "halfnorm", "gamma", "weibull_min"])
+def test_fit_of_counted_values_is_that_of_repeated_ones(name):
+    x, counts = np.unique(np.random.default_rng(5).gamma(2.0, 3.0, 4000).round(1), return_counts=True)
+    want = kernel.fit_mle(LAWS[name], np.repeat(x, counts))
+    assert kernel.fit_mle(LAWS[name], x, counts) == pytest.approx(want, rel=1e-4, abs=1e-9)
+    # more rows than fit in memory
+    assert np.isfinite(kernel.fit_mle(LAWS[name], x, counts * 10**9)).all()
+    few, most = x[:40], np.minimum(counts[:40], 3)
+    assert kernel.fit_mle(LAWS[name], few, most) == pytest.approx(kernel.fit_mle(LAWS[name], np.repeat(few, most)), rel=1e-6, abs=1e-9)
