@@ -4,6 +4,8 @@ Counts, moments, extremes and histograms are taken over all rows, in two aggrega
 together; the result's data_* columns, the prefilter, the heavy-tail rule and SSE are about these, whatever is sampled. The iterative
 estimates and the other scores of continuous families read a sample of ``fitting_sample_size`` rows: those with the smallest hashes of the row's
 values and of its place in the input's files (so that equal values do not share a fate); columns of a row stay together.
+Where that size takes in all rows, nothing is thinned, and families with closed forms are fitted and scored in the plan, so
+that the driver holds none of the rows for them.
 Discrete families are fitted and scored on all rows, by the counts of their distinct values.
 """
 
@@ -22,13 +24,16 @@ from pyspark.sql import types as T
 from lawfinder.config import FitterConfig
 from lawfinder.functions import kernel, registry
 from lawfinder.functions.laws import HEAVY, POSITIVE_SKEW, SLOW
+from lawfinder.operators import closed
 from lawfinder.operators.results import FitResults
 from lawfinder.operators.stats import binned, check_columns, histogram, long_frame
 
 #: Distinct values of a discrete column whose counts, 16 bytes each, go to all tasks.
 MOST_VALUES = 1_000_000
-#: Values of a discrete column that a result carries as its sample.
+#: Values of a column that a result carries as its sample, where it is fitted by counts or in the plan.
 SHOWN = 10_000
+#: Families for which the tasks' estimates are those of the plan.
+IN_PLAN = ("norm", "expon", "uniform", "laplace", "halfnorm")
 
 _DOUBLES = "sse aic bic ks_statistic pvalue ad_statistic ad_pvalue data_min data_max data_mean data_stddev".split()
 RESULT_SCHEMA = T.StructType(
@@ -119,10 +124,10 @@ def prefiltered(names: Sequence[str], skewness: float, kurtosis: float, mode: bo
     return out or list(names)
 
 
-def _samples(df: DataFrame, columns: Sequence[str], config: FitterConfig, n_rows: int) -> dict[str, dict]:
+def _samples(df: DataFrame, columns: Sequence[str], config: FitterConfig, n_rows: int, size: int) -> dict[str, dict]:
     """Each column's sample."""
     keep = [config.censoring_column] if config.censoring_column else []
-    rows = sampled(df, columns, n_rows, config.fitting_sample_size, config.random_seed, keep).toPandas()
+    rows = sampled(df, columns, n_rows, size, config.random_seed, keep).toPandas()
     out = {}
     for c in columns:
         x = pd.to_numeric(rows[c], errors="coerce").to_numpy(float)
@@ -207,6 +212,28 @@ def fit_one(column: str, name: str, law, payload: dict, method: str, metrics: bo
         return failed(column, name, base)
 
 
+def fitted_in_plan(rows: DataFrame, tasks: Sequence[tuple[str, str]], payload: dict[str, dict]) -> list[dict]:
+    """The result's rows of families with closed forms, of all rows: parameters, likelihoods and distances from the plan."""
+    columns, families = sorted({c for c, _ in tasks}), tuple(n for n in IN_PLAN if any(n == t for _, t in tasks))
+    if not families:
+        return []
+    mine = rows.where(F.col("column_name").isin(columns))
+    fits = closed.closed_fits(mine, families)
+    fits = rows.sparkSession.createDataFrame(fits.collect(), fits.schema)  # columns times families, worked out once
+    keys = ["column_name", "distribution"]
+    scored = fits.join(closed.distances(mine, fits.select(*keys, "parameters"), families), keys)
+    asked, out = set(tasks), []
+    for r in scored.collect():
+        if (r.column_name, r.distribution) in asked:
+            p, law = payload[r.column_name], registry.get_law(r.distribution)
+            out.append(
+                {"column_name": r.column_name, "distribution": r.distribution, "parameters": list(r.parameters), "lower_bound": None, "upper_bound": None, "aic": r.aic, "bic": r.bic, "ks_statistic": r.ks_statistic, "ad_statistic": r.ad_statistic}
+                | {"sse": kernel.sse(lambda v: law.cdf(v, *r.parameters), p["density"], p["edges"]), "pvalue": kernel.ks_pvalue(r.n, r.ks_statistic), "ad_pvalue": kernel.ad_pvalue(r.distribution, r.ad_statistic, r.n)}  # noqa: B023
+                | p["moments"]
+            )
+    return sorted(out, key=lambda r: tasks.index((r["column_name"], r["distribution"])))
+
+
 class _Fitter:
     discrete = False
 
@@ -250,25 +277,37 @@ class _Fitter:
         if self.discrete:
             payload = _counted(rows, present, config, stats)
         else:
-            n_rows = max(s["n"] for s in stats.values())
-            some = df
-            if config.enable_sampling and n_rows > config.sample_threshold:
-                some, n_rows = self._down(df, present, stats, config, n_rows)
-            payload = _samples(some, present, config, n_rows)
+            payload = {c: {"cells": {}} for c in present}
             if isinstance(config.bins, int):
                 cells = binned(rows, {c: (s["data_min"], s["data_max"], self._bins(s, config)) for c, s in stats.items()})
             else:
                 cells = histogram(rows, edges=config.bins).select("column_name", "bin_id", "n")
-            for c in present:
-                payload[c]["cells"] = {}
             for r in cells.collect():
                 payload[r.column_name]["cells"][r.bin_id] = r.n
         for c, p in payload.items():
             self._complete(c, p, stats[c], bounds[c], config)
-        tasks = self._tasks(payload, config, distributions)
-        out = self._run(tasks, payload, not config.lazy_metrics, config, progress_callback)
+        tasks, planned = self._tasks(payload, config, distributions), []
+        if not self.discrete:
+            n_rows, size, some = max(s["n"] for s in stats.values()), config.fitting_sample_size, df
+            if n_rows <= size:
+                planned = self._planned(tasks, payload, stats, config, n_rows)
+                if len(planned) == len(tasks):
+                    size = SHOWN
+            elif config.enable_sampling and n_rows > config.sample_threshold:
+                some, n_rows = self._down(df, present, stats, config, n_rows)
+            for c, p in _samples(some, present, config, n_rows, size).items():
+                payload[c] |= p
+        tasks = [t for t in tasks if t not in set(planned) and len(payload[t[0]]["x"])]
+        out = self._run(tasks, payload, not config.lazy_metrics, config, progress_callback, rows, planned)
         return FitResults(out, {c: p["x"] for c, p in payload.items()}, self.discrete, payload if config.lazy_metrics else None)
 
+    @staticmethod
+    def _planned(tasks, payload, stats, config, n_rows):
+        """The tasks of closed forms, where all rows are asked for and these are more than a sample that is held anyway."""
+        if n_rows <= SHOWN or config.censoring_column or config.bounded or config.lazy_metrics:
+            return []
+        return [(c, n) for c, n in tasks if n in IN_PLAN and payload[c]["method"] == "mle" and stats[c]["data_stddev"] > 0]
+
     @staticmethod
     def _bins(stats: dict, config: FitterConfig) -> int:
         if stats["data_min"] == stats["data_max"]:
@@ -312,17 +351,24 @@ class _Fitter:
             registry.get_law(n)
         out = []
         for c, p in payload.items():
-            if not len(p["x"]):
-                continue
             m = p["moments"]
             mine = names if self.discrete else prefiltered(names, m["data_skewness"], m["data_kurtosis"], config.prefilter)
             out += [(c, n) for n in registry.interleaved(mine)]
         return out
 
-    def _run(self, tasks, payload, metrics, config, progress_callback):
+    def _run(self, tasks, payload, metrics, config, progress_callback, all_rows, planned):
+        from lawfinder.progress import tracked
+
+        spark = self.spark
+        with tracked(spark, len(tasks) + len(planned), progress_callback):
+            held = fitted_in_plan(all_rows, planned, payload) + (self._fitted(tasks, payload, metrics, config) if tasks else [])
+        rows = []
+        for r in held:
+            rows.append(tuple(list(r[k]) if k == "parameters" else None if k in ("ks_statistic", "pvalue", "ad_statistic", "ad_pvalue", "lower_bound", "upper_bound") and pd.isna(r[k]) else r[k] for k in RESULT_SCHEMA.names))
+        return spark.createDataFrame(rows, RESULT_SCHEMA)
+
+    def _fitted(self, tasks, payload, metrics, config):
         spark = self.spark
-        if not tasks:
-            return spark.createDataFrame([], RESULT_SCHEMA)
         custom = {n: x for n, x in registry.get_custom_distributions().items() if any(n == t for _, t in tasks)}
         sent = spark.sparkContext.broadcast(payload)
         cores = spark.sparkContext.defaultParallelism
@@ -336,13 +382,7 @@ class _Fitter:
                 rows = [fit_one(c, n, custom.get(n) or registry.get_law(n), data[c], data[c]["method"], metrics) for c, n in zip(pdf.column_name, pdf.distribution, strict=True)]
                 yield pd.DataFrame(rows, columns=RESULT_SCHEMA.names).astype({"data_count": "int64"})
 
-        from lawfinder.progress import tracked
-
-        out = grid.mapInPandas(run, RESULT_SCHEMA).where(F.col("sse") < float("inf"))
-        with tracked(spark, len(tasks), progress_callback):
-            held = out.toPandas()
-        rows = [tuple(list(v) if k == "parameters" else None if k in ("ks_statistic", "pvalue", "ad_statistic", "ad_pvalue", "lower_bound", "upper_bound") and pd.isna(v) else v for k, v in r.items()) for r in held.to_dict("records")]
-        return spark.createDataFrame(rows, RESULT_SCHEMA)
+        return grid.mapInPandas(run, RESULT_SCHEMA).where(F.col("sse") < float("inf")).toPandas().to_dict("records")
 
 
 class DistributionFitter(_Fitter):

@@ -499,7 +499,7 @@ _FOUR_LAWS = ("norm", "expon", "uniform", "laplace")
  n AS data_count, round(sd, 6) AS data_stddev FROM al JOIN (SELECT sd FROM st) ON true WHERE distribution IN {_FOUR_LAWS}""",
 )
 def fitter_closed_forms(spark, d):
-    """The fitter on a sample as large as the table."""
+    """The fitter on all rows, none of which come to the driver to be fitted."""
     out = fitting.DistributionFitter(spark).fit(table(spark, d, "events"), column="value", distributions=list(_FOUR_LAWS), fitting_sample_size=1 << 40).df
     p = F.col("parameters")
     return rounded(out.select("distribution", p[0].alias("loc"), p[1].alias("scale"), "sse", "aic", "bic", "ks_statistic", "ad_statistic", "data_count", "data_stddev"), 6, sse=9, aic=3, bic=3, ad_statistic=3)

@@ -179,6 +179,22 @@ def test_scores_above_the_threshold(spark):
     assert (best[0].data["data_max"], best[0].data["data_skewness"]) == pytest.approx(tuple(top))
 
 
+def test_whole_table_is_not_brought_to_the_driver(spark, monkeypatch):
+    """Where all rows are asked for, closed forms are fitted and scored in the plan, with the scores of the tasks."""
+    rows = spark.range(12_000).select(F.round(F.rand(7) * 30 - 9, 2).alias("value"), F.round(F.randn(8), 2).alias("other")).cache()
+    laws, sizes, samples = list(fitting.IN_PLAN), [], fitting._samples
+    monkeypatch.setattr(fitting, "_samples", lambda *a: sizes.append(samples(*a)) or sizes[-1])
+    fit = lambda: DistributionFitter(spark).fit(rows, columns=["value", "other"], distributions=laws, fitting_sample_size=1 << 40).df.collect()
+    got = {(r.column_name, r.distribution): r.asDict() for r in fit()}
+    assert {len(p["x"]) for p in sizes[0].values()} == {fitting.SHOWN}
+    monkeypatch.setattr(fitting, "SHOWN", 1 << 40)  # the same by tasks over all values
+    want = {(r.column_name, r.distribution): r.asDict() for r in fit()}
+    assert len(got) == len(want) == 10
+    for k, row in want.items():
+        for name, v in row.items():
+            assert got[k][name] == (v if v is None or isinstance(v, str) else pytest.approx(v, rel=1e-6, abs=1e-9)), (k, name)
+
+
 def test_discrete_fits_are_of_all_rows(spark, monkeypatch):
     rows = spark.range(30_000).select((F.col("id") % 7 + 1).alias("k"), (F.col("id") * 1_000_003).alias("wide"))
     row = DiscreteDistributionFitter(spark).fit(rows, column="k", distributions=["poisson"]).best(metric="aic")[0]
