@@ -195,6 +195,13 @@ def test_whole_table_is_not_brought_to_the_driver(spark, monkeypatch):
             assert got[k][name] == (v if v is None or isinstance(v, str) else pytest.approx(v, rel=1e-6, abs=1e-9)), (k, name)
 
 
+def test_closed_forms_of_a_table_leave_its_rows_where_they_are(spark, monkeypatch):
+    held, samples = [], fitting._samples
+    monkeypatch.setattr(fitting, "_samples", lambda *a: held.append(samples(*a)) or held[-1])
+    got = catalogue.fitter_closed_forms(spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 4 and {r.data_count for r in got} == {100_000} and len(held[0]["value"]["x"]) == fitting.SHOWN
+
+
 def test_discrete_fits_are_of_all_rows(spark, monkeypatch):
     rows = spark.range(30_000).select((F.col("id") % 7 + 1).alias("k"), (F.col("id") * 1_000_003).alias("wide"))
     row = DiscreteDistributionFitter(spark).fit(rows, column="k", distributions=["poisson"]).best(metric="aic")[0]
