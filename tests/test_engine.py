@@ -202,6 +202,14 @@ def test_closed_forms_of_a_table_leave_its_rows_where_they_are(spark, monkeypatc
     assert len(got) == 4 and {r.data_count for r in got} == {100_000} and len(held[0]["value"]["x"]) == fitting.SHOWN
 
 
+@pytest.mark.parametrize("name", ["gumbel_r"])
+def test_asked_for_rows_are_not_thinned(spark, name):
+    """A fitting sample as large as the table is the table, above sample_threshold too."""
+    rows = spark.range(12_000).select((F.randn(9) * 3 + 10).alias("value")).cache()
+    fit = lambda **k: DistributionFitter(spark).fit(rows, column="value", distributions=[name], fitting_sample_size=1 << 40, **k).best(1, "aic")[0]
+    assert fit(sample_threshold=1000, max_sample_size=400).aic == pytest.approx(fit().aic, rel=1e-9)
+
+
 def test_discrete_fits_are_of_all_rows(spark, monkeypatch):
     rows = spark.range(30_000).select((F.col("id") % 7 + 1).alias("k"), (F.col("id") * 1_000_003).alias("wide"))
     row = DiscreteDistributionFitter(spark).fit(rows, column="k", distributions=["poisson"]).best(metric="aic")[0]
