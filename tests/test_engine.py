@@ -202,7 +202,7 @@ def test_closed_forms_of_a_table_leave_its_rows_where_they_are(spark, monkeypatc
     assert len(got) == 4 and {r.data_count for r in got} == {100_000} and len(held[0]["value"]["x"]) == fitting.SHOWN
 
 
-@pytest.mark.parametrize("name", ["gumbel_r"])
+@pytest.mark.parametrize("name", ["gumbel_r", *fitting.IN_PLAN])
 def test_asked_for_rows_are_not_thinned(spark, name):
     """A fitting sample as large as the table is the table, above sample_threshold too."""
     rows = spark.range(12_000).select((F.randn(9) * 3 + 10).alias("value")).cache()
