@@ -7,20 +7,46 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: name: (parameter names, estimates over column_stats, whether the data must be positive)
+def over(a: str, b: str) -> str:
+    """a / b in SQL as IEEE arithmetic has it, by zero too."""
+    return f"if({b} = 0, ({a}) * double('infinity'), ({a}) / ({b}))"
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as IEEE arithmetic has it, by zero too."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
+def log(x: Column) -> Column:
+    """The logarithm, of zero -infinity and of negative numbers NaN."""
+    return F.when(x > 0, F.ln(x)).when(x == 0, float("-inf")).otherwise(float("nan"))
+
+
+_SPREAD = "(mean_log - log_min)"
+_EXCESS = f"(mean_inverse - {over('1D', 'data_mean')})"
+
+#: name: (parameter names, estimates over column_stats). Those of lognorm, pareto and invgauss are not finite where values are zero or less.
 CLOSED = {
-    "norm": (("loc", "scale"), ("data_mean", "data_stddev"), False),
-    "expon": (("loc", "scale"), ("data_min", "data_mean - data_min"), False),
-    "uniform": (("loc", "scale"), ("data_min", "data_max - data_min"), False),
-    "laplace": (("loc", "scale"), ("q50", "mean_deviation"), False),
-    "halfnorm": (("loc", "scale"), ("data_min", "sqrt(mean_square - 2 * data_min * data_mean + data_min * data_min)"), False),
-    "rayleigh": (("loc", "scale"), ("0D", "sqrt(mean_square / 2)"), True),
-    "maxwell": (("loc", "scale"), ("0D", "sqrt(mean_square / 3)"), True),
-    "lognorm": (("s", "loc", "scale"), ("sd_log", "0D", "exp(mean_log)"), True),
-    "pareto": (("b", "loc", "scale"), ("1 / (mean_log - ln(data_min))", "0D", "data_min"), True),
-    "invgauss": (("mu", "loc", "scale"), ("data_mean * (mean_inverse - 1 / data_mean)", "0D", "1 / (mean_inverse - 1 / data_mean)"), True),
+    "norm": (("loc", "scale"), ("data_mean", "data_stddev")),
+    "expon": (("loc", "scale"), ("data_min", "data_mean - data_min")),
+    "uniform": (("loc", "scale"), ("data_min", "data_max - data_min")),
+    "laplace": (("loc", "scale"), ("q50", "mean_deviation")),
+    "halfnorm": (("loc", "scale"), ("data_min", "sqrt(mean_square - 2 * data_min * data_mean + data_min * data_min)")),
+    "rayleigh": (("loc", "scale"), ("0D", "sqrt(mean_square / 2)")),
+    "maxwell": (("loc", "scale"), ("0D", "sqrt(mean_square / 3)")),
+    "lognorm": (("s", "loc", "scale"), ("sd_log", "0D", "exp(mean_log)")),
+    "pareto": (("b", "loc", "scale"), (over("1D", _SPREAD), "0D", "data_min")),
+    "invgauss": (("mu", "loc", "scale"), (f"data_mean * {_EXCESS}", "0D", over("1D", _EXCESS))),
 }
 
+#: Where densities vanish at the end of their support, what lies there or beyond counts as so many scales from it.
+LEAST = 1e-300
+
+
+def _logs(scale: str) -> str:
+    """The sum of ln(value / scale), of values at zero or less ln(LEAST)."""
+    return f"(positive_log - n_positive * ln({scale}) + (n - n_positive) * {math.log(LEAST)!r}D)"
+
 
 #: The log-likelihood at those estimates, over the same sums: no second pass.
 LOGLIK = {
@@ -29,12 +55,12 @@ LOGLIK = {
     "uniform": "-n * ln(data_max - data_min)",
     "laplace": "-n * (ln(2 * mean_deviation) + 1)",
     "halfnorm": "n * ln(2D) - n / 2 * (ln(2 * pi() * (mean_square - 2 * data_min * data_mean + data_min * data_min)) + 1)",
-    "rayleigh": "n * (mean_log - ln(mean_square / 2) - 1)",
-    "maxwell": "n * (ln(2D) - ln(2 * pi()) / 2 + 2 * mean_log - 1.5D * ln(mean_square / 3) - 1.5D)",
+    "rayleigh": f"{_logs('sqrt(mean_square / 2)')} - positive_square / mean_square - n * ln(mean_square / 2) / 2",
+    "maxwell": f"n * (ln(2D) - ln(2 * pi()) / 2) + 2 * {_logs('sqrt(mean_square / 3)')} - 1.5D * positive_square / mean_square - n * ln(mean_square / 3) / 2",
     "lognorm": "-n / 2 * (ln(2 * pi() * sd_log * sd_log) + 1) - n * mean_log",
-    "pareto": "-n * ln(mean_log - ln(data_min)) + n * ln(data_min) / (mean_log - ln(data_min)) - (1 / (mean_log - ln(data_min)) + 1) * n * mean_log",
-    "invgauss": "-n / 2 * ln(2 * pi()) - 1.5D * n * (mean_log + ln(mean_inverse - 1 / data_mean)) + n * ln(mean_inverse - 1 / data_mean)"
-    " - n * (1 / (2 * data_mean * (mean_inverse - 1 / data_mean)) - 1 / (data_mean * (mean_inverse - 1 / data_mean)) + mean_inverse / (2 * (mean_inverse - 1 / data_mean)))",
+    "pareto": f"-n * ln({_SPREAD}) + n * {over('log_min', _SPREAD)} - ({over('1D', _SPREAD)} + 1) * n * mean_log",
+    "invgauss": "if(data_min < 0, double('NaN'), -n / 2 * ln(2 * pi()) - 1.5D * n * (mean_log + ln(mean_inverse - 1 / data_mean)) + n * ln(mean_inverse - 1 / data_mean)"
+    " - n * (1 / (2 * data_mean * (mean_inverse - 1 / data_mean)) - 1 / (data_mean * (mean_inverse - 1 / data_mean)) + mean_inverse / (2 * (mean_inverse - 1 / data_mean))))",
 }
 
 

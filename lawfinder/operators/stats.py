@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lawfinder.functions import columns as C
+
 #: Buckets in which running counts of a column's values are taken, less one cut than this between them; a power of two.
 CUTS = 512
 #: Distinct values of a column whose ranks (16 bytes each) are broadcast.
@@ -41,9 +43,12 @@ def long_frame(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
 
 
 def column_stats(rows: DataFrame, by: Sequence[str] = ("column_name",)) -> DataFrame:
-    """Count, extremes, moments (population), quantiles and the sums that closed-form estimates need."""
+    """Count, extremes, moments (population), quantiles and the sums that closed-form estimates need.
+
+    Logarithms and inverses are those of IEEE arithmetic, so their means are not finite where values are zero.
+    """
     v = F.col("value")
-    ln = F.when(v > 0, F.ln(v))
+    ln = C.log(v)
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.min(v).alias("data_min"),
@@ -54,9 +59,12 @@ def column_stats(rows: DataFrame, by: Sequence[str] = ("column_name",)) -> DataF
         F.kurtosis(v).alias("data_kurtosis"),
         F.avg(v * v).alias("mean_square"),
         F.count_if(v > 0).alias("n_positive"),
+        F.coalesce(F.sum(F.when(v > 0, v * v)), F.lit(0.0)).alias("positive_square"),
+        F.coalesce(F.sum(F.when(v > 0, ln)), F.lit(0.0)).alias("positive_log"),
         F.avg(ln).alias("mean_log"),
+        C.log(F.min(v)).alias("log_min"),
         F.stddev_pop(ln).alias("sd_log"),
-        F.avg(F.when(v > 0, 1 / v)).alias("mean_inverse"),
+        F.avg(C.quotient(F.lit(1.0), v)).alias("mean_inverse"),
     )
 
 
