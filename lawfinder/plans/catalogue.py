@@ -616,14 +616,15 @@ def law_masses(spark, d):
     f"WITH {FITS} SELECT distribution, round(coalesce(s, -1), 6) AS shape, round(loc, 6) AS loc, round(scale, 6) AS scale, round(CASE WHEN {cdf_sql('60.0')} > {cdf_sql('20.0')} THEN ({cdf_sql('40.0')} - {cdf_sql('20.0')}) / ({cdf_sql('60.0')} - {cdf_sql('20.0')}) END, 6) AS cut_cdf FROM fits",
 )
 def saved_and_loaded(spark, d):
-    """Fits that went through model files, and the middle of each law when it is cut to 20 and 60."""
+    """Fits that went through model files, and the middle of each law when it is cut to 20 and 60 (null where nothing of it lies there)."""
     rows = []
     with tempfile.TemporaryDirectory() as folder:  # the driver's own model files
         for i, r in enumerate(closed.closed_fits(events(spark, d), FAMILIES).collect()):
             path = f"{folder}/{i}.json"
             FitResult(r.distribution, list(r.parameters), "value", lower_bound=20.0, upper_bound=60.0).save(path)
             m = FitResult.load(path)
-            rows.append((m.distribution, m.parameters[0] if len(m.parameters) == 3 else -1.0, m.parameters[-2], m.parameters[-1], float(m.cdf([40.0])[0])))
+            middle = float(m.cdf([40.0])[0]) if m.frozen().mass > 0 else None
+            rows.append((m.distribution, m.parameters[0] if len(m.parameters) == 3 else -1.0, m.parameters[-2], m.parameters[-1], middle))
     return rounded(spark.createDataFrame(rows, "distribution string, shape double, loc double, scale double, cut_cdf double"))
 
 

@@ -55,7 +55,7 @@ def test_query_is_its_sql(spark, name):
 
 
 #: Queries that hold on values of zero, for which half of the positive families have no finite estimates.
-ON_ZEROS = ["closed_form_fits", "likelihoods", "likelihoods_of_rows", "sse_scores", "ks_ad_distances", "ranked_fits", "top_fits", "filtered_fits", "fit_summary", "quality_report"]
+ON_ZEROS = ["closed_form_fits", "likelihoods", "likelihoods_of_rows", "sse_scores", "ks_ad_distances", "ranked_fits", "top_fits", "filtered_fits", "fit_summary", "quality_report", "saved_and_loaded"]
 
 
 @pytest.fixture(scope="module")
